@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from notelake.llm.packing import op1_packing
+from notelake.llm.quality import op4_quality_rules
+from notelake.llm.secrets import op5_secret_scan
 from notelake.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
     "op1_packing": op1_packing,
     "op10_token_counts": op10_token_counts,
 }
