@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from notelake.llm.decontaminate import OP8_SQL, op8_decontaminate
+from notelake.llm.line_dedup import OP3_SQL, op3_line_dedup
 from notelake.llm.packing import op1_packing
 from notelake.llm.quality import op4_quality_rules
 from notelake.llm.secrets import op5_secret_scan
 from notelake.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
-    "op1_packing": op1_packing,
+    "op8_decontaminate": op8_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+    "op8_decontaminate": OP8_SQL,
+}
