@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from notelake.llm.decontaminate import OP8_SQL, op8_decontaminate
 from notelake.llm.line_dedup import OP3_SQL, op3_line_dedup
+from notelake.llm.lm_scoring import op6_lm_scoring
 from notelake.llm.ngram_join import op7_ngram_join
 from notelake.llm.packing import op1_packing
 from notelake.llm.quality import op4_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_ngram_join": op7_ngram_join,
     "op8_decontaminate": op8_decontaminate,
     "op10_token_counts": op10_token_counts,
