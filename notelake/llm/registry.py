@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from notelake.llm.decontaminate import OP8_SQL, op8_decontaminate
+from notelake.llm.html_extract import op9_html_extract
+from notelake.llm.license_scan import op2_license_scan
 from notelake.llm.line_dedup import OP3_SQL, op3_line_dedup
 from notelake.llm.lm_scoring import op6_lm_scoring
 from notelake.llm.ngram_join import op7_ngram_join
@@ -13,12 +15,14 @@ from notelake.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_ngram_join": op7_ngram_join,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_extract": op9_html_extract,
     "op10_token_counts": op10_token_counts,
 }
 

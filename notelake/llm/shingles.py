@@ -29,14 +29,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class WordHasher:
-    """Splits texts at ASCII white space, A-Z as a-z, and hashes each word with a polynomial over its bytes."""
+    """Splits texts at ASCII white space, A-Z as a-z, and hashes each word with a polynomial over its bytes.
 
-    def __init__(self) -> None:
+    plain: a table of 256 bytes put in for a text's bytes before that (to make punctuation blank).
+    """
+
+    def __init__(self, plain: bytes | None = None) -> None:
+        self.plain = plain
         self.up = self.down = np.zeros(0, _U)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word hashes of all texts in order, each word's text, the bytes, and where the words start and end in them."""
         lowered = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        if self.plain:
+            lowered = [t.translate(self.plain) for t in lowered]
         raw = b"\n".join([*lowered, b""])
         data = np.frombuffer(raw, np.uint8)
         if len(data) > len(self.up):
