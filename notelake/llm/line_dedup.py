@@ -8,41 +8,50 @@ from pyspark.sql import functions as F
 from notelake.llm.common import BLANK, cut, let, table
 
 
-def _windows(lines: Column, least_words: int) -> Column:
-    """Structs lo, hi (places in lines, inclusive), low (the window's smallest line hash), all (hash of the window).
+def _windows(hashes: Column, counts: Column, least_words: int) -> Column:
+    """Structs lo, hi (places in the arrays, inclusive), low (the window's smallest line hash), all (hash of the window).
 
     For every line, the shortest window from it on with least_words words, and the shortest one that ends with it. Each
     line has a word, so no window is longer than least_words lines. Its smallest line hash is its fingerprint.
     """
 
-    def reach(i: Column, step: int) -> Column:
-        part = F.slice(lines, i + 1, least_words) if step > 0 else F.reverse(F.slice(lines, F.greatest(i - least_words + 1, F.lit(0)) + 1, F.least(i + 1, F.lit(least_words))))
-        grow = lambda acc, x: F.when(acc["n"] >= least_words, acc).otherwise(F.struct((acc["n"] + x["n"]).alias("n"), (acc["k"] + 1).alias("k")))
-        return F.aggregate(part, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), grow)
+    def reach(part: Column) -> Column:
+        """Number of leading lines that have least_words words together; 0 if all have fewer."""
+        grow = lambda acc, n: F.when(acc["n"] >= least_words, acc).otherwise(F.struct((acc["n"] + n).alias("n"), (acc["k"] + 1).alias("k")))
+        return F.aggregate(part, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), grow, lambda acc: F.when(acc["n"] >= least_words, acc["k"]).otherwise(0))
 
     def window(lo: Column, k: Column) -> Column:
-        hashes = F.transform(F.slice(lines, lo + 1, k), lambda x: x["h"])
-        return let(hashes, lambda h: F.struct(lo.alias("lo"), (lo + k - 1).alias("hi"), F.array_min(h).alias("low"), F.xxhash64(h, F.size(h)).alias("all")))
+        held = let(F.slice(hashes, lo + 1, k), lambda h: F.struct(lo.alias("lo"), (lo + k - 1).alias("hi"), F.array_min(h).alias("low"), F.xxhash64(h, F.size(h)).alias("all")))
+        return F.when(k > 0, held)
 
     def both(i: Column) -> Column:
-        on = let(reach(i, 1), lambda r: F.when(r["n"] >= least_words, window(i, r["k"])))
-        back = let(reach(i, -1), lambda r: F.when(r["n"] >= least_words, window(i - r["k"] + 1, r["k"])))
-        return F.array(on, back)
+        from_here = let(reach(F.slice(counts, i + 1, least_words)), lambda k: window(i, k))
+        first = F.greatest(i - least_words + 1, F.lit(0))
+        to_here = let(reach(F.reverse(F.slice(counts, first + 1, i - first + 1))), lambda k: window(i - k + 1, k))
+        return F.array(from_here, to_here)
 
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), both))
-    return F.when(F.size(lines) > 0, F.array_distinct(F.filter(every, lambda x: x.isNotNull())))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(hashes) - 1), both))
+    return F.when(F.size(hashes) > 0, F.filter(every, lambda x: x.isNotNull()))
+
+
+def _word_count(line: Column) -> Column:
+    """Words of a line: where single blanks stand between them, one more than blanks; else counted by pattern."""
+    t = F.trim(line)
+    odd = t.contains("  ") | t.contains("\t") | t.contains("\r") | t.contains("\x0b") | t.contains("\x0c")
+    single = F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    return F.when(odd, F.regexp_count(line, F.lit(f"[^{BLANK}]+"))).otherwise(single)
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
     """(key, gone): for each document with later repeated runs, the places of their lines in split(text, newline)."""
     lines = F.split("t", "\n", -1)
-    blank = f"[{BLANK}]+"
-    counted = F.transform(lines, lambda x, i: F.struct(F.trim(x).alias("x"), F.size(F.filter(F.split(x, blank, -1), lambda w: w != "")).alias("n"), i.alias("i")))
-    real = F.transform(F.filter(counted, lambda x: x["n"] > 0), lambda x: F.struct(F.xxhash64(x["x"]).alias("h"), x["n"].alias("n"), x["i"].alias("i")))
-    held = keyed(docs, id_col, text_col).select("id", "key", real.alias("lines"))
-    held = held.select("id", "key", F.transform("lines", lambda x: x["i"]).alias("at"), _windows(F.col("lines"), least_words).alias("ws"))
-    rows = held.select("id", "key", "at", F.explode("ws").alias("w")).select("w.low", "w.all", F.struct("id", "key", F.col("w.lo").alias("lo")).alias("place"), F.slice("at", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo") + 1).alias("lines"))
-    first = rows.groupBy("low", "all").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("low", "all", "first")
+    counted = F.transform(lines, lambda x, i: F.struct(F.xxhash64(F.trim(x)).alias("h"), _word_count(x).alias("n"), i.alias("i")))
+    held = keyed(docs, id_col, text_col).select("id", "key", F.filter(counted, lambda x: x["n"] > 0).alias("l"))
+    held = held.select("id", "key", F.col("l.h").alias("hs"), F.col("l.n").alias("ns"), F.col("l.i").alias("at"))
+    # An outer generator keeps the optimizer from testing the windows' array in a filter of its own, which computes it again.
+    rows = held.select("id", "key", "at", F.explode_outer(_windows(F.col("hs"), F.col("ns"), least_words)).alias("w")).filter("w is not null")
+    rows = rows.select("w.low", "w.all", F.struct("id", "key", F.col("w.lo").alias("lo")).alias("place"), F.slice("at", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo") + 1).alias("lines"))
+    first = rows.groupBy("low", "all").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("low", "all", "first")
     later = rows.join(first, ["low", "all"]).filter(F.col("place") != F.col("first"))
     # Overlapping matched windows, each line's forward one and backward one, make up the run extended both ways.
     return later.select(F.col("place.key").alias("key"), F.explode("lines").alias("i")).distinct().groupBy("key").agg(F.collect_list("i").alias("gone"))
