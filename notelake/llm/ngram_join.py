@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from notelake.llm.common import cut, small, table
+from notelake.llm.common import cut, small, table, written
 from notelake.llm.components import components
 from notelake.llm.shingles import WordHasher, by_bytes, set_id, shingle_sets
 
@@ -18,6 +18,9 @@ SALTS = 16
 #: depends on them, no result: whichever they are, sets that link share an n-gram of their prefixes.
 ORDER_HINTS = 200_000
 BROADCAST_KEYS = 2_000_000
+#: Prefixes are longer by MEET - 1 n-grams than one common n-gram asks for, so that linked sets share MEET n-grams there
+#: (or all that the sizes ask for, if fewer). Sets that only share a short passage don't.
+MEET = 16
 
 
 def _long(a: np.ndarray) -> pa.Array:
@@ -68,34 +71,34 @@ def _classes(keyed: DataFrame, size: int, chunk: int = 2_000_000) -> tuple[DataF
 
 
 def _prefixes(keyed: DataFrame, size: int, per_cent: int, last: np.ndarray) -> DataFrame:
-    """(token, salt, sid, n, pos): the first n - ceil(n * per_cent / 100) + 1 n-grams of each set in the global order."""
+    """(token, salt, sid, n): the first n - ceil(n * per_cent / 100) + MEET n-grams of each set in the global order."""
 
     def run(batches):
         hasher, seen = WordHasher(), set()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for _, s in _sets(batch, hasher, size):
                 sid = set_id(s)
                 if not len(s) or sid in seen:
                     continue
                 seen.add(sid)
                 n = len(s)
-                keep = n + (-n * per_cent // 100) + 1
+                keep = min(n, n + (-n * per_cent // 100) + MEET)
                 late = np.zeros(n, bool)
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                 order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:keep]
-                for column, v in zip(out, (s[order].astype(np.int64), np.where(late[order], 1 + sid % SALTS, 0), np.full(keep, sid), np.full(keep, n), np.arange(keep)), strict=True):
+                for column, v in zip(out, (s[order].astype(np.int64), np.where(late[order], 1 + sid % SALTS, 0), np.full(keep, sid), np.full(keep, n)), strict=True):
                     column.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["token", "salt", "sid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["token", "salt", "sid", "n"])
 
-    return keyed.select("t").mapInArrow(run, "token long, salt int, sid long, n int, pos int")
+    return keyed.select("t").mapInArrow(run, "token long, salt int, sid long, n int")
 
 
 
-def _shared(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings of n-grams that may be in two sets (token, sid, n, pos), written out, and first candidate pairs.
+def _shared(prefixes: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """Postings of n-grams that may be in two sets (token, sid, n), written out, and first candidate pairs.
 
     A posting list is sorted by size and set name; each set is paired with the one before and the one before that. The
     parts of a frequent n-gram's list are tied together by their first sets. Sets with much in common meet in many lists,
@@ -103,30 +106,32 @@ def _shared(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     chain = W.partitionBy("token", "salt").orderBy("n", "sid")
     ranked = prefixes.select("*", F.lag("sid", 1).over(chain).alias("l1"), F.lag("sid", 2).over(chain).alias("l2"), F.lead("sid", 1).over(chain).alias("next"), F.row_number().over(chain).alias("rn"))
-    shared = cut(ranked.filter("l1 is not null or next is not null or salt > 0").select("token", "salt", "sid", "n", "pos", "l1", "l2", "rn"))
+    shared = written(ranked.filter("l1 is not null or next is not null or salt > 0").select("token", "salt", "sid", "n", "l1", "l2", "rn"))
     heads = shared.filter("salt > 0 and rn <= 3").withColumns({"l1": F.lag("sid", 1).over(W.partitionBy("token").orderBy("n", "sid")), "l2": F.lag("sid", 2).over(W.partitionBy("token").orderBy("n", "sid"))})
-    near = shared.select("sid", F.explode(F.array("l1", "l2")).alias("o")).union(heads.select("sid", F.explode(F.array("l1", "l2")).alias("o")))
-    pairs = near.filter("o is not null and o <> sid").select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct()
-    return shared.select("token", "sid", "n", "pos"), pairs
+    each = lambda df: df.select("sid", "n", F.explode(F.array("l1", "l2")).alias("o"))
+    near = each(shared).union(each(heads)).filter("o is not null and o <> sid")
+    met = near.groupBy(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    # A first look at pairs that stand next to each other often; the second round takes all that is left.
+    return shared.select("token", "sid", "n"), met.filter(F.col("k") >= F.greatest(F.least(F.lit(MEET), F.ceil(F.col("n") * per_cent / 100)) / 4, F.lit(1))).select("a", "b")
 
 
 def _open_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a prefix n-gram, may link by sizes and places, and aren't in one component yet.
+    """Pairs (a, b) of sets that share enough prefix n-grams, may link by their sizes, and aren't in one component yet.
 
     In each posting list, only sets outside its most common component are looked up against the others, so a list whose
     sets are all linked gives nothing.
     """
     rows = shared.dropDuplicates(["token", "sid"]).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    rows = cut(rows)
+    rows = written(rows)
     sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     main = sizes.filter("labels > 1").select("token", F.col("top.label").alias("main"))
     rows = rows.join(main, "token")
-    x = rows.filter("label <> main").select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    y = rows.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"), "main")
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb")) & ((100 + per_cent) * most >= per_cent * (F.col("na") + F.col("nb")))
-    met = x.join(y, (x["token"] == y["token"]) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return met.join(done, ["a", "b"], "left_anti")
+    x = rows.filter("label <> main").select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = rows.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
+    fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
+    met = x.join(y, (x["token"] == y["token"]) & fits).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest("na", "nb")).alias("n"))
+    enough = F.col("k") >= F.least(F.lit(MEET), F.ceil(F.col("n") * per_cent / 100))
+    return met.filter(enough).select("a", "b").join(done, ["a", "b"], "left_anti")
 
 
 def tree_links(probe: np.ndarray, members: list[np.ndarray], per_cent: int, block: int = 128) -> list[bool]:
@@ -165,7 +170,7 @@ def _verify(pairs: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int,
     """The pairs (a, b) that link. Texts travel, not sets: they compress, and their sets are hashed anew in the task."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     keys = small(cut(first_key.join(wanted, "sid").select("key", "sid")), BROADCAST_KEYS)
-    texts = cut(keyed.select("key", "t").join(keys, "key").dropDuplicates(["sid"]).select("sid", "t"))
+    texts = keyed.select("key", "t").join(keys, "key").select("sid", "t")  # repeated rows only give a pair twice
     both = pairs.join(texts.select(F.col("sid").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("sid").alias("a"), F.col("t").alias("ta")), "a")
 
     def run(batches):
@@ -212,7 +217,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     classes, frequent = _classes(keyed, size)
     last = np.sort(np.array([r[0] for r in frequent.orderBy(F.desc("n"), "token").limit(ORDER_HINTS).select("token").collect()], np.int64).view(np.uint64))
     first_key = classes.filter("n > 0").groupBy("sid").agg(F.min_by("key", F.struct("id", "key")).alias("key"))
-    shared, pairs = _shared(_prefixes(keyed, size, per_cent, last))
+    shared, pairs = _shared(_prefixes(keyed, size, per_cent, last), per_cent)
     pairs = cut(pairs)
     links = _verify(pairs, keyed, first_key, size, per_cent)
     more = cut(_open_pairs(shared, components(links), pairs, per_cent))
