@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from notelake.plans import queries_rank, queries_text  # noqa: F401  (they register on import)
+from notelake.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
