@@ -87,11 +87,11 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum() + _U(len(s))], _U)).astype(np.int64)[0]) if len(s) else 0
 
 
-def by_bytes(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Consecutive texts [start, end) of about limit characters each; a longer text is a part of its own."""
+def by_bytes(texts: list[str], limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Consecutive texts [start, end) of about limit characters and at most `rows` texts each; a longer text is a part of its own."""
     start = total = 0
     for i, t in enumerate(texts):
-        if i > start and total + len(t) > limit:
+        if i > start and (total + len(t) > limit or i - start >= rows):
             yield start, i
             start, total = i, 0
         total += len(t)
