@@ -11,17 +11,27 @@ from notelake.llm.common import cut
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the smallest node of its component.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of that label, so chains
-    shrink by doubling. Rounds go on until no label changes; each is written to the checkpoint folder.
+    Rounds of two steps: every node ties its larger neighbours to the smallest node around it, then every node ties its
+    smaller neighbours and itself to the smallest of them. The links stay connected and become stars around each
+    component's smallest node after a number of rounds that grows with the logarithm of the longest path. Rounds are
+    written to the checkpoint folder; no node's neighbours are gathered, only their minimum.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
+    # Each link once, from its larger end u to its smaller end v.
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        new = cut(step.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
-        changed = new.filter("new <> label").limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # A node's smaller neighbours are those that its larger side tied it to; a star's centre has none.
+        large = cut(large.filter("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = large.join(low, "u")
+        small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges = cut(small.filter("u <> v").distinct())
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    centres = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(centres.select("node", F.col("node").alias("label")))

@@ -16,7 +16,7 @@ from notelake.llm.shingles import WordHasher, by_bytes, set_id, shingle_sets
 SALTS = 16
 #: N-grams whose place at the end of the global order is sure: at most so many, the most frequent ones. Only the order
 #: depends on them, no result: whichever they are, sets that link share an n-gram of their prefixes.
-ORDER_HINTS = 200_000
+ORDER_HINTS = 500_000
 BROADCAST_KEYS = 2_000_000
 #: Prefixes are longer by MEET - 1 n-grams than one common n-gram asks for, so that linked sets share MEET n-grams there
 #: (or all that the sizes ask for, if fewer). Sets that only share a short passage don't.
@@ -97,6 +97,20 @@ def _prefixes(keyed: DataFrame, size: int, per_cent: int, last: np.ndarray) -> D
 
 
 
+def _frequent_in_prefixes(prefixes: DataFrame, least: int = 8) -> DataFrame:
+    """(token, n): n-grams that stand in `least` prefixes or more."""
+    return prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
+def _order_hints(*counts: DataFrame) -> np.ndarray:
+    """The most frequent n-grams of the tables, as sorted hashes; a bounded list."""
+    every = counts[0]
+    for more in counts[1:]:
+        every = every.union(more)
+    top = every.groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token").limit(ORDER_HINTS).select("token")
+    return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+
+
 def _shared(prefixes: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
     """Postings of n-grams that may be in two sets (token, sid, n), written out, and first candidate pairs.
 
@@ -115,17 +129,36 @@ def _shared(prefixes: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
     return shared.select("token", "sid", "n"), met.filter(F.col("k") >= F.greatest(F.least(F.lit(MEET), F.ceil(F.col("n") * per_cent / 100)) / 4, F.lit(1))).select("a", "b")
 
 
+def _labelled(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings with their sets' components, and (token, main, k): the most common component of lists with more than one."""
+    rows = shared.dropDuplicates(["token", "sid"]).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    return rows, sizes.filter("labels > 1").select("token", F.col("top.label").alias("main"), F.col("top.k").alias("k"))
+
+
+def _hub_pairs(shared: DataFrame, labels: DataFrame, links: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets outside a list's most common component with that component's best-linked sets.
+
+    Members of a large group of near copies mostly link with those that were changed least, so this closes such groups.
+    """
+    rows, main = _labelled(shared, labels)
+    degree = links.select(F.col("a").alias("sid")).union(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
+    listed = rows.join(main.filter("k >= 3"), "token")
+    part = F.pmod(F.xxhash64("sid"), F.lit(4))
+    inside = listed.filter("label = main").join(degree, "sid").groupBy("token").agg(*(F.max(F.when(part == i, F.struct("degree", "sid"))).alias(f"h{i}") for i in range(4)))
+    hubs = inside.select("token", F.explode(F.array(*(F.col(f"h{i}.sid") for i in range(4)))).alias("hub")).filter("hub is not null")
+    met = listed.filter("label <> main").select("token", "sid").join(hubs, "token")
+    return met.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+
+
 def _open_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b) of sets that share enough prefix n-grams, may link by their sizes, and aren't in one component yet.
 
     In each posting list, only sets outside its most common component are looked up against the others, so a list whose
     sets are all linked gives nothing.
     """
-    rows = shared.dropDuplicates(["token", "sid"]).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    rows = written(rows)
-    sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-    main = sizes.filter("labels > 1").select("token", F.col("top.label").alias("main"))
-    rows = rows.join(main, "token")
+    rows, main = _labelled(shared, labels)
+    rows = written(rows.join(main, "token"))
     x = rows.filter("label <> main").select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = rows.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
     fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
@@ -166,41 +199,50 @@ def tree_links(probe: np.ndarray, members: list[np.ndarray], per_cent: int, bloc
     return linked
 
 
-def _verify(pairs: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int, per_cent: int, trie: int = 256) -> DataFrame:
-    """The pairs (a, b) that link. Texts travel, not sets: they compress, and their sets are hashed anew in the task."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+def _verify(pairs: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int, per_cent: int, side: int = 512) -> DataFrame:
+    """The pairs (a, b) that link.
+
+    Sets are dealt by hash into groups of about `side`; all pairs of two groups are verified together, so a text travels
+    once to each bucket it has pairs in, not once a pair, and a task holds about two groups of texts at a time. Texts
+    travel, not sets: they compress, and their sets are hashed anew.
+    """
+    wanted = cut(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
+    groups = max(1, -(-wanted.count() // side))
     keys = small(cut(first_key.join(wanted, "sid").select("key", "sid")), BROADCAST_KEYS)
-    texts = keyed.select("key", "t").join(keys, "key").select("sid", "t")  # repeated rows only give a pair twice
-    both = pairs.join(texts.select(F.col("sid").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("sid").alias("a"), F.col("t").alias("ta")), "a")
+    texts = keyed.select("key", "t").join(keys, "key").select("sid", "t")  # repeated rows only give a text twice
+    part = lambda c: F.pmod(F.xxhash64(F.lit(groups), F.col(c)), F.lit(groups))
+    dealt = pairs.select("a", "b", (part("a") * groups + part("b")).alias("bucket"))
+    need = dealt.select("bucket", F.col("a").alias("sid")).union(dealt.select("bucket", F.col("b").alias("sid"))).distinct()
+    held = need.join(texts, "sid").select("bucket", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "t")
+    rows = held.union(dealt.select("bucket", F.lit(1), "a", "b", F.lit(None).cast("string")))
 
     def run(batches):
-        hasher = WordHasher()
-        one = lambda text: shingle_sets(*(x := hasher([text]))[:2], 1, size)[0]
-        cache: dict[int, np.ndarray] = {}
+        hasher, bucket, sets, probe, members = WordHasher(), None, {}, None, []
 
-        def flush(a, probe, held):
-            ok = tree_links(probe, [s for _, s in held], per_cent)
-            b = [k for (k, _), good in zip(held, ok, strict=True) if good]
-            return pa.RecordBatch.from_arrays([pa.array([a] * len(b), pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def flush():
+            ok = tree_links(sets[probe], [sets[b] for b in members], per_cent)
+            b = [m for m, good in zip(members, ok, strict=True) if good]
+            return pa.RecordBatch.from_arrays([pa.array([probe] * len(b), pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        last, probe, held = None, None, []
         for batch in batches:
-            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last or len(held) >= trie:
-                    if held:
-                        yield flush(last, probe, held)
-                    if a != last:
-                        last, probe = a, one(ta.as_py())
-                    held = []
-                if b not in cache:
-                    if len(cache) >= 2 * trie:
-                        cache.clear()
-                    cache[b] = one(tb.as_py())
-                held.append((b, cache[b]))
-        if held:
-            yield flush(last, probe, held)
-
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+            for name, kind, a, b, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if members and (name != bucket or a != probe):
+                    yield flush()
+                    members = []
+                if name != bucket:
+                    bucket, sets = name, {}
+                if kind == 0:
+                    if a not in sets:
+                        hashes, owner, *_ = hasher([t])
+                        sets[a] = shingle_sets(hashes, owner, 1, size)[0]
+                else:
+                    probe = a
+                    members.append(b)
+        if members:
+            yield flush()
+
+    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "a")
+    return cut(sorted_rows.mapInArrow(run, "a long, b long"))
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, per_cent: int = 75, with_key: bool = False) -> DataFrame:
@@ -215,11 +257,15 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("key", F.xxhash64("id", "t"))
     classes, frequent = _classes(keyed, size)
-    last = np.sort(np.array([r[0] for r in frequent.orderBy(F.desc("n"), "token").limit(ORDER_HINTS).select("token").collect()], np.int64).view(np.uint64))
+    last = _order_hints(frequent)
+    # What is frequent among first prefixes goes to the end of the order too; lists of the second prefixes are short.
+    last = _order_hints(frequent, _frequent_in_prefixes(_prefixes(keyed, size, per_cent, last)))
     first_key = classes.filter("n > 0").groupBy("sid").agg(F.min_by("key", F.struct("id", "key")).alias("key"))
     shared, pairs = _shared(_prefixes(keyed, size, per_cent, last), per_cent)
     pairs = cut(pairs)
     links = _verify(pairs, keyed, first_key, size, per_cent)
+    hubs = cut(_hub_pairs(shared, components(links), links, pairs))
+    links, pairs = links.union(_verify(hubs, keyed, first_key, size, per_cent)), pairs.union(hubs)
     more = cut(_open_pairs(shared, components(links), pairs, per_cent))
     labels = components(links.union(_verify(more, keyed, first_key, size, per_cent)))
     named = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
