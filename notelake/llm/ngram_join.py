@@ -21,6 +21,8 @@ BROADCAST_KEYS = 2_000_000
 #: Prefixes are longer by MEET - 1 n-grams than one common n-gram asks for, so that linked sets share MEET n-grams there
 #: (or all that the sizes ask for, if fewer). Sets that only share a short passage don't.
 MEET = 16
+#: Open posting lists with more sets than this are looked at in blocks of whole sets, shorter ones pair by pair.
+LONG_LIST = 256
 
 
 def _long(a: np.ndarray) -> pa.Array:
@@ -132,8 +134,8 @@ def _shared(prefixes: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
 def _labelled(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings with their sets' components, and (token, main, k): the most common component of lists with more than one."""
     rows = shared.dropDuplicates(["token", "sid"]).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-    return rows, sizes.filter("labels > 1").select("token", F.col("top.label").alias("main"), F.col("top.k").alias("k"))
+    sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("size"))
+    return rows, sizes.filter("labels > 1").select("token", F.col("top.label").alias("main"), F.col("top.k").alias("k"), "size")
 
 
 def _hub_pairs(shared: DataFrame, labels: DataFrame, links: DataFrame, done: DataFrame) -> DataFrame:
@@ -158,7 +160,8 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame, per_cent:
     sets are all linked gives nothing.
     """
     rows, main = _labelled(shared, labels)
-    rows = written(rows.join(main, "token"))
+    rows = rows.join(main.filter(F.col("size") <= LONG_LIST), "token")
+    rows = written(rows)
     x = rows.filter("label <> main").select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = rows.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
     fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
@@ -167,6 +170,48 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame, per_cent:
     return met.filter(enough).select("a", "b").join(done, ["a", "b"], "left_anti")
 
 
+def _long_list_links(shared: DataFrame, labels: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int, per_cent: int, side: int = 256) -> DataFrame:
+    """Links (a, b) between sets of long open posting lists, for those outside a list's most common component.
+
+    Lists with the same most common component belong to one group of similar sets. A group's sets are dealt into blocks
+    of about `side`; each pair of blocks is verified in one bucket, so no pair is written that doesn't link.
+    """
+    rows, main = _labelled(shared, labels)
+    listed = rows.join(main.filter(F.col("size") > LONG_LIST), "token")
+    members = cut(listed.groupBy("main", "sid").agg(F.bool_or(F.col("label") != F.col("main")).alias("outside")))
+    blocks = members.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "main").withColumn("mine", F.pmod(F.xxhash64("sid"), "blocks"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")
+    named = lambda x, y: F.xxhash64("main", x, y).alias("bucket")
+    probes = dealt.filter("outside").select("main", "sid", "mine", others).select(named("mine", "other"), F.lit(1).alias("kind"), "sid")
+    held = dealt.select("main", "sid", "mine", others).select(named("other", "mine"), F.lit(0).alias("kind"), "sid")
+    keys = small(cut(first_key.join(members.select("sid").distinct(), "sid").select("key", "sid")), BROADCAST_KEYS)
+    texts = keyed.select("key", "t").join(keys, "key").dropDuplicates(["sid"]).select("sid", "t")
+    met = held.union(probes).join(texts, "sid").select("bucket", "kind", "sid", "t")
+
+    def run(batches):
+        hasher, bucket, names, sets = WordHasher(), None, [], []
+        for batch in batches:
+            out: list[list[int]] = [[], []]
+            for name, kind, sid, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if name != bucket:
+                    bucket, names, sets = name, [], []
+                hashes, owner, *_ = hasher([t])
+                one = shingle_sets(hashes, owner, 1, size)[0]
+                if kind == 0:
+                    names.append(sid)
+                    sets.append(one)
+                    continue
+                near = [i for i, s in enumerate(sets) if names[i] != sid and 100 * min(len(s), len(one)) >= per_cent * max(len(s), len(one))]
+                for i, ok in zip(near, tree_links(one, [sets[i] for i in near], per_cent), strict=True):
+                    if ok:
+                        out[0].append(min(sid, names[i]))
+                        out[1].append(max(sid, names[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    return cut(met.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "a long, b long"))
+
+
 def tree_links(probe: np.ndarray, members: list[np.ndarray], per_cent: int, block: int = 128) -> list[bool]:
     """For each member whether 100 * |intersection| >= per_cent * |union| with probe.
 
@@ -266,6 +311,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     links = _verify(pairs, keyed, first_key, size, per_cent)
     hubs = cut(_hub_pairs(shared, components(links), links, pairs))
     links, pairs = links.union(_verify(hubs, keyed, first_key, size, per_cent)), pairs.union(hubs)
+    links = links.union(_long_list_links(shared, components(links), keyed, first_key, size, per_cent))
     more = cut(_open_pairs(shared, components(links), pairs, per_cent))
     labels = components(links.union(_verify(more, keyed, first_key, size, per_cent)))
     named = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
