@@ -196,6 +196,23 @@ def test_ngram_join(odd, nothing, spark):
     assert got == {d: (len(sets[d]), label[d]) for d in texts}
 
 
+def test_ngram_join_long_lists(spark, monkeypatch):
+    from notelake.llm import ngram_join as module
+
+    monkeypatch.setattr(module, "LONG_LIST", 2)
+    rng = np.random.default_rng(8)
+    base = [f"w{rng.integers(0, 9000)}" for _ in range(120)]
+    texts = {}
+    for k in range(60):
+        w = list(base)
+        for i in rng.integers(0, len(w), k % 8):
+            w[i] = f"e{rng.integers(0, 10**6)}"
+        texts[k] = " ".join(w)
+    sets, label = jaccard_components(texts)
+    got = {r.doc_id: r.component_id for r in ngram_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == label and len(set(label.values())) > 1
+
+
 def test_tree_links():
     rng = np.random.default_rng(2)
     make = lambda n: np.unique(rng.integers(0, 300, n).astype(np.uint64))
