@@ -271,6 +271,40 @@ def test_lm_probabilities_sum_to_one(spark):
     assert total < 1.0 + 1e-6
 
 
+def test_lm_word_history(spark):
+    texts = ["red green blue end"] * 30 + ["blue red", "green end"] * 5 + ["le rouge"]
+    rows = [(i, t, "fr" if "le" in t else "en") for i, t in enumerate(texts)]
+    probes = [(100, "red green blue end", "en"), (101, "blue end green red", "en"), *((200 + i, f"red {w}", "en") for i, w in enumerate(["red", "green", "blue", "end", "le", "rouge", "unseen", "end red"]))]
+    docs = spark.createDataFrame(rows + probes, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lm_scoring(docs, folds=1, held_fold=0, history=True).collect()}
+    assert all(r.held_out and r.train_tokens == 0 and math.isfinite(r.score) for r in got.values())
+    trained = {r.doc_id: r.score for r in lm_scoring(docs, folds=1, held_fold=7, history=True).collect()}
+    shuffled = {r.doc_id: r.score for r in lm_scoring(docs, folds=1, held_fold=7).collect()}
+    assert abs(shuffled[100] - shuffled[101]) < 1e-6 and trained[100] > trained[101] + 1
+    assert trained == {r.doc_id: r.score for r in lm_scoring(docs.repartition(3), folds=1, held_fold=7, history=True, chunk=30).collect()}
+
+
+def test_lm_probabilities_of_texts(spark):
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(200, 600) if zlib.crc32(str(i).encode()) % 5 == 1]
+    vocabulary = ["a", "b", "c", "d"]
+    rows = [(i, " ".join(vocabulary[(i * k + k) % 4] for k in range(1, 6)), "xy"[i % 2]) for i in train]
+    probes = ["b", "b zz", *(f"b {w}" for w in vocabulary), "zz", *vocabulary]
+    docs = spark.createDataFrame(rows + [(i, t, "x") for i, t in zip(held, probes, strict=False)], "doc_id long, text string, lang string")
+    score = {p: r.score for r in lm_scoring(docs, history=True).filter("held_out").collect() for i, p in zip(held, probes, strict=False) if i == r.doc_id}
+    assert len(score) == len(probes) and all(math.isfinite(x) for x in score.values())
+    # Different whole texts: their probabilities sum to less than one.
+    assert sum(10 ** score[p] for p in probes) < 1.0 + 1e-6
+
+
+def test_lm_contexts_are_apart(spark):
+    rows = [(i, "a b", f"c{i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from notelake.llm.lm_scoring import _keyed
+
+    assert _keyed(docs, "doc_id", "text", "lang", 5, 1).select("ctx").distinct().count() == 1500
+
+
 def test_seats():
     c = np.array([0, 1, 2, 50, 5000])
     t = seat(c, np.full(5, 100.0), np.full(5, 0.01), 0.5, 1.0, np.arange(5, dtype=np.uint64))
