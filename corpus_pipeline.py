@@ -36,9 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, the one with the smallest id; texts without words stay all."""
-    found = written(ngram_join(docs, with_key=True).filter("n_shingles > 0").select("doc_id", "key", "component_id"))
-    groups = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = found.join(groups, found["component_id"].eqNullSafe(groups["component_id"])).select("key", F.col("first.key").alias("stays"))
+    found = written(ngram_join(docs, with_key=True).filter("n_shingles > 0").select("doc_id", "key", "label"))
+    groups = found.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = found.join(groups, "label").select("key", F.col("first.key").alias("stays"))
     gone = small(written(members.filter("key <> stays").select(F.col("key").alias("_key")).distinct()), BROADCAST_ROWS)
     again = small(written(members.filter("key = stays").groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")), BROADCAST_ROWS)
     keyed = docs.withColumn("_key", _key()).join(gone, "_key", "left_anti")

@@ -298,7 +298,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     their prefixes in a global order (by hash, frequent n-grams last), candidate pairs are verified by a prefix-tree walk,
     and components follow from the links; pairs inside one component need no second look. Hashes have 64 bits.
     A null text or one without words has the empty set and links with nothing; repeated rows are in one component; a null
-    id is never the smallest unless all ids of the component are null; an empty table gives no row.
+    id is never the smallest unless all ids of the component are null; an empty table gives no row. with_key adds the
+    row's key and label, the component's own name, which tells components apart where ids are null or repeated.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("key", F.xxhash64("id", "t"))
     classes, frequent = _classes(keyed, size)
@@ -318,7 +319,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     least = named.filter("n > 0").groupBy("label").agg(F.min("id").alias("least"))
     out = named.join(least, "label", "left")
     component = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), *([F.col("key")] if with_key else []), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select(F.col("id").alias(id_col), *([F.col("key"), F.col("label")] if with_key else []), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
