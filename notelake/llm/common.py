@@ -53,6 +53,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def before(values: Column, block: int = 512) -> Column:
+    """For each whole number of an array, the sum of those before it; worked off in blocks, so a long array costs little more than its length."""
+
+    def sums(part: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def whole(every: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / block).cast("int")), lambda b: F.slice(every, b * block + 1, block))
+        totals = F.transform(blocks, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x))
+        return let(blocks, lambda cut_: F.flatten(F.zip_with(cut_, sums(totals, F.lit(0)), sums)))
+
+    return F.when(F.size(values) > 0, let(values, whole)).otherwise(F.array().cast("array<int>"))
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than ASCII white space, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+", -1), lambda w: w != "")
