@@ -1,320 +1,398 @@
-"""Operator 7: exact n-gram Jaccard join with a global order, prefix postings and prefix-tree verification."""
+"""Operator 7: exact n-gram Jaccard join; sets that meet in their prefixes are joined by walking prefix trees."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from notelake.llm.common import cut, small, table, written
 from notelake.llm.components import components
-from notelake.llm.shingles import WordHasher, by_bytes, set_id, shingle_sets
+from notelake.llm.shingles import WordHasher, by_bytes, mix, set_ids, shingle_sets
 
-#: Members of a frequent n-gram's posting list are dealt over so many parts.
-SALTS = 16
 #: N-grams whose place at the end of the global order is sure: at most so many, the most frequent ones. Only the order
 #: depends on them, no result: whichever they are, sets that link share an n-gram of their prefixes.
 ORDER_HINTS = 500_000
 BROADCAST_KEYS = 2_000_000
-#: Prefixes are longer by MEET - 1 n-grams than one common n-gram asks for, so that linked sets share MEET n-grams there
-#: (or all that the sizes ask for, if fewer). Sets that only share a short passage don't.
-MEET = 16
-#: Open posting lists with more sets than this are looked at in blocks of whole sets, shorter ones pair by pair.
-LONG_LIST = 256
-
-
-def _long(a: np.ndarray) -> pa.Array:
-    return pa.array(np.asarray(a).astype(np.int64), pa.int64())
-
-
-def _sets(batch, hasher: WordHasher, size: int, column: int = 0):
-    """(row, set) for the texts of an Arrow batch, worked off in parts of about a megabyte."""
+#: Prefixes are longer by MEET - 1 n-grams than one common n-gram asks for, so that sets that share only a passage fail
+#: the bound on common prefix n-grams more often.
+MEET = 8
+#: Posting lists with more sets than this are joined as a whole, shorter ones give pairs.
+SHORT_LIST = 16
+#: A prefix tree holds about so many sets, or n-grams; larger groups are dealt over several.
+TREE_SETS, TREE_GRAMS = 1024, 1 << 20
+#: Postings that a task gathers before it deals them out, and that a bucket of posting lists should hold.
+STRETCH, BUCKET = 2_000_000, 4_000_000
+
+
+def _sets(batch: pa.RecordBatch, hasher: WordHasher, size: int, column: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, end, tokens, starts): the sets of the texts [start, end) of an Arrow batch, about a megabyte at a time."""
     texts = batch.column(column).to_pylist()
     for start, end in by_bytes(texts):
         hashes, owner, *_ = hasher(texts[start:end])
-        yield from zip(range(start, end), shingle_sets(hashes, owner, end - start, size), strict=True)
+        yield start, end, *shingle_sets(hashes, owner, end - start, size)
 
 
-def _classes(keyed: DataFrame, size: int, chunk: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def _classes(keyed: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(id, key, sid, n): the name and size of each document's set; and (token, n): n-grams that are frequent somewhere.
 
-    A task counts its n-grams over stretches of about `chunk` of them and names those found in three texts or more.
+    A task counts the n-grams of different sets over stretches and names those found in three texts or more.
     """
     kind = dict(keyed.dtypes)["id"]
+    names = ["id", "key", "sid", "n", "token"]
 
-    def frequent(sets: list[np.ndarray], kind_arrow):
-        token, n = np.unique(np.concatenate(sets), return_counts=True)
+    def frequent(held: list[np.ndarray], kind_arrow: pa.DataType) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held), return_counts=True)
         token, n = token[n >= 3], n[n >= 3]
         nothing = lambda t: pa.nulls(len(token), t)
-        return pa.RecordBatch.from_arrays([nothing(kind_arrow), nothing(pa.int64()), nothing(pa.int64()), _long(n), _long(token)], names=["id", "key", "sid", "n", "token"])
+        return pa.RecordBatch.from_arrays([nothing(kind_arrow), nothing(pa.int64()), nothing(pa.int64()), pa.array(n, pa.int64()), pa.array(token.view(np.int64))], names=names)
 
     def run(batches):
         hasher, held, total, seen, kind_arrow = WordHasher(), [], 0, set(), None
         for batch in batches:
-            kind_arrow, sids, ns = batch.column(0).type, [], []
-            for _, s in _sets(batch, hasher, size, 2):
-                sids.append(sid := set_id(s))
-                ns.append(len(s))
-                if len(s) and sid not in seen:
-                    seen.add(sid)
-                    held.append(s)
-                    total += len(s)
-                if total >= chunk:
+            kind_arrow = batch.column(0).type
+            sids, ns = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for start, end, tokens, starts in _sets(batch, hasher, size, 2):
+                sids[start:end], ns[start:end] = set_ids(tokens, starts), np.diff(starts)
+                fresh = _fresh(sids[start:end], seen)
+                held.append(tokens[np.repeat(fresh, ns[start:end])])
+                total += len(held[-1])
+                if total >= STRETCH:
                     yield frequent(held, kind_arrow)
                     held, total, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _long(sids), _long(ns), pa.nulls(len(sids), pa.int64())], names=["id", "key", "sid", "n", "token"])
-        if held:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids), pa.array(ns), pa.nulls(len(sids), pa.int64())], names=names)
+        if total:
             yield frequent(held, kind_arrow)
 
-    both = cut(keyed.select("id", "key", "t").mapInArrow(run, f"id {kind}, key long, sid long, n long, token long"))
+    both = written(keyed.select("id", "key", "t").mapInArrow(run, f"id {kind}, key long, sid long, n long, token long"))
     return both.filter("token is null").drop("token"), both.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 16")
 
 
-def _prefixes(keyed: DataFrame, size: int, per_cent: int, last: np.ndarray) -> DataFrame:
-    """(token, salt, sid, n): the first n - ceil(n * per_cent / 100) + MEET n-grams of each set in the global order."""
+def _fresh(sids: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which of the sets aren't empty and haven't been seen; seen takes them up."""
+    out = np.zeros(len(sids), bool)
+    for i, sid in enumerate(sids.tolist()):
+        if sid and sid not in seen:
+            seen.add(sid)
+            out[i] = True
+    return out
 
-    def run(batches):
-        hasher, seen = WordHasher(), set()
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for _, s in _sets(batch, hasher, size):
-                sid = set_id(s)
-                if not len(s) or sid in seen:
-                    continue
-                seen.add(sid)
-                n = len(s)
-                keep = min(n, n + (-n * per_cent // 100) + MEET)
-                late = np.zeros(n, bool)
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:keep]
-                for column, v in zip(out, (s[order].astype(np.int64), np.where(late[order], 1 + sid % SALTS, 0), np.full(keep, sid), np.full(keep, n)), strict=True):
-                    column.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["token", "salt", "sid", "n"])
-
-    return keyed.select("t").mapInArrow(run, "token long, salt int, sid long, n int")
-
-
-
-def _frequent_in_prefixes(prefixes: DataFrame, least: int = 8) -> DataFrame:
-    """(token, n): n-grams that stand in `least` prefixes or more."""
-    return prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-
-
-def _order_hints(*counts: DataFrame) -> np.ndarray:
-    """The most frequent n-grams of the tables, as sorted hashes; a bounded list."""
-    every = counts[0]
-    for more in counts[1:]:
-        every = every.union(more)
-    top = every.groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token").limit(ORDER_HINTS).select("token")
+
+def _order_hints(counts: DataFrame) -> np.ndarray:
+    """The most frequent n-grams, as sorted hashes; a bounded list."""
+    top = counts.orderBy(F.desc("n"), "token").limit(ORDER_HINTS).select("token")
     return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def _shared(prefixes: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
-    """Postings of n-grams that may be in two sets (token, sid, n), written out, and first candidate pairs.
+class _Late:
+    """Tells which n-grams are at the end of the global order."""
 
-    A posting list is sorted by size and set name; each set is paired with the one before and the one before that. The
-    parts of a frequent n-gram's list are tied together by their first sets. Sets with much in common meet in many lists,
-    so these chains leave few sets of a group apart; the rest is looked at in a second round.
-    """
-    chain = W.partitionBy("token", "salt").orderBy("n", "sid")
-    ranked = prefixes.select("*", F.lag("sid", 1).over(chain).alias("l1"), F.lag("sid", 2).over(chain).alias("l2"), F.lead("sid", 1).over(chain).alias("next"), F.row_number().over(chain).alias("rn"))
-    shared = written(ranked.filter("l1 is not null or next is not null or salt > 0").select("token", "salt", "sid", "n", "l1", "l2", "rn"))
-    heads = shared.filter("salt > 0 and rn <= 3").withColumns({"l1": F.lag("sid", 1).over(W.partitionBy("token").orderBy("n", "sid")), "l2": F.lag("sid", 2).over(W.partitionBy("token").orderBy("n", "sid"))})
-    each = lambda df: df.select("sid", "n", F.explode(F.array("l1", "l2")).alias("o"))
-    near = each(shared).union(each(heads)).filter("o is not null and o <> sid")
-    met = near.groupBy(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-    # A first look at pairs that stand next to each other often; the second round takes all that is left.
-    return shared.select("token", "sid", "n"), met.filter(F.col("k") >= F.greatest(F.least(F.lit(MEET), F.ceil(F.col("n") * per_cent / 100)) / 4, F.lit(1))).select("a", "b")
+    def __init__(self, last: np.ndarray) -> None:
+        self.last, self.table = last, np.zeros(1 << 22, bool)
+        self.table[(last >> np.uint64(42)).astype(np.int64)] = True
 
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        out = self.table[(tokens >> np.uint64(42)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            part = tokens[maybe]
+            out[maybe] = self.last[np.minimum(np.searchsorted(self.last, part), len(self.last) - 1)] == part
+        return out
 
-def _labelled(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings with their sets' components, and (token, main, k): the most common component of lists with more than one."""
-    rows = shared.dropDuplicates(["token", "sid"]).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("size"))
-    return rows, sizes.filter("labels > 1").select("token", F.col("top.label").alias("main"), F.col("top.k").alias("k"), "size")
 
+def kept(n: np.ndarray, per_cent: int) -> np.ndarray:
+    """Length of the prefix of a set with n n-grams."""
+    return np.minimum(n, n + (-n * per_cent // 100) + MEET)
 
-def _hub_pairs(shared: DataFrame, labels: DataFrame, links: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the sets outside a list's most common component with that component's best-linked sets.
 
-    Members of a large group of near copies mostly link with those that were changed least, so this closes such groups.
-    """
-    rows, main = _labelled(shared, labels)
-    degree = links.select(F.col("a").alias("sid")).union(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
-    listed = rows.join(main.filter("k >= 3"), "token")
-    part = F.pmod(F.xxhash64("sid"), F.lit(4))
-    inside = listed.filter("label = main").join(degree, "sid").groupBy("token").agg(*(F.max(F.when(part == i, F.struct("degree", "sid"))).alias(f"h{i}") for i in range(4)))
-    hubs = inside.select("token", F.explode(F.array(*(F.col(f"h{i}.sid") for i in range(4)))).alias("hub")).filter("hub is not null")
-    met = listed.filter("label <> main").select("token", "sid").join(hubs, "token")
-    return met.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+def prefixes(tokens: np.ndarray, starts: np.ndarray, late: np.ndarray, per_cent: int) -> np.ndarray:
+    """Which n-grams are in their set's prefix in the global order: by hash, those in late after all others."""
+    n = np.diff(starts)
+    own = np.repeat(np.arange(len(n)), n)
+    early = np.concatenate([[0], np.cumsum(~late)])
+    before = early[:-1] - early[starts[:-1]][own]
+    rank = np.where(late, (early[starts[1:]] - early[starts[:-1]])[own] + np.arange(len(tokens)) - starts[:-1][own] - before, before)
+    return rank < kept(n, per_cent)[own]
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share enough prefix n-grams, may link by their sizes, and aren't in one component yet.
+def _postings(keyed: DataFrame, size: int, per_cent: int, last: np.ndarray, parts: int) -> DataFrame:
+    """(part, late, token, sid, n): packed postings of the sets' prefixes, dealt out by n-gram; those of late n-grams by set."""
+    names = ["part", "late", "token", "sid", "n"]
 
-    In each posting list, only sets outside its most common component are looked up against the others, so a list whose
-    sets are all linked gives nothing.
-    """
-    rows, main = _labelled(shared, labels)
-    rows = rows.join(main.filter(F.col("size") <= LONG_LIST), "token")
-    rows = written(rows)
-    x = rows.filter("label <> main").select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = rows.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-    fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
-    met = x.join(y, (x["token"] == y["token"]) & fits).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest("na", "nb")).alias("n"))
-    enough = F.col("k") >= F.least(F.lit(MEET), F.ceil(F.col("n") * per_cent / 100))
-    return met.filter(enough).select("a", "b").join(done, ["a", "b"], "left_anti")
-
-
-def _long_list_links(shared: DataFrame, labels: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int, per_cent: int, side: int = 256) -> DataFrame:
-    """Links (a, b) between sets of long open posting lists, for those outside a list's most common component.
-
-    Lists with the same most common component belong to one group of similar sets. A group's sets are dealt into blocks
-    of about `side`; each pair of blocks is verified in one bucket, so no pair is written that doesn't link.
-    """
-    rows, main = _labelled(shared, labels)
-    listed = rows.join(main.filter(F.col("size") > LONG_LIST), "token")
-    members = cut(listed.groupBy("main", "sid").agg(F.bool_or(F.col("label") != F.col("main")).alias("outside")))
-    blocks = members.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "main").withColumn("mine", F.pmod(F.xxhash64("sid"), "blocks"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")
-    named = lambda x, y: F.xxhash64("main", x, y).alias("bucket")
-    probes = dealt.filter("outside").select("main", "sid", "mine", others).select(named("mine", "other"), F.lit(1).alias("kind"), "sid")
-    held = dealt.select("main", "sid", "mine", others).select(named("other", "mine"), F.lit(0).alias("kind"), "sid")
-    keys = small(cut(first_key.join(members.select("sid").distinct(), "sid").select("key", "sid")), BROADCAST_KEYS)
-    texts = keyed.select("key", "t").join(keys, "key").dropDuplicates(["sid"]).select("sid", "t")
-    met = held.union(probes).join(texts, "sid").select("bucket", "kind", "sid", "t")
+    def dealt(part: np.ndarray, late: bool, token: np.ndarray, sid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        part, token, sid, n = part[order], token[order], sid[order], n[order]
+        own, first = np.unique(part, return_index=True)
+        ends = np.append(first[1:], len(part))
+        packed = [[x[a:b].tobytes() for a, b in zip(first, ends, strict=True)] for x in (token, sid, n)]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([late] * len(own)), *(pa.array(x, pa.binary()) for x in packed)], names=names)
+
+    def run(batches):
+        hasher, seen, held, total = WordHasher(), set(), [], 0
+        is_late = _Late(last) if len(last) else lambda tokens: np.zeros(len(tokens), bool)
+
+        def flush():
+            token, sid, n, late = (np.concatenate(x) for x in zip(*held, strict=True))
+            low = (token & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)
+            if not late.all():
+                # Within a bucket, half of the hash tells n-grams apart: a mix-up adds a pair to look at, and loses none.
+                yield dealt(low[~late], False, (token[~late] >> np.uint64(32)).astype("<u4"), sid[~late], n[~late])
+            if late.any():
+                yield dealt((mix(sid[late].view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), True, token[late], sid[late], n[late])
+
+        for batch in batches:
+            for _, _, tokens, starts in _sets(batch, hasher, size):
+                sids, n = set_ids(tokens, starts), np.diff(starts)
+                late = is_late(tokens)
+                chosen = prefixes(tokens, starts, late, per_cent) & np.repeat(_fresh(sids, seen), n)
+                held.append((tokens[chosen], np.repeat(sids, n)[chosen], np.repeat(n, n)[chosen].astype("<i4"), late[chosen]))
+                total += len(held[-1][0])
+                if total >= STRETCH:
+                    yield from flush()
+                    held, total = [], 0
+        if total:
+            yield from flush()
+
+    return keyed.select("t").mapInArrow(run, "part int, late boolean, token binary, sid binary, n binary")
+
+
+def _met(postings: DataFrame, parts: int, per_cent: int) -> DataFrame:
+    """(token, a, na, b, nb, k): pairs of sets that share k n-grams with short posting lists in a bucket (token is null), and the
+    postings (token, a, na) of long lists and of late n-grams."""
+    names = ["token", "a", "na", "b", "nb", "k"]
+    rows = lambda *x: pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in x], names=names)
+
+    def long_rows(token: np.ndarray, sid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = lambda t: pa.nulls(len(token), t)
+        return rows(token.view(np.int64), sid, n, none(pa.int64()), none(pa.int32()), none(pa.int32()))
 
     def run(batches):
-        hasher, bucket, names, sets = WordHasher(), None, [], []
+        held, part = [], 0
         for batch in batches:
-            out: list[list[int]] = [[], []]
-            for name, kind, sid, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if name != bucket:
-                    bucket, names, sets = name, [], []
-                hashes, owner, *_ = hasher([t])
-                one = shingle_sets(hashes, owner, 1, size)[0]
-                if kind == 0:
-                    names.append(sid)
-                    sets.append(one)
-                    continue
-                near = [i for i, s in enumerate(sets) if names[i] != sid and 100 * min(len(s), len(one)) >= per_cent * max(len(s), len(one))]
-                for i, ok in zip(near, tree_links(one, [sets[i] for i in near], per_cent), strict=True):
-                    if ok:
-                        out[0].append(min(sid, names[i]))
-                        out[1].append(max(sid, names[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
-
-    return cut(met.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "a long, b long"))
-
-
-def tree_links(probe: np.ndarray, members: list[np.ndarray], per_cent: int, block: int = 128) -> list[bool]:
-    """For each member whether 100 * |intersection| >= per_cent * |union| with probe.
-
-    The members, sorted sets of one global order, are met in the order of a prefix tree's depth-first walk: what a path
-    shares with the last one keeps its overlaps, and a path is left once what remains of it and of the probe can't reach
-    the overlap that the sizes ask for.
+            for p, late, *packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                token, sid, n = (np.frombuffer(x, t) for x, t in zip(packed, ("<u8" if late else "<u4", "<i8", "<i4"), strict=True))
+                if late:
+                    yield long_rows(token, sid, n)
+                else:
+                    held.append((token, sid, n))
+                    part = p
+        if not held:
+            return
+        token, sid, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        names_, own = np.unique(sid, return_inverse=True)
+        sizes = np.zeros(len(names_), np.int32)
+        sizes[own] = n
+        each = np.unique((token.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64))
+        token, own = each >> np.uint64(32), (each & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        df = np.diff(np.append(first, len(token)))
+        pairs = []
+        for k in range(2, SHORT_LIST + 1):
+            lists = own[first[df == k][:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            a, b = lists[:, i].ravel(), lists[:, j].ravel()
+            near = 100 * np.minimum(sizes[a], sizes[b]).astype(np.int64) >= per_cent * np.maximum(sizes[a], sizes[b])
+            pairs.append(a[near] << 32 | b[near])
+        pair, k = np.unique(np.concatenate(pairs), return_counts=True)
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        for at in range(0, len(pair), 100_000):
+            x, y, c = a[at : at + 100_000], b[at : at + 100_000], k[at : at + 100_000]
+            yield rows(pa.nulls(len(x), pa.int64()), names_[x], sizes[x], names_[y], sizes[y], c.astype(np.int32))
+        far = np.repeat(df > SHORT_LIST, df)
+        token, own = token[far] | np.uint64(part) << np.uint64(32), own[far]
+        for at in range(0, len(token), 100_000):
+            yield long_rows(token[at : at + 100_000], names_[own[at : at + 100_000]], sizes[own[at : at + 100_000]])
+
+    return written(postings.repartitionById(parts, "part").mapInArrow(run, "token long, a long, na int, b long, nb int, k int"))
+
+
+def _candidates(met: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) that share as many prefix n-grams as linking asks for.
+
+    Of two sets, the one whose prefix ends first has at most its rest in common with the other behind that end.
+    """
+    pairs = met.filter("token is null").groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    need = F.ceil(per_cent * (F.col("na") + F.col("nb")) / (100 + per_cent))
+    rest = F.greatest(F.ceil(per_cent * F.greatest("na", "nb") / 100) - MEET, F.lit(0))
+    return pairs.filter(F.col("k") >= need - rest).select("a", "b")
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """(r, sid, n, k): for long posting lists, the sets that share k of them with set r, the least of each such list."""
+    longs = met.filter("token is not null").select("token", F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
+    least = longs.groupBy("token").agg(F.min("sid").alias("r"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").drop("sets")
+    return longs.join(least, "token").groupBy("r", "sid").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+
+
+class PrefixTree:
+    """Sets of numbers, sorted in the global order, as paths from a root; walks share the overlaps of common beginnings."""
+
+    def __init__(self, sets: list[np.ndarray], per_cent: int) -> None:
+        self.per_cent = per_cent
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
+        self.sets = [sets[i] for i in self.order]
+        self.shared = [0, *(self._common(a, b) for a, b in zip(self.sets, self.sets[1:], strict=False))]
+        self.sums = np.zeros(max(map(len, sets), default=0) + 1, np.int64)
+
+    @staticmethod
+    def _common(a: np.ndarray, b: np.ndarray) -> int:
+        n = min(len(a), len(b))
+        differ = a[:n] != b[:n]
+        return int(differ.argmax()) if differ.any() else n
+
+    def walk(self, probe: np.ndarray, inside: np.ndarray, skip, block: int = 64) -> Iterator[int]:
+        """Sets for which 100 * |intersection| >= per_cent * |union| with probe; inside tells probe's numbers, skip(i) leaves out set i.
+
+        What a path shares with the last one keeps its overlaps. A subtree is left once what remains of probe can't reach
+        the least overlap that any set needs, and a path once what remains of it and of probe can't reach its own.
+        """
+        size, per_cent, sums = len(probe), self.per_cent, self.sums
+        least = -(-per_cent * size // 100)
+        same = known = 0  # depth shared with the last path looked at, and how far that was looked at
+        pruned = None
+        for i, m, shared in zip(self.order, self.sets, self.shared, strict=True):
+            same = min(same, shared)
+            if pruned is not None and same >= pruned:
+                continue
+            if 100 * min(size, len(m)) < per_cent * max(size, len(m)) or skip(i):
+                continue
+            at = min(same, known)
+            need = -(-per_cent * (size + len(m)) // (100 + per_cent))
+            pruned, enough = None, True
+            while at < len(m):
+                part = m[at : at + block]
+                end = at + len(part)
+                np.cumsum(inside[part], out=sums[at + 1 : end + 1])
+                sums[at + 1 : end + 1] += sums[at]
+                at, now = end, int(sums[end])
+                ahead = size - int(np.searchsorted(probe, part[-1], side="right"))
+                if now + ahead < least:
+                    pruned = at
+                if now + min(len(m) - at, ahead) < need:
+                    enough = False
+                    break
+            same, known = len(m), at
+            if enough and sums[at] >= need:
+                yield i
+
+
+def cluster_links(sets: list[np.ndarray], members: list[int], probes: list[int], per_cent: int) -> list[tuple[int, int]]:
+    """Links between probes and members, as many as it takes to connect what they connect; sets are sorted arrays of hashes.
+
+    The probes with the most common n-grams come first, since they link with most; sets that are already connected with
+    a probe aren't looked at again.
     """
-    order = sorted(range(len(members)), key=lambda i: members[i].byteswap().tobytes())
-    linked = [False] * len(members)
-    path, overlap, known = np.zeros(0, np.uint64), np.zeros(1, np.int64), 0
-    for i in order:
-        m = members[i]
-        need = -(-per_cent * (len(probe) + len(m)) // (100 + per_cent))
-        size = min(known, len(m))
-        differ = np.flatnonzero(path[:size] != m[:size])
-        shared = int(differ[0]) if len(differ) else size
-        sums = np.empty(len(m) + 1, np.int64)
-        sums[: shared + 1] = overlap[: shared + 1]
-        at = shared
-        while at < len(m):
-            ahead = len(probe) - int(np.searchsorted(probe, m[at]))
-            if sums[at] + min(len(m) - at, ahead) < need:
-                break
-            part = m[at : at + block]
-            place = np.minimum(np.searchsorted(probe, part), len(probe) - 1)
-            sums[at + 1 : at + 1 + len(part)] = sums[at] + np.cumsum(probe[place] == part)
-            at += len(part)
-        linked[i] = at == len(m) and bool(sums[at] >= need)
-        path, overlap, known = m, sums, at
-    return linked
-
-
-def _verify(pairs: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int, per_cent: int, side: int = 512) -> DataFrame:
-    """The pairs (a, b) that link.
-
-    Sets are dealt by hash into groups of about `side`; all pairs of two groups are verified together, so a text travels
-    once to each bucket it has pairs in, not once a pair, and a task holds about two groups of texts at a time. Texts
-    travel, not sets: they compress, and their sets are hashed anew.
+    flat = np.concatenate(sets)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(s) for s in sets])
+    local = np.split(place, ends[:-1])
+    top = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    tree, inside, links = PrefixTree([local[i] for i in members], per_cent), np.zeros(len(count), bool), []
+    for p in sorted(probes, key=lambda i: -float(count[local[i]].mean())):
+        inside[local[p]] = True
+        for i in tree.walk(local[p], inside, lambda i: root(members[i]) == root(p)):  # noqa: B023
+            top[root(members[i])] = root(p)
+            links.append((p, members[i]))
+        inside[local[p]] = False
+    return links
+
+
+def _joined(rows: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """Links (a, b) of rows (bucket, kind, sid): in each bucket, probes (kind 1 and 2) walk the tree of members (kind 0 and 2).
+
+    Texts travel, not sets: they compress, and their sets are hashed anew. A task holds one bucket at a time.
     """
-    wanted = cut(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
-    groups = max(1, -(-wanted.count() // side))
-    keys = small(cut(first_key.join(wanted, "sid").select("key", "sid")), BROADCAST_KEYS)
-    texts = keyed.select("key", "t").join(keys, "key").select("sid", "t")  # repeated rows only give a text twice
-    part = lambda c: F.pmod(F.xxhash64(F.lit(groups), F.col(c)), F.lit(groups))
-    dealt = pairs.select("a", "b", (part("a") * groups + part("b")).alias("bucket"))
-    need = dealt.select("bucket", F.col("a").alias("sid")).union(dealt.select("bucket", F.col("b").alias("sid"))).distinct()
-    held = need.join(texts, "sid").select("bucket", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "t")
-    rows = held.union(dealt.select("bucket", F.lit(1), "a", "b", F.lit(None).cast("string")))
+    rows = cut(rows)
+    keys = small(cut(first_key.join(rows.select("sid").distinct(), "sid").select("key", "sid")), BROADCAST_KEYS)
+    texts = keyed.select("key", "t").join(keys, "key").dropDuplicates(["sid"]).select("sid", "t")  # repeated rows only give a text twice
 
     def run(batches):
-        hasher, bucket, sets, probe, members = WordHasher(), None, {}, None, []
+        hasher, bucket, held, kinds, seen = WordHasher(), None, {}, {}, False
 
-        def flush():
-            ok = tree_links(sets[probe], [sets[b] for b in members], per_cent)
-            b = [m for m, good in zip(members, ok, strict=True) if good]
-            return pa.RecordBatch.from_arrays([pa.array([probe] * len(b), pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def flush() -> pa.RecordBatch:
+            names = list(held)
+            found = cluster_links([held[s] for s in names], [i for i, s in enumerate(names) if kinds[s] != 1], [i for i, s in enumerate(names) if kinds[s] != 0], per_cent)
+            return pa.RecordBatch.from_arrays([pa.array([min(names[x], names[y]) for x, y in found], pa.int64()), pa.array([max(names[x], names[y]) for x, y in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for name, kind, a, b, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if members and (name != bucket or a != probe):
-                    yield flush()
-                    members = []
-                if name != bucket:
-                    bucket, sets = name, {}
-                if kind == 0:
-                    if a not in sets:
-                        hashes, owner, *_ = hasher([t])
-                        sets[a] = shingle_sets(hashes, owner, 1, size)[0]
-                else:
-                    probe = a
-                    members.append(b)
-        if members:
+            buckets, kind, sids = (batch.column(i).to_pylist() for i in range(3))
+            for start, _, tokens, starts in _sets(batch, hasher, size, 3):
+                for i, (lo, hi) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True), start):
+                    if buckets[i] != bucket or not seen:
+                        if held:
+                            yield flush()
+                        bucket, held, kinds, seen = buckets[i], {}, {}, True
+                    sid = sids[i]
+                    kinds[sid] = kind[i] if kinds.get(sid, kind[i]) == kind[i] else 2
+                    if sid not in held:
+                        held[sid] = tokens[lo:hi].copy()
+        if held:
             yield flush()
 
-    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "a")
-    return cut(sorted_rows.mapInArrow(run, "a long, b long"))
+    met = rows.join(texts, "sid").select("bucket", "kind", "sid", "t")
+    return written(met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long"))
+
+
+def _links(met: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """Links (a, b), enough to connect what any links connect."""
+    pairs = cut(_candidates(met, per_cent))
+    named = lambda what, *c: F.xxhash64(F.lit(what), *c).alias("bucket")
+    probe, member, both = (F.lit(k).alias("kind") for k in (1, 0, 2))
+    rows = pairs.select(named("pair", "a"), member, F.col("b").alias("sid")).union(pairs.select(named("pair", "a"), probe, F.col("a").alias("sid")).distinct())
+    stars = cut(_stars(met))
+    sizes = stars.groupBy("r").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TREE_SETS), F.ceil(F.sum("n") / TREE_GRAMS)).cast("int").alias("blocks"))
+    dealt = stars.join(sizes, "r").withColumn("mine", F.pmod(F.xxhash64("sid"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")
+    rows = rows.union(dealt.select(named("star", "r", "mine"), both, "sid"))
+    large = cut(dealt.filter("blocks > 1"))
+    # A large group's sets with the most shared lists for their size meet all of its trees.
+    hub = F.max(F.struct(F.col("k") / F.col("n"), "sid"))
+    hubs = large.groupBy("r", F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(8)).alias("salt")).agg(hub["sid"].alias("sid"), F.max("blocks").alias("blocks"))
+    rows = rows.union(hubs.select("r", "sid", every).select(named("star", "r", "other"), probe, "sid"))
+    links = _joined(rows, keyed, first_key, size, per_cent)
+    if large.isEmpty():
+        return links
+    # What isn't connected with its group's largest part by now meets all of the group's trees.
+    labels = components(links).withColumnRenamed("node", "sid")
+    known = cut(large.join(labels, "sid", "left").select("r", "sid", "mine", "blocks", F.coalesce("label", "sid").alias("label")))
+    main = known.groupBy("r", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("r").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    outside = known.join(main, "r").filter("label <> main").select("r", "sid", every)
+    more = known.select(named("star", "r", "mine"), member, "sid").union(outside.select(named("star", "r", "other"), probe, "sid"))
+    return links.union(_joined(more, keyed, first_key, size, per_cent))
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, per_cent: int = 75, with_key: bool = False) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id reachable by links, its own if none).
 
     A document's set holds its distinct `size`-word shingles (fewer words: the whole sequence is one). Two link when
-    100 * intersection >= per_cent * union. Equal sets are one class from the start. Classes meet in the posting lists of
-    their prefixes in a global order (by hash, frequent n-grams last), candidate pairs are verified by a prefix-tree walk,
-    and components follow from the links; pairs inside one component need no second look. Hashes have 64 bits.
-    A null text or one without words has the empty set and links with nothing; repeated rows are in one component; a null
-    id is never the smallest unless all ids of the component are null; an empty table gives no row. with_key adds the
-    row's key and label, the component's own name, which tells components apart where ids are null or repeated.
+    100 * intersection >= per_cent * union. Equal sets are one class from the start. Sets are in one global order (by
+    hash, frequent n-grams last) and meet in the posting lists of their prefixes: sets of a short list that share as many
+    prefix n-grams as linking asks for, and all sets of a long list, come together in buckets. There, each is walked down
+    the prefix tree of the others, and components follow from the links; sets inside one component need no second look.
+    Hashes have 64 bits. A null text or one without words has the empty set and links with nothing; repeated rows are in
+    one component; a null id is never the smallest unless all ids of the component are null; of equal ids it doesn't
+    matter which counts; very long texts are sets like others, a tree holds fewer of them; an empty table gives no row;
+    other columns are left out, whatever their names. with_key adds the row's key and label, the component's own name,
+    which tells components apart where ids are null or repeated.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("key", F.xxhash64("id", "t"))
     classes, frequent = _classes(keyed, size)
-    last = _order_hints(frequent)
-    # What is frequent among first prefixes goes to the end of the order too; lists of the second prefixes are short.
-    last = _order_hints(frequent, _frequent_in_prefixes(_prefixes(keyed, size, per_cent, last)))
+    grams = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), grams * (100 - per_cent) // 100 // BUCKET)
+    met = _met(_postings(keyed, size, per_cent, _order_hints(frequent), parts), parts, per_cent)
     first_key = classes.filter("n > 0").groupBy("sid").agg(F.min_by("key", F.struct("id", "key")).alias("key"))
-    shared, pairs = _shared(_prefixes(keyed, size, per_cent, last), per_cent)
-    pairs = cut(pairs)
-    links = _verify(pairs, keyed, first_key, size, per_cent)
-    hubs = cut(_hub_pairs(shared, components(links), links, pairs))
-    links, pairs = links.union(_verify(hubs, keyed, first_key, size, per_cent)), pairs.union(hubs)
-    links = links.union(_long_list_links(shared, components(links), keyed, first_key, size, per_cent))
-    more = cut(_open_pairs(shared, components(links), pairs, per_cent))
-    labels = components(links.union(_verify(more, keyed, first_key, size, per_cent)))
+    labels = components(_links(met, keyed, first_key, size, per_cent))
     named = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = named.filter("n > 0").groupBy("label").agg(F.min("id").alias("least"))
     out = named.join(least, "label", "left")

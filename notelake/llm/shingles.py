@@ -57,34 +57,49 @@ class WordHasher:
         return hashes, np.searchsorted(bounds, starts, side="right"), data, starts, ends
 
 
-def shingle_sets(hashes: np.ndarray, owner: np.ndarray, n_texts: int, size: int) -> list[np.ndarray]:
-    """Per text its sorted distinct shingle hashes; a text with fewer words than size, but not none, has one shingle."""
+def shingle_sets(hashes: np.ndarray, owner: np.ndarray, n_texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all texts, one text after the other, and where each text's begin (and the end).
+
+    A text with fewer words than size, but not none, has one shingle.
+    """
     counts = np.bincount(owner, minlength=n_texts)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    if len(hashes) >= size:
-        wide = len(hashes) - size + 1
-        total = np.zeros(wide, _U)
-        for j in range(size):
-            total += hashes[j : j + wide] * _FACTORS[j + 1]
-        total = mix(total)
-    out = []
-    for i in range(n_texts):
-        n, at = counts[i], first[i]
-        if n >= size:
-            out.append(np.unique(total[at : at + n - size + 1]))
-        elif n:
-            value = _U(n)
-            for h in hashes[at : at + n]:
-                value = mix(np.array([value]) * _FACTORS[7] + h)[0]
-            out.append(np.array([value], _U))
-        else:
-            out.append(np.zeros(0, _U))
-    return out
-
-
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit name (signed) of a set of hashes; 0 for the empty set."""
-    return int(mix(np.array([mix(s).sum() + _U(len(s))], _U)).astype(np.int64)[0]) if len(s) else 0
+    wide = max(0, len(hashes) - size + 1)
+    total = np.zeros(wide, _U)
+    for j in range(size):
+        total += hashes[j : j + wide] * _FACTORS[j + 1]
+    whole = owner[:wide] == owner[len(owner) - wide :]
+    tokens, own = mix(total[whole]), owner[:wide][whole]
+    few = np.flatnonzero((counts > 0) & (counts < size))
+    if len(few):
+        first = np.concatenate([[0], np.cumsum(counts)])
+        own = np.concatenate([own, few])
+        tokens = np.concatenate([tokens, np.array([_short(hashes[first[i] : first[i] + counts[i]]) for i in few], _U)])
+        order = np.argsort(own, kind="stable")
+        tokens, own = tokens[order], own[order]
+    places = np.arange(n_texts + 1)
+    starts = np.searchsorted(own, places)
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b - a > 1:
+            tokens[a:b].sort()
+    if len(tokens):
+        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (own[1:] != own[:-1])])
+        tokens, own = tokens[new], own[new]
+    return tokens, np.searchsorted(own, places)
+
+
+def _short(hashes: np.ndarray) -> np.uint64:
+    value = _U(len(hashes))
+    for h in hashes:
+        value = mix(np.array([value]) * _FACTORS[7] + h)[0]
+    return value
+
+
+def set_ids(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit names (signed) of the sets that shingle_sets gives; 0 for an empty one."""
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(tokens))])
+    n = np.diff(starts)
+    named = mix(mix(sums[starts[1:]] - sums[starts[:-1]] + n.astype(_U)))
+    return np.where(n > 0, named, _U(0)).view(np.int64)
 
 
 def by_bytes(texts: list[str], limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:

@@ -17,7 +17,7 @@ from notelake.llm.license_scan import build_index, license_scan, scan_words, win
 from notelake.llm.license_templates import TEMPLATES
 from notelake.llm.line_dedup import line_dedup
 from notelake.llm.lm_scoring import Options, lm_scoring, seat
-from notelake.llm.ngram_join import ngram_join, tree_links
+from notelake.llm.ngram_join import PrefixTree, ngram_join, prefixes
 from notelake.llm.packing import pack
 from notelake.llm.quality import quality_rules
 from notelake.llm.secrets import secret_scan
@@ -199,7 +199,8 @@ def test_ngram_join(odd, nothing, spark):
 def test_ngram_join_long_lists(spark, monkeypatch):
     from notelake.llm import ngram_join as module
 
-    monkeypatch.setattr(module, "LONG_LIST", 2)
+    monkeypatch.setattr(module, "SHORT_LIST", 2)
+    monkeypatch.setattr(module, "TREE_SETS", 16)
     rng = np.random.default_rng(8)
     base = [f"w{rng.integers(0, 9000)}" for _ in range(120)]
     texts = {}
@@ -213,14 +214,32 @@ def test_ngram_join_long_lists(spark, monkeypatch):
     assert got == label and len(set(label.values())) > 1
 
 
-def test_tree_links():
+def test_prefix_tree_walk():
     rng = np.random.default_rng(2)
-    make = lambda n: np.unique(rng.integers(0, 300, n).astype(np.uint64))
+    make = lambda n: np.unique(rng.integers(0, 300, n))
     for _ in range(30):
         probe, members = make(150), [make(rng.integers(20, 300)) for _ in range(12)]
         members += [np.unique(np.concatenate([probe[: rng.integers(100, len(probe))], make(5)])) for _ in range(6)]
-        want = [100 * len(np.intersect1d(probe, m)) >= 75 * len(np.union1d(probe, m)) for m in members]
-        assert tree_links(probe, members, 75, block=16) == want
+        want = {i for i, m in enumerate(members) if 100 * len(np.intersect1d(probe, m)) >= 75 * len(np.union1d(probe, m))}
+        inside = np.zeros(300, bool)
+        inside[probe] = True
+        tree = PrefixTree(members, 75)
+        assert set(tree.walk(probe, inside, lambda i: False, block=16)) == want
+        assert set(tree.walk(probe, inside, lambda i: i % 2 == 0, block=16)) == {i for i in want if i % 2}
+
+
+def test_prefixes_hold_common_grams():
+    rng = np.random.default_rng(4)
+    late = np.sort(rng.integers(0, 900, 60).astype(np.uint64))
+    for _ in range(40):
+        a = np.unique(rng.integers(0, 900, 120).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.12], rng.integers(0, 900, 9).astype(np.uint64)]))
+        both, n = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 100 * both < 75 * n:
+            continue
+        pa_, pb = (x[prefixes(x, np.array([0, len(x)]), np.isin(x, late), 75)] for x in (a, b))
+        need, rest = -(-75 * (len(a) + len(b)) // 175), max(len(a) - len(pa_), len(b) - len(pb))
+        assert len(np.intersect1d(pa_, pb)) >= max(need - rest, 1)
 
 
 def test_components_of_long_chain(spark):
