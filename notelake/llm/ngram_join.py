@@ -17,9 +17,9 @@ from notelake.llm.shingles import WordHasher, by_bytes, mix, set_ids, shingle_se
 #: depends on them, no result: whichever they are, sets that link share an n-gram of their prefixes.
 ORDER_HINTS = 500_000
 BROADCAST_KEYS = 2_000_000
-#: Prefixes are longer by MEET - 1 n-grams than one common n-gram asks for, so that sets that share only a passage fail
-#: the bound on common prefix n-grams more often.
-MEET = 8
+#: Linked sets share MEET prefix n-grams and one more for each PER n-grams (or all that they have). One common n-gram would
+#: do for shorter prefixes, but then sets that share only a passage would have to be looked at.
+MEET, PER = 8, 20
 #: Posting lists with more sets than this are joined as a whole, shorter ones give pairs.
 SHORT_LIST = 16
 #: A prefix tree holds about so many sets, or n-grams; larger groups are dealt over several.
@@ -105,7 +105,7 @@ class _Late:
 
 def kept(n: np.ndarray, per_cent: int) -> np.ndarray:
     """Length of the prefix of a set with n n-grams."""
-    return np.minimum(n, n + (-n * per_cent // 100) + MEET)
+    return np.minimum(n, n + (-n * per_cent // 100) + MEET + n // PER)
 
 
 def prefixes(tokens: np.ndarray, starts: np.ndarray, late: np.ndarray, per_cent: int) -> np.ndarray:
@@ -210,20 +210,33 @@ def _met(postings: DataFrame, parts: int, per_cent: int) -> DataFrame:
     return written(postings.repartitionById(parts, "part").mapInArrow(run, "token long, a long, na int, b long, nb int, k int"))
 
 
-def _candidates(met: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) that share as many prefix n-grams as linking asks for.
+def _shared(met: DataFrame) -> DataFrame:
+    """(a, b, k, na, nb): pairs of sets with the number k of prefix n-grams with short lists that they share."""
+    return met.filter("token is null").groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+
+def _candidates(pairs: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) that share as many prefix n-grams as linking asks for, if they share none with a long list.
 
     Of two sets, the one whose prefix ends first has at most its rest in common with the other behind that end.
     """
-    pairs = met.filter("token is null").groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    most = F.greatest("na", "nb")
     need = F.ceil(per_cent * (F.col("na") + F.col("nb")) / (100 + per_cent))
-    rest = F.greatest(F.ceil(per_cent * F.greatest("na", "nb") / 100) - MEET, F.lit(0))
+    rest = F.greatest(F.ceil(per_cent * most / 100) - MEET - F.floor(most / PER), F.lit(0))
     return pairs.filter(F.col("k") >= need - rest).select("a", "b")
 
 
-def _stars(met: DataFrame) -> DataFrame:
-    """(r, sid, n, k): for long posting lists, the sets that share k of them with set r, the least of each such list."""
+def _stars(met: DataFrame, pairs: DataFrame, per_cent: int) -> DataFrame:
+    """(r, sid, n, k): for long posting lists, the sets that share k of them with set r, the least of each such list.
+
+    A set stays out if all its long lists, and the most that it shares of short ones with any one other, don't make up the
+    prefix n-grams that it shares with every set it links with.
+    """
     longs = met.filter("token is not null").select("token", F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
+    ends = pairs.select(F.col("a").alias("sid"), "k").union(pairs.select(F.col("b").alias("sid"), "k")).groupBy("sid").agg(F.max("k").alias("most"))
+    lists = longs.groupBy("sid").agg(F.count(F.lit(1)).alias("lists")).join(ends, "sid", "left")
+    enough = F.least(MEET + F.floor(F.col("n") / PER), F.ceil(per_cent * F.col("n") / 100))
+    longs = longs.join(lists, "sid").filter(F.col("lists") + F.coalesce("most", F.lit(0)) >= enough)
     least = longs.groupBy("token").agg(F.min("sid").alias("r"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").drop("sets")
     return longs.join(least, "token").groupBy("r", "sid").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
 
@@ -346,11 +359,12 @@ def _joined(rows: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int,
 
 def _links(met: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Links (a, b), enough to connect what any links connect."""
-    pairs = cut(_candidates(met, per_cent))
+    shared = written(_shared(met))
+    pairs = cut(_candidates(shared, per_cent))
     named = lambda what, *c: F.xxhash64(F.lit(what), *c).alias("bucket")
     probe, member, both = (F.lit(k).alias("kind") for k in (1, 0, 2))
     rows = pairs.select(named("pair", "a"), member, F.col("b").alias("sid")).union(pairs.select(named("pair", "a"), probe, F.col("a").alias("sid")).distinct())
-    stars = cut(_stars(met))
+    stars = cut(_stars(met, shared, per_cent))
     sizes = stars.groupBy("r").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TREE_SETS), F.ceil(F.sum("n") / TREE_GRAMS)).cast("int").alias("blocks"))
     dealt = stars.join(sizes, "r").withColumn("mine", F.pmod(F.xxhash64("sid"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")
