@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,14 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder in spark.checkpoint.dir; only where that is unset (tests) make one here."""
+    """Use the cluster's shared folder in spark.checkpoint.dir; where that is unset, a folder of this machine if all tasks run in this process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
-        import tempfile
-
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
     sc.setCheckpointDir(folder)
 
@@ -43,9 +44,33 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df marked for broadcast if it was counted to have at most most_rows rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+#: Tables up to so many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _bytes(name: str, kind: str) -> Column:
+    """About the bytes that a column's value takes in memory."""
+    if kind in ("string", "binary"):
+        return 16 + F.octet_length(name)
+    if kind in ("array<string>", "array<binary>"):
+        return 16 + F.aggregate(name, F.lit(0).cast("long"), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
+    if kind.startswith("array<"):
+        return 16 + F.size(name) * 8 * (1 + kind.count(","))
+    return F.lit(8 * (1 + kind.count(",")))
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (best a written table: it is read once more) marked for broadcast if its rows take at most so many bytes, else as it is (a shuffled join)."""
+    size = df.agg(F.sum(sum((F.coalesce(_bytes(c, kind), F.lit(8)) for c, kind in df.dtypes), F.lit(16)).cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column of taken has it in any case."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -10,8 +10,6 @@ from notelake.llm.common import ascii_lower, cut, small, table
 #: What stands between words once A-Z are lower case: ASCII other than digits and a-z. The second form leaves A-Z in words.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAPS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Sides with at most so many rows are broadcast, larger ones shuffled.
-BROADCAST_ROWS = 400_000
 
 
 def _words(text: Column) -> Column:
@@ -35,7 +33,7 @@ def rarest_terms(keyed: DataFrame, items: DataFrame, window: int) -> DataFrame:
     Terms are counted over all documents. A window with a term that no document has can't occur and is left out.
     """
     terms = items.select("item", F.posexplode("w").alias("p", "term"))
-    vocabulary = small(terms.select("term").distinct(), BROADCAST_ROWS)
+    vocabulary = small(terms.select("term").distinct())
     counts = cut(keyed.select(F.explode(_words(F.col("t"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     windows = items.select("item", F.size("w").alias("size"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))).alias("start"))
     in_window = windows.join(terms, "item").filter((F.col("p") >= F.col("start")) & (F.col("p") < F.col("start") + window))
@@ -52,17 +50,17 @@ def alignments(keyed: DataFrame, pairs: DataFrame, slack: int = 0) -> DataFrame:
     With slack 0 the shifted positions must be equal (phrases); else they may differ by up to slack words (proximity).
     """
     p1 = pairs.select("item", F.col("p1").alias("p"), F.col("t1").alias("term"))
-    terms = small(p1.union(pairs.select("item", F.col("p2").alias("p"), F.col("t2").alias("term"))).distinct(), BROADCAST_ROWS)
+    terms = small(p1.union(pairs.select("item", F.col("p2").alias("p"), F.col("t2").alias("term"))).distinct())
     postings = keyed.select("key", F.posexplode(_words(F.col("t"))).alias("pos", "term")).join(terms, "term").select("key", "item", (F.col("pos") - F.col("p")).alias("delta"), "p")
     by_item = pairs.groupBy("item").agg(F.collect_set(F.struct("p1", "p2")).alias("pairs"))
     if slack == 0:
-        met = postings.groupBy("key", "item", "delta").agg(F.collect_set("p").alias("ps")).join(small(by_item, BROADCAST_ROWS), "item")
+        met = postings.groupBy("key", "item", "delta").agg(F.collect_set("p").alias("ps")).join(small(by_item), "item")
         return met.filter(F.exists("pairs", lambda x: F.array_contains(F.col("ps"), x["p1"]) & F.array_contains(F.col("ps"), x["p2"]))).select("key", "item", "delta")
     # Shifts within slack of each other share one of two overlapping cells of twice the slack.
     cell = F.floor(F.col("delta") / (2 * slack)).cast("int")
     shifted = F.floor((F.col("delta") + slack) / (2 * slack)).cast("int")
     cells = postings.select("*", F.explode(F.array(F.struct(F.lit(0).alias("o"), cell.alias("c")), F.struct(F.lit(1).alias("o"), shifted.alias("c")))).alias("cell"))
-    met = cells.groupBy("key", "item", "cell").agg(F.collect_set(F.struct("p", "delta")).alias("ps")).join(small(by_item, BROADCAST_ROWS), "item")
+    met = cells.groupBy("key", "item", "cell").agg(F.collect_set(F.struct("p", "delta")).alias("ps")).join(small(by_item), "item")
     two = lambda x: F.exists("ps", lambda a: (a["p"] == x["p1"]) & F.exists("ps", lambda b: (b["p"] == x["p2"]) & (F.abs(a["delta"] - b["delta"]) <= slack)))
     return met.filter(F.exists("pairs", two)).select("key", "item").distinct()
 
@@ -70,8 +68,8 @@ def alignments(keyed: DataFrame, pairs: DataFrame, slack: int = 0) -> DataFrame:
 def phrase_matches(keyed: DataFrame, items: DataFrame, aligned: DataFrame, window: int) -> DataFrame:
     """(key, item_id, delta, starts, size): the item's windows that the document has word for word at an alignment."""
     keys = aligned.select("key").distinct()
-    some = keyed.join(small(keys, 5 * BROADCAST_ROWS), "key", "left_semi").select("key", _words(F.col("t")).alias("dw")).dropDuplicates(["key"])
-    at = some.join(aligned, "key").join(small(items, BROADCAST_ROWS // 4), "item")
+    some = keyed.join(small(keys), "key", "left_semi").select("key", _words(F.col("t")).alias("dw")).dropDuplicates(["key"])
+    at = some.join(aligned, "key").join(small(items), "item")
     at = at.withColumn("same", F.transform("w", lambda x, j: F.coalesce(F.get(F.col("dw"), F.col("delta") + j) == x, F.lit(False))))
     size = F.least(F.size("w"), F.lit(window))
     starts = F.filter(F.sequence(F.lit(0), F.size("w") - size), lambda s: F.forall(F.slice(F.col("same"), s + 1, size), lambda x: x))
@@ -94,7 +92,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     hits = phrase_matches(keyed, items, aligned, window)
     places = F.flatten(F.transform("starts", lambda s: F.sequence(F.col("delta") + s, F.col("delta") + s + F.col("size") - 1)))
     per_doc = hits.select("key", "item_id", places.alias("places")).groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("ids"))
-    per_doc = small(cut(per_doc.select("key", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))), BROADCAST_ROWS)
+    per_doc = small(cut(per_doc.select("key", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))))
     n_words = F.size(F.filter(F.split("t", _GAPS_ANY_CASE, -1), lambda x: x != "")).cast("long")
     out = keyed.select("id", "key", n_words.alias("n_words")).join(per_doc, "key", "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0))

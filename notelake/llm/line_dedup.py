@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import BLANK, cut, let, table
+from notelake.llm.common import BLANK, before, free, let, small, table, written
 
 
 def _windows(hashes: Column, counts: Column, least_words: int) -> Column:
-    """Structs lo, hi (places in the arrays, inclusive), low (the window's smallest line hash), all (hash of the window).
+    """Structs lo, at (places in the arrays), low, body: of windows, the first line, the place and hash of the smallest line hash (the last of equal ones), the hash of all.
 
     For every line, the shortest window from it on with least_words words, and the shortest one that ends with it. Each
-    line has a word, so no window is longer than least_words lines. Its smallest line hash is its fingerprint.
+    line has a word, so no window is longer than least_words lines.
     """
 
     def reach(part: Column) -> Column:
@@ -21,8 +21,11 @@ def _windows(hashes: Column, counts: Column, least_words: int) -> Column:
         return F.aggregate(part, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), grow, lambda acc: F.when(acc["n"] >= least_words, acc["k"]).otherwise(0))
 
     def window(lo: Column, k: Column) -> Column:
-        held = let(F.slice(hashes, lo + 1, k), lambda h: F.struct(lo.alias("lo"), (lo + k - 1).alias("hi"), F.array_min(h).alias("low"), F.xxhash64(h, F.size(h)).alias("all")))
-        return F.when(k > 0, held)
+        def of(h: Column) -> Column:
+            least = F.array_min(h)
+            return F.struct(lo.alias("lo"), (lo + k - F.array_position(F.reverse(h), least)).cast("int").alias("at"), least.alias("low"), F.xxhash64(h, F.size(h)).alias("body"))
+
+        return F.when(k > 0, let(F.slice(hashes, lo + 1, k), of))
 
     def both(i: Column) -> Column:
         from_here = let(reach(F.slice(counts, i + 1, least_words)), lambda k: window(i, k))
@@ -42,42 +45,67 @@ def _word_count(line: Column) -> Column:
     return F.when(odd, F.regexp_count(line, F.lit(f"[^{BLANK}]+"))).otherwise(single)
 
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """(key, gone): for each document with later repeated runs, the places of their lines in split(text, newline)."""
-    lines = F.split("t", "\n", -1)
-    counted = F.transform(lines, lambda x, i: F.struct(F.xxhash64(F.trim(x)).alias("h"), _word_count(x).alias("n"), i.alias("i")))
-    held = keyed(docs, id_col, text_col).select("id", "key", F.filter(counted, lambda x: x["n"] > 0).alias("l"))
-    held = held.select("id", "key", F.col("l.h").alias("hs"), F.col("l.n").alias("ns"), F.col("l.i").alias("at"))
+def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, hs, ns, at): of each document's lines with a word, the hash (ends trimmed), the number of words, and the place among all lines."""
+    counted = F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(F.xxhash64(F.trim(x)).alias("h"), _word_count(x).alias("n"), i.alias("i")))
+    held = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    held = held.select("id", F.xxhash64("id", "t").alias("key"), F.filter(counted, lambda x: x["n"] > 0).alias("l")).filter(F.size("l") > 0)
+    return held.select("id", "key", F.col("l.h").alias("hs"), F.col("l.n").alias("ns"), F.col("l.i").alias("at")).dropDuplicates(["key"])
+
+
+def alignments(held: DataFrame, least_words: int) -> DataFrame:
+    """(key, other, shift): a document's lines from some place on are those of another, or of itself, shift lines before.
+
+    Winnowing selects each window's smallest line hash as a fingerprint. Only windows whose fingerprint stands in several
+    places are looked at further: those with equal contents are aligned with the first of them.
+    """
     # An outer generator keeps the optimizer from testing the windows' array in a filter of its own, which computes it again.
-    rows = held.select("id", "key", "at", F.explode_outer(_windows(F.col("hs"), F.col("ns"), least_words)).alias("w")).filter("w is not null")
-    rows = rows.select("w.low", "w.all", F.struct("id", "key", F.col("w.lo").alias("lo")).alias("place"), F.slice("at", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo") + 1).alias("lines"))
-    first = rows.groupBy("low", "all").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("low", "all", "first")
-    later = rows.join(first, ["low", "all"]).filter(F.col("place") != F.col("first"))
-    # Overlapping matched windows, each line's forward one and backward one, make up the run extended both ways.
-    return later.select(F.col("place.key").alias("key"), F.explode("lines").alias("i")).distinct().groupBy("key").agg(F.collect_list("i").alias("gone"))
+    rows = held.select("id", "key", F.explode_outer(_windows(F.col("hs"), F.col("ns"), least_words)).alias("w")).filter("w is not null")
+    rows = written(rows.select("w.low", "w.body", F.struct("id", "key", "w.lo").alias("place"), "w.at"))
+    at = F.struct("place.key", "at")
+    repeated = rows.groupBy("low").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("low")
+    seeds = rows.join(repeated, "low", "left_semi")
+    first = seeds.groupBy("low", "body").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("low", "body", "first")
+    later = seeds.join(first, ["low", "body"]).filter(F.col("place") != F.col("first"))
+    return later.select("place.key", F.col("first.key").alias("other"), (F.col("place.lo") - F.col("first.lo")).alias("shift")).distinct()
+
 
+def repeated_lines(held: DataFrame, aligned: DataFrame, least_words: int) -> DataFrame:
+    """(key, gone): of documents with later repeated runs, the places of the runs' lines.
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("key", F.xxhash64("id", "t"))
+    Along an alignment, matches are extended both ways: lines that are equal one after the other are a run, and a run with
+    least_words words goes.
+    """
+    here, there = held.select("key", "hs", "ns", "at"), held.select(F.col("key").alias("other"), F.col("hs").alias("theirs"))
+    met = aligned.join(here, "key").join(there, "other")
+    met = met.select("key", "other", "shift", "ns", "at", F.transform("hs", lambda h, i: F.coalesce(h == F.get(F.col("theirs"), i - F.col("shift")), F.lit(False))).alias("same"))
+    met = met.withColumn("run", before(F.transform("same", lambda x: F.when(x, 0).otherwise(1))))
+    lines = met.select("key", "other", "shift", F.explode(F.arrays_zip("same", "run", "ns", "at")).alias("l")).filter("l.same")
+    runs = lines.groupBy("key", "other", "shift", "l.run").agg(F.sum("l.ns").alias("n"), F.collect_list("l.at").alias("at")).filter(F.col("n") >= least_words)
+    return runs.select("key", F.explode("at").alias("at")).distinct().groupBy("key").agg(F.collect_list("at").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50) -> DataFrame:
-    """docs with text_col cut and two more columns: n_lines and n_deleted.
+    """docs with text_col cut and two more columns: n_lines and n_deleted (with underscores behind, if docs has such columns itself).
 
     A run of consecutive lines (blank ones skipped, ends trimmed) with least_words words or more that stands earlier,
     by id and then by place, is deleted from every later document or place; the first stays. Every repeated run holds a
-    window of the shortest kind from each of its lines on, or up to it, so joining the windows on their fingerprint and
-    content finds all runs whole. Other texts stay as they are, blank lines included; a text may become empty, and no
-    document is dropped. A null text stays null. Rows equal in id and text are one document: their texts stay alike.
-    Documents with a null id come first. An empty table gives no row.
+    window of the shortest kind from each of its lines on, or up to it, so fingerprints find all runs, and extending
+    finds them whole. Other texts stay as they are, blank lines included; a text may become empty, and no document is
+    dropped. A null text stays null. Rows equal in id and text are one document: their texts stay alike. Documents with
+    a null id come first; of different texts under one id, the one with the smaller hash comes first. Columns of docs
+    keep their values, whatever their names. A text of many lines costs about its length. An empty table gives no row.
     """
-    gone = cut(repeated_lines(docs, id_col, text_col, least_words)).select(F.col("key").alias("_key"), F.col("gone").alias("_gone"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    df = docs.select(*names).withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))).join(gone, "_key", "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
-    return df.select(*(new.alias(c) if c == text_col else F.col(c) for c in names), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    held = written(line_hashes(docs, id_col, text_col))
+    gone = small(written(repeated_lines(held, written(alignments(held, least_words)), least_words)))
+    n_lines, n_deleted = (free(name, docs.columns) for name in ("n_lines", "n_deleted"))
+    text = F.col("row")[text_col]
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key")).join(gone, "key", "left")
+    lines = F.split(text, "\n", -1)
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
+    new = F.when(F.col("gone").isNull(), text).otherwise(left)
+    kept = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return df.select(*kept, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_deleted))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

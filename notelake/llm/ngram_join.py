@@ -16,7 +16,6 @@ from notelake.llm.shingles import WordHasher, by_bytes, mix, set_ids, shingle_se
 #: N-grams whose place at the end of the global order is sure: at most so many, the most frequent ones. Only the order
 #: depends on them, no result: whichever they are, sets that link share an n-gram of their prefixes.
 ORDER_HINTS = 500_000
-BROADCAST_KEYS = 2_000_000
 #: Linked sets share MEET prefix n-grams and one more for each PER n-grams (or all that they have). One common n-gram would
 #: do for shorter prefixes, but then sets that share only a passage would have to be looked at.
 MEET, PER = 8, 20
@@ -327,7 +326,7 @@ def _joined(rows: DataFrame, keyed: DataFrame, first_key: DataFrame, size: int,
     Texts travel, not sets: they compress, and their sets are hashed anew. A task holds one bucket at a time.
     """
     rows = cut(rows)
-    keys = small(cut(first_key.join(rows.select("sid").distinct(), "sid").select("key", "sid")), BROADCAST_KEYS)
+    keys = small(cut(first_key.join(rows.select("sid").distinct(), "sid").select("key", "sid")))
     texts = keyed.select("key", "t").join(keys, "key").dropDuplicates(["sid"]).select("sid", "t")  # repeated rows only give a text twice
 
     def run(batches):

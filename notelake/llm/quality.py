@@ -99,7 +99,7 @@ def _estimate(sums: DataFrame, starts: range, factor: float) -> DataFrame:
     return sums.select(*keep)
 
 
-def mcd(rows: DataFrame, steps: int = 3, broadcast_groups: int = 50_000) -> DataFrame:
+def mcd(rows: DataFrame, steps: int = 3) -> DataFrame:
     """Per group g of rows (g, x0..x3): robust mean m0_* and Cholesky factor l0_* of the covariance.
 
     Two starts (medians with scaled absolute deviations; the half nearest the medians in floor units) each take
@@ -109,24 +109,24 @@ def mcd(rows: DataFrame, steps: int = 3, broadcast_groups: int = 50_000) -> Data
     """
     # Ends of the subset are quantile sketches with relative accuracy 1e-4 of the group's size, which merge across tasks.
     near = lambda c, share: F.percentile_approx(c, F.lit(share), F.lit(10_000))
-    mid = small(cut(rows.groupBy("g").agg(*(near(f"x{i}", 0.5).alias(f"c{i}") for i in range(P)))), broadcast_groups)
+    mid = small(cut(rows.groupBy("g").agg(*(near(f"x{i}", 0.5).alias(f"c{i}") for i in range(P)))))
     off = rows.join(mid, "g").select("g", *(f"x{i}" for i in range(P)), *(f"c{i}" for i in range(P)), *(F.abs(F.col(f"x{i}") - F.col(f"c{i}")).alias(f"a{i}") for i in range(P)))
     off = off.withColumn("e", sum((F.pow(F.col(f"a{i}") / FLOORS[i], 2) for i in range(1, P)), F.pow(F.col("a0") / FLOORS[0], 2)))
-    spread = small(cut(off.groupBy("g").agg(*(near(f"a{i}", 0.5).alias(f"d{i}") for i in range(P)), near("e", 0.5).alias("half"))), broadcast_groups)
+    spread = small(cut(off.groupBy("g").agg(*(near(f"a{i}", 0.5).alias(f"d{i}") for i in range(P)), near("e", 0.5).alias("half"))))
     first = off.join(spread, "g")
     scaled = sum((F.pow(F.col(f"a{i}") / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i])), 2) for i in range(1, P)), F.pow(F.col("a0") / F.greatest(1.4826 * F.col("d0"), F.lit(FLOORS[0])), 2))
     both = range(2)
-    est = small(cut(_estimate(first.groupBy("g").agg(*_moments(0, scaled <= REWEIGHT_AT), *_moments(1, F.col("e") <= F.col("half"))), both, TRIM_FACTOR)), broadcast_groups)
+    est = small(cut(_estimate(first.groupBy("g").agg(*_moments(0, scaled <= REWEIGHT_AT), *_moments(1, F.col("e") <= F.col("half"))), both, TRIM_FACTOR)))
     for _ in range(steps):
         far = rows.join(est, "g")
         for s in both:
             far = _distance(far, s, f"d2_{s}")
-        ends = small(cut(far.groupBy("g").agg(*(near(f"d2_{s}", SUBSET).alias(f"h{s}") for s in both))), broadcast_groups)
+        ends = small(cut(far.groupBy("g").agg(*(near(f"d2_{s}", SUBSET).alias(f"h{s}") for s in both))))
         sums = far.join(ends, "g").groupBy("g").agg(*(m for s in both for m in _moments(s, F.col(f"d2_{s}") <= F.col(f"h{s}"))))
-        est = small(cut(_estimate(sums, both, TRIM_FACTOR)), broadcast_groups)
+        est = small(cut(_estimate(sums, both, TRIM_FACTOR)))
     names = [f"m{{}}_{i}" for i in range(P)] + [f"l{{}}_{i}{j}" for i, j in _PAIRS]
     best = est.select("g", *(F.when(F.col("det0") <= F.col("det1"), F.col(n.format(0))).otherwise(F.col(n.format(1))).alias(n.format(0)) for n in names))
-    near_best = _distance(rows.join(small(best, broadcast_groups), "g"), 0, "d2")
+    near_best = _distance(rows.join(small(best), "g"), 0, "d2")
     return cut(_estimate(near_best.groupBy("g").agg(*_moments(0, F.col("d2") <= REWEIGHT_AT)), range(1), REWEIGHT_FACTOR))
 
 
@@ -146,9 +146,9 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sizes = cut(sizes)
     by_lang = sizes.filter(F.col("n") < least_rows).groupBy("g0").agg(F.sum("n").alias("rest"))
     own = F.when(F.col("n") >= least_rows, F.to_json(F.array("g0", "g1"))).when(F.col("rest") >= least_rows, F.to_json(F.array("g0"))).otherwise("[]")
-    groups = small(sizes.join(by_lang, "g0", "left").select("g0", "g1", own.alias("g")), 50_000)
+    groups = small(sizes.join(by_lang, "g0", "left").select("g0", "g1", own.alias("g")))
     rows = stats.join(groups, ["g0", "g1"], "left")
-    est = small(mcd(rows.filter(~F.col("base_failed")).select("g", *(f"x{i}" for i in range(P))), steps), 50_000)
+    est = small(mcd(rows.filter(~F.col("base_failed")).select("g", *(f"x{i}" for i in range(P))), steps))
     out = _distance(rows.join(est, "g", "left"), 0, "d2")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= REJECT_AT)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
