@@ -6,10 +6,14 @@ import functools
 import json
 import os
 import re
+from collections.abc import Callable, Iterable, Iterator
 
-#: Safe place to cut for the byte-level word pattern: a single blank between two characters that aren't
-#: white space always begins a new word, so both sides encode as they would together.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_LETTER = "A-Za-z0-9\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
+_POINT = "!-&(-/:-@\\[-`{-~\u3001\u3002\u300c-\u300f\uff01\uff08\uff09\uff0c\uff0e\uff1a\uff1b\uff1f"
+#: Safe places to cut for the byte-level word pattern, which never looks back: where a word must end in front of a blank
+#: or line end, between a letter or digit and punctuation, and between punctuation (no apostrophe, which may begin a
+#: contraction) and a letter or digit. Both sides encode as they would together.
+_SAFE = re.compile(rf"(?<=\S)(?=[ \n\r\t])|(?<=[{_LETTER}])(?=[{_POINT}])|(?<=[{_POINT}])(?=[{_LETTER}])")
 
 
 def resolve(name: str) -> str:
@@ -21,15 +25,24 @@ def resolve(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Encoder:
+    """Ids of one text, or of a batch; special strings in the text as the library's default has them. cuttable: safe_pieces() holds."""
+
+    def __init__(self, batch: Callable[[list[str]], list], cuttable: bool = False) -> None:
+        self.batch, self.cuttable = batch, cuttable
+
+    def __call__(self, text: str) -> list[int]:
+        return self.batch([text])[0]
+
+
 @functools.lru_cache(maxsize=8)
-def encoder(name: str):
-    """A function from a text to its list of ids (special strings in the text as the library's default has them)."""
+def encoder(name: str) -> Encoder:
     path = resolve(name)
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return functools.partial(model.encode, num_threads=1)
+        return Encoder(lambda texts: model.encode(texts, num_threads=1))
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     if fast := _ranked(spec):
@@ -37,10 +50,10 @@ def encoder(name: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return Encoder(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
 
 
-def _ranked(spec: dict):
+def _ranked(spec: dict) -> Encoder | None:
     """The same byte-level BPE run from its ranks, several times faster; None for any other kind of tokenizer."""
     pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
     added = spec.get("added_tokens") or []
@@ -64,13 +77,14 @@ def _ranked(spec: dict):
     core = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     markers = tuple(special)
 
-    def encode(text: str) -> list[int]:
-        if any(m in text for m in markers):
-            return core.encode(text, allowed_special="all")
-        return core.encode_ordinary(text)
+    def batch(texts: list[str]) -> list[list[int]]:
+        marked = [i for i, t in enumerate(texts) if any(m in t for m in markers)]
+        out = core.encode_ordinary_batch(texts, num_threads=1)
+        for i in marked:
+            out[i] = core.encode(texts[i], allowed_special="all")
+        return out
 
-    encode.cuttable = True
-    return encode
+    return Encoder(batch, cuttable=True)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -80,7 +94,7 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def safe_pieces(text: str, size: int):
+def safe_pieces(text: str, size: int) -> Iterator[str]:
     """The text in pieces of about size characters, cut only where the ids cannot change; an uncuttable stretch stays whole."""
     start = 0
     while len(text) - start > size:
@@ -92,10 +106,29 @@ def safe_pieces(text: str, size: int):
     yield text[start:]
 
 
-def encode_whole(encode, text: str, piece_chars: int = 65536):
-    """Yields the ids of the whole text, a piece after the other."""
-    if len(text) <= piece_chars or not getattr(encode, "cuttable", False):
-        yield encode(text)
-    else:
-        for piece in safe_pieces(text, piece_chars):
-            yield encode(piece)
+def encode_batches(encode: Encoder, texts: Iterable[str], batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> Iterator[tuple[int, list[list[int]]]]:
+    """(place, lists of ids) of the texts in order: the ids of a text's pieces, in batches of about batch_bytes.
+
+    Long texts are cut into safe pieces and share batches with others; a text is given once its last piece is encoded.
+    """
+    held: list[tuple[int, str, bool]] = []
+    done: list[list[int]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[int, list[list[int]]]]:
+        nonlocal done
+        for (i, _, last), ids in zip(held, encode.batch([p for _, p, _ in held]), strict=True):
+            done.append(ids)
+            if last:
+                yield i, done
+                done = []
+
+    for i, text in enumerate(texts):
+        pieces = [text] if len(text) <= piece_chars or not encode.cuttable else list(safe_pieces(text, piece_chars))
+        for k, piece in enumerate(pieces, 1):
+            held.append((i, piece, k == len(pieces)))
+            size += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
+            if size >= batch_bytes:
+                yield from flush()
+                held, size = [], 0
+    yield from flush()
