@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm.common import table
-from notelake.llm.tokenization import encode_whole, encoder
+from notelake.llm.tokenization import encode_batches, encoder
 
 #: A sequence id is the task's partition number, shifted by this many bits, plus the sequence's number in the task.
 _SHIFT = 40
@@ -107,16 +107,18 @@ class Packer:
         return 0, 0
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int | None = None, window: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, loss_free: int = 0, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int | None = None, window: int = 256) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     A document is its ids followed by end_id; every id is in exactly one piece, and a sequence's pieces follow each
     other without gaps from offset 0. Each task packs the rows of its own split with a bounded set of open items, so
     nothing is shuffled and a lost task gives the same pieces when it runs again. Sequences hold at most max_tokens ids,
-    max_segments pieces and max_loss loss-bearing ids (default max_tokens). loss_from_col names a column with the number
-    of leading ids that bear no loss (a prompt); without it all ids bear loss. A null text is empty (one piece with
-    end_id), a null id stays null, repeated rows are packed each, an empty table gives no row. Only a sequence closed by
-    the segment or loss limit can be short of a power of two.
+    max_segments pieces and max_loss loss-bearing ids (default max_tokens). The first loss_free ids of a document bear no
+    loss (nothing stands before them to predict them from), or as many as loss_from_col says (a prompt). A null text is
+    empty (one piece with end_id), a null id stays null, repeated rows are packed each, of items with equal scores the
+    one that has waited longest in its place goes first, a very long text is encoded in parts and cut into as many
+    sequences as it takes, columns not named are left out, whatever their names, and an empty table gives no row. Only a
+    sequence closed by the segment or loss limit can be short of a power of two.
     """
     kind = dict(docs.dtypes)[id_col]
     most_loss = max_tokens if max_loss is None else max_loss
@@ -147,8 +149,10 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str =
 
         for batch in batches:
             id_type = batch.column(0).type
-            for key, text, prompt in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                parts = [np.array(p, "<u4") for p in encode_whole(encode, text)]
+            keys, texts, starts = (batch.column(i).to_pylist() for i in range(3))
+            for i, lists in encode_batches(encode, texts):
+                key, prompt = keys[i], starts[i]
+                parts = [np.array(p, "<u4") for p in lists]
                 tokens = np.concatenate([*parts, np.array([end_id], "<u4")])
                 ids[row], totals[row] = key, len(tokens)
                 mask = None
@@ -163,9 +167,14 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str =
         if packer.out:
             yield flush()
 
-    prompt = F.lit(0) if loss_from_col is None else F.coalesce(F.col(loss_from_col).cast("int"), F.lit(0))
+    prompt = F.lit(loss_free) if loss_from_col is None else F.coalesce(F.col(loss_from_col).cast("int"), F.lit(0))
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), prompt.alias("_prompt")).mapInArrow(run, schema)
 
 
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """pack() as production runs it: 16 leading ids of a document bear no loss, and a sequence has at least 8 such ids if full and at most 64 pieces."""
+    return pack(docs, loss_free=16, max_loss=2040, max_segments=64)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"))
