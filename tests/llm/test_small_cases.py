@@ -276,18 +276,75 @@ def test_lm(odd, nothing):
         assert r.score < 0 and math.isfinite(r.score)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat", "the the the end", "le chat est la", "le chien"]
-    docs = spark.createDataFrame([(i, t, "en" if i < 4 else "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    vocabulary = sorted({w for t in texts for w in t.split()})
-    probe = spark.createDataFrame([(100, "", "en"), (101, "zzz", "en"), *((200 + i, w, "en") for i, w in enumerate(vocabulary))], "doc_id long, text string, lang string").filter("crc32(cast(doc_id as string)) % 5 = 1 or doc_id >= 0")
-    both = docs.union(probe)
-    # One fold that no id falls in but the probes': probes are held out by an impossible remainder trick on ids.
-    rows = {r.doc_id: r for r in lm_scoring(both, options=Options(sweeps=2, burn_in=0), folds=1, held_fold=7).collect()}
-    assert all(not r.held_out for r in rows.values())
-    end = rows[100].score
-    total = sum(10 ** (rows[200 + i].score - end) for i in range(len(vocabulary))) + 10**end + 10 ** (rows[101].score - end)
-    assert total < 1.0 + 1e-6
+def one_by_one(train, probes, o, sweeps=40, burn_in=10):
+    """Mean predictive probabilities of probes' tokens by a sampler that takes customers out and seats them again one at a time."""
+    import random
+
+    rnd, vocabulary = random.Random(5), {w for t in train for w in [*t, "<end>"]}
+    tables = {}  # (restaurant, dish): customers of each table; restaurant None is the parent
+    totals = Counter()  # customers and tables of restaurants
+
+    def prob(u, w):
+        own = tables.get((u, w), [])
+        d, s = (o.parent_discount, o.parent_strength) if u is None else (o.discount, o.strength)
+        back = 1 / (len(vocabulary) + 1) if u is None else prob(None, w)
+        return (sum(own) - d * len(own) + (s + d * totals[u, "t"]) * back) / (s + totals[u, "c"])
+
+    def sit(u, w):
+        own = tables.setdefault((u, w), [])
+        d, s = (o.parent_discount, o.parent_strength) if u is None else (o.discount, o.strength)
+        back = 1 / (len(vocabulary) + 1) if u is None else prob(None, w)
+        at = rnd.choices(range(len(own) + 1), [n - d for n in own] + [(s + d * totals[u, "t"]) * back])[0]
+        totals[u, "c"] += 1
+        if at == len(own):
+            own.append(0)
+            totals[u, "t"] += 1
+            if u is not None:
+                sit(None, w)
+        own[at] += 1
+
+    def leave(u, w):
+        own = tables[u, w]
+        at = rnd.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        totals[u, "c"] -= 1
+        if not own[at]:
+            del own[at]
+            totals[u, "t"] -= 1
+            if u is not None:
+                leave(None, w)
+
+    pairs = [(u, w) for t in train for u, w in zip(["<start>", *t], [*t, "<end>"], strict=True)]
+    asked = {(u, w) for t in probes for u, w in zip(["<start>", *t], [*t, "<end>"], strict=True)}
+    mean = Counter()
+    for u, w in pairs:
+        sit(u, w)
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            leave(u, w)
+            sit(u, w)
+        if sweep >= burn_in:
+            for u, w in asked:
+                mean[u, w] += prob(u, w) / (sweeps - burn_in)
+    return [sum(math.log10(mean[u, w]) for u, w in zip(["<start>", *t], [*t, "<end>"], strict=True)) for t in probes]
+
+
+def test_lm_against_a_sequential_sampler(spark):
+    rng = np.random.default_rng(6)
+    step = lambda w: int(rng.choice([(3 * w + 1) % 12, (5 * w) % 12, rng.zipf(1.6) % 12]))
+    texts = []
+    for _ in range(150):
+        w = [int(rng.integers(0, 12))]
+        while len(w) < 9:
+            w.append(step(w[-1]))
+        texts.append([f"w{x}" for x in w])
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1][:150], [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    probes = [*texts[:20], ["w1", "w3", "unseen"], ["w11"], [], ["w5", "w5", "w5"]]
+    rows = [*zip(ids[0], map(" ".join, texts), strict=True), *zip(ids[1], map(" ".join, probes), strict=False)]
+    got = {r.doc_id: r.score for r in lm_scoring(spark.createDataFrame(rows, "doc_id long, text string"), options=Options(sweeps=12, burn_in=2)).filter("held_out").collect()}
+    want = one_by_one(texts, probes, Options())
+    off = [abs(got[i] - score) / (len(t) + 1) for i, t, score in zip(ids[1], probes, want, strict=False)]
+    assert max(off) < 0.1 and sum(off) / len(off) < 0.03
 
 
 def test_lm_word_history(spark):
@@ -295,12 +352,12 @@ def test_lm_word_history(spark):
     rows = [(i, t, "fr" if "le" in t else "en") for i, t in enumerate(texts)]
     probes = [(100, "red green blue end", "en"), (101, "blue end green red", "en"), *((200 + i, f"red {w}", "en") for i, w in enumerate(["red", "green", "blue", "end", "le", "rouge", "unseen", "end red"]))]
     docs = spark.createDataFrame(rows + probes, "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in lm_scoring(docs, folds=1, held_fold=0, history=True).collect()}
+    got = {r.doc_id: r for r in lm_scoring(docs, folds=1, held_fold=0).collect()}
     assert all(r.held_out and r.train_tokens == 0 and math.isfinite(r.score) for r in got.values())
-    trained = {r.doc_id: r.score for r in lm_scoring(docs, folds=1, held_fold=7, history=True).collect()}
-    shuffled = {r.doc_id: r.score for r in lm_scoring(docs, folds=1, held_fold=7).collect()}
-    assert abs(shuffled[100] - shuffled[101]) < 1e-6 and trained[100] > trained[101] + 1
-    assert trained == {r.doc_id: r.score for r in lm_scoring(docs.repartition(3), folds=1, held_fold=7, history=True, chunk=30).collect()}
+    trained = {r.doc_id: r.score for r in lm_scoring(docs, folds=1, held_fold=7).collect()}
+    assert trained[100] > trained[101] + 1
+    other = {r.doc_id: r.score for r in lm_scoring(docs.repartition(3), folds=1, held_fold=7, chunk=30).collect()}
+    assert other.keys() == trained.keys() and all(math.isclose(other[k], trained[k], rel_tol=1e-5) for k in trained)
 
 
 def test_lm_probabilities_of_texts(spark):
@@ -310,20 +367,12 @@ def test_lm_probabilities_of_texts(spark):
     rows = [(i, " ".join(vocabulary[(i * k + k) % 4] for k in range(1, 6)), "xy"[i % 2]) for i in train]
     probes = ["b", "b zz", *(f"b {w}" for w in vocabulary), "zz", *vocabulary]
     docs = spark.createDataFrame(rows + [(i, t, "x") for i, t in zip(held, probes, strict=False)], "doc_id long, text string, lang string")
-    score = {p: r.score for r in lm_scoring(docs, history=True).filter("held_out").collect() for i, p in zip(held, probes, strict=False) if i == r.doc_id}
+    score = {p: r.score for r in lm_scoring(docs).filter("held_out").collect() for i, p in zip(held, probes, strict=False) if i == r.doc_id}
     assert len(score) == len(set(probes)) and all(math.isfinite(x) for x in score.values())
     # Different whole texts: their probabilities sum to less than one.
     assert sum(10**x for x in score.values()) < 1.0 + 1e-6
 
 
-def test_lm_contexts_are_apart(spark):
-    rows = [(i, "a b", f"c{i}") for i in range(1500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    from notelake.llm.lm_scoring import _keyed
-
-    assert _keyed(docs, "doc_id", "text", "lang", 5, 1).select("ctx").distinct().count() == 1500
-
-
 def test_seats():
     c = np.array([0, 1, 2, 50, 5000])
     t = seat(c, np.full(5, 100.0), np.full(5, 0.01), 0.5, 1.0, np.arange(5, dtype=np.uint64))
