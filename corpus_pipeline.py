@@ -9,12 +9,9 @@ from notelake.llm.common import small, table, written
 from notelake.llm.decontaminate import decontaminate
 from notelake.llm.line_dedup import line_dedup
 from notelake.llm.ngram_join import ngram_join
-from notelake.llm.packing import pack
+from notelake.llm.packing import pack_documents
 from notelake.llm.quality import quality_rules
 
-#: Decisions on so many documents at most are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
 
 def _key() -> object:
     """Names a row by its id and text, as the operators do; rows equal in both are one document."""
@@ -24,7 +21,7 @@ def _key() -> object:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go. The rules tell rows apart by id, language and source."""
     rejected = written(quality_rules(docs.withColumn("doc_id", F.struct("doc_id", _key().alias("key")))).filter(~F.col("kept")).select(F.col("doc_id.key").alias("_key")).distinct())
-    return docs.withColumn("_key", _key()).join(small(rejected, BROADCAST_ROWS), "_key", "left_anti").select(docs.columns)
+    return docs.withColumn("_key", _key()).join(small(rejected), "_key", "left_anti").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = written(ngram_join(docs, with_key=True).filter("n_shingles > 0").select("doc_id", "key", "label"))
     groups = found.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = found.join(groups, "label").select("key", F.col("first.key").alias("stays"))
-    gone = small(written(members.filter("key <> stays").select(F.col("key").alias("_key")).distinct()), BROADCAST_ROWS)
-    again = small(written(members.filter("key = stays").groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")), BROADCAST_ROWS)
+    gone = small(written(members.filter("key <> stays").select(F.col("key").alias("_key")).distinct()))
+    again = small(written(members.filter("key = stays").groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")))
     keyed = docs.withColumn("_key", _key()).join(gone, "_key", "left_anti")
     once = keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])
     return keyed.join(again, "_key", "left_anti").unionByName(once).select(docs.columns)
@@ -49,12 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with words of a benchmark window go."""
     hit = written(decontaminate(docs.withColumn("doc_id", F.struct("doc_id", _key().alias("key"))), table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id.key").alias("_key")).distinct())
-    return docs.withColumn("_key", _key()).join(small(hit, BROADCAST_ROWS), "_key", "left_anti").select(docs.columns)
+    return docs.withColumn("_key", _key()).join(small(hit), "_key", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces of token sequences."""
-    return pack(docs)
+    return pack_documents(docs)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("packing", packed)]
