@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 # Elements whose content is no text, elements without content, and elements that begin and end a block.
-RAW = frozenset("script style noscript template textarea title iframe svg math select button object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select button canvas".split())
+#: Of these, an element whose closing tag is missing takes the rest of the page; another one is taken as empty.
+TO_THE_END = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements nested deeper than this count as part of the one at this depth, as in browsers.
+DEEPEST = 256
+_CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 #: Elements that an opening one of the same group ends.
 ENDED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Elements past which nothing is ended implicitly.
@@ -35,6 +42,53 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name in lower case, attributes) of tags in order; comments and declarations have an empty name.
+
+    A ">" in quotes after "=" belongs to the tag. Where such quotes run to the end of the page they are taken as they
+    stand, from there on for all tags, so no part of a page is read again and again. The caller may move on in between:
+    what it sends is where to go on.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = (yield start, len(page) if end < 0 else end + 3, False, "", "") or (len(page) if end < 0 else end + 3)
+            continue
+        if start > last:
+            return
+        if page[at] in "!?":
+            end = page.find(">", at) + 1
+            at = (yield start, end, False, "", "") or end
+            continue
+        name = _TAG.match(page, at)
+        if not name:
+            continue
+        end = _tag_end(page, name.end()) if quotes else -1
+        if end < 0:
+            quotes, end = False, page.find(">", name.end())
+        at = (yield start, end + 1, bool(name[1]), name[2].lower(), page[name.end() : end]) or end + 1
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Place of the tag's ">" outside quoted values, -1 if there is none."""
+    while True:
+        at = _PLAIN.match(page, at).end()  # type: ignore[union-attr]
+        if at >= len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        if page[at - 1] == "=" or (page[at - 1] in " \t\n" and page[at - 2] == "="):
+            at = page.find(page[at], at + 1)
+            if at < 0:
+                return -1
+        at += 1
+
+
 def blocks(page: str, mark: str | None = None) -> list[Block]:
     """Runs of text between block borders, references decoded and white space made single blanks; mark tags labelled ones."""
     out: list[Block] = []
@@ -61,17 +115,18 @@ def blocks(page: str, mark: str | None = None) -> list[Block]:
             if links:
                 linked += len(value.strip())
 
-    at = 0
+    at, tags, go_on, unclosed = 0, _tags(page), None, set()
     while True:
-        found = _TOKEN.search(page, at)
-        add(page[at : found.start()] if found else page[at:])
-        if not found:
+        try:
+            start, end, closing, tag, attributes = tags.send(go_on)
+        except StopIteration:
+            add(page[at:])
             break
-        at = found.end()
-        tag = (found[2] or "").lower()
+        add(page[at:start])
+        at, go_on = end, None
         if not tag:
             continue
-        if found[1]:
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK:
@@ -81,8 +136,14 @@ def blocks(page: str, mark: str | None = None) -> list[Block]:
                     del stack[depth:]
             continue
         if tag in RAW:
-            closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = closing.end() if closing else len(page)
+            if not attributes.endswith("/") and tag not in unclosed:
+                found = _CLOSING[tag].search(page, at)
+                if found:
+                    at = go_on = found.end()
+                elif tag in TO_THE_END:
+                    at = go_on = len(page)
+                else:
+                    unclosed.add(tag)
             text.append(" ")
         elif tag == "br":
             text.append(" ")
@@ -98,8 +159,7 @@ def blocks(page: str, mark: str | None = None) -> list[Block]:
                     break
             if stack and stack[-1][0] == "p" and tag != "p":
                 stack.pop()
-            if tag not in VOID:
-                attributes = found[3] or ""
+            if tag not in VOID and len(stack) < DEEPEST:
                 names = tuple(w for m in _NAME.finditer(attributes) for w in _WORD.findall(m[1].lower())) if attributes else ()
                 if attributes and _HIDDEN.search(attributes):
                     names += ("hidden",)
