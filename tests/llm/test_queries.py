@@ -74,6 +74,26 @@ def test_pipeline_repeats_and_nulls(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_pipeline_stages_keep_columns(spark):
+    text = lambda name, n: "\n".join(" ".join(f"{name}{i}x{j}" for j in range(12)) for i in range(n))
+    passage = text("p", 5)
+    rows = [(i, f"{text(chr(97 + i), 3)}\n{passage}", "en", "s", 1, f"k{i}", f"r{i}", i * 10, i * 100, f"l{i}", f"g{i}", f"t{i}") for i in range(4)]
+    rows += [(9, None, None, None, None, "k9", "r9", 1, 2, "l9", "g9", "t9"), (None, text("z", 4), "en", None, None, "k", "r", 3, 4, "l", "g", "t")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, key string, row string, n_lines int, n_deleted int, label string, _gone string, t string"
+    docs = spark.createDataFrame(rows, schema)
+    other = {r.doc_id: tuple(r)[5:] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.dtypes == docs.dtypes
+        kept = out.collect()
+        assert all(tuple(r)[5:] == other[r.doc_id] for r in kept)
+        assert {r.doc_id for r in kept} == ({0, 1, 2, 3, None} if name == "quality" else {0, 1, 2, 3, 9, None})
+        if name == "lines":
+            assert {r.doc_id: passage in (r.text or "") for r in kept} == {0: True, 1: False, 2: False, 3: False, 9: False, None: False} and all(r.n_chars == len(r.text or "") for r in kept)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, docs, DATA).collect()} == {0, 1, 2, 3, 9, None}
+
+
 def test_pipeline_unlinked_documents_stay(spark):
     alone = [" ".join(f"{name}{i}" for i in range(30)) for name in "abcd"]
     rows = [(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (8, alone[3] + " more"), (None, alone[0] + " more")]
