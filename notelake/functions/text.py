@@ -22,10 +22,12 @@ TAIL_PATTERN = rf"\s*(?:{'|'.join(TAILS)})\s*$"
 QUERY_PUNCTUATION = r"[.,/#!$%^&*;:{}=\-_`~()]"
 
 # Words that carry no search meaning, accents off.
-STOP_WORDS = (
-    "ayudame encontrar podrias busca encuentra dime sobre hablame tienes algo articulo nota notas vault boveda mi mis the and for with from that this these those about find help note search "
-    "does what where when how why who which un una unos unas el la los las en con por para que del al was were been have has had pais paises estilos generos periodos estructuras"
-).split()
+STOP_WORDS = [
+    "ayudame", "encontrar", "podrias", "busca", "encuentra", "dime", "sobre", "hablame", "tienes", "algo", "articulo", "nota", "notas", "vault", "boveda", "mi", "mis",
+    "the", "and", "for", "with", "from", "that", "this", "these", "those", "about", "find", "help", "note", "search", "does", "what", "where", "when", "how", "why",
+    "who", "which", "un", "una", "unos", "unas", "el", "la", "los", "las", "en", "con", "por", "para", "que", "del", "al", "was", "were", "been", "have", "has", "had",
+    "pais", "paises", "estilos", "generos", "periodos", "estructuras",
+]
 
 
 @lru_cache(maxsize=1)

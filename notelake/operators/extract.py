@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from notelake.functions.text import fold
 
 # Tag levels that say nothing on their own.
-GENERIC_TAG_NODES = ("tema", "temas", "topic", "topics", "category", "categories", "misc", "general", "pais", "país", "paises", "países", "estilos", "generos", "géneros", "periodos", "períodos")
+GENERIC_TAG_NODES = ("país", "países", "estilos", "géneros", "períodos", "estructuras", "región", "regiones", "tipo", "tipos", "categoría", "categorías")
 # Front matter keys that hold a summary or an author, in order of preference.
 SUMMARY_KEYS = ("resumen", "summary", "description", "abstract", "Resumen", "Summary")
 AUTHOR_KEYS = ("autor", "Autor", "author", "Author")
@@ -23,10 +23,16 @@ FRONT = r"\A---\r?\n([\s\S]*?)\r?\n---"
 
 
 def _distinct_in_order(values: Column, key=lambda x: x) -> Column:
-    """First of each key, in order."""
-    keyed = F.transform(values, lambda x, i: F.struct(i.alias("i"), key(x).alias("k"), x.alias("x")))
-    first = F.filter(values, lambda x, i: ~F.exists(keyed, lambda y: (y["i"] < i) & (y["k"] == key(x))))
-    return first
+    """First of each key, in order: each distinct key's first place, found once in the array of keys."""
+    keys = F.transform(values, key)
+    # Sorted by key and place, a value counts if the one before it has another key; then the places give the order back.
+    placed = F.array_sort(F.zip_with(F.zip_with(keys, F.sequence(F.lit(0), F.greatest(F.size(keys) - 1, F.lit(0))), lambda k, i: F.struct(k.alias("k"), i.alias("i"))), values, lambda p, x: F.struct(p["k"].alias("k"), p["i"].alias("i"), x.alias("x"))))
+
+    def first(rows: Column) -> Column:
+        new = F.filter(rows, lambda r, j: (j == 0) | (F.get(rows, j - 1)["k"] != r["k"]))
+        return F.transform(F.array_sort(F.transform(new, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
+
+    return F.when(F.size(values) > 0, F.transform(F.array(placed), first)[0]).otherwise(values)
 
 
 def _ordered_distinct_rows(df: DataFrame, id_cols: list[str], value: str, pos: str) -> DataFrame:

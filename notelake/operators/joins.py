@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from notelake.functions.text import STOP_WORDS, fold
-from notelake.functions.vectors import cosine
+from notelake.operators.blocks import cosines, in_blocks
 
 #: A side is broadcast if it was counted to have at most so many rows.
 BROADCAST_ROWS = 20_000
@@ -29,44 +29,33 @@ def hydrate(entries: DataFrame, notes: DataFrame) -> DataFrame:
 def score(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """(query_id, entry_id, score): the better cosine of a query's one or two vectors with every entry.
 
-    Scores every pair by definition; queries are the few rows. For all entries against all entries use similar_pairs().
+    Scores every pair by definition, two blocks in a task; the searches keep the best of each block only. For all entries
+    against all entries use similar_pairs().
     """
-    q = small(queries.select("query_id", "v1", "v2"))
-    second = F.when(F.col("v2").isNull(), 0.0).otherwise(cosine(F.col("v2"), F.col("embedding")))
-    return entries.select("entry_id", "embedding").crossJoin(q).select("query_id", "entry_id", F.greatest(cosine(F.col("v1"), F.col("embedding")), second).alias("score"))
+    kind = dict(queries.dtypes)["query_id"], dict(entries.dtypes)["entry_id"]
+
+    def run(l: pa.StructArray, r: pa.StructArray) -> pa.RecordBatch:
+        s = np.maximum(cosines(l.field("v1"), r.field("embedding")), cosines(l.field("v2"), r.field("embedding")))
+        i, j = np.indices(s.shape).reshape(2, -1)
+        return pa.RecordBatch.from_arrays([l.field("query_id").take(pa.array(i)), r.field("entry_id").take(pa.array(j)), pa.array(s.ravel())], names=["query_id", "entry_id", "score"])
+
+    return in_blocks(queries.select("query_id", "v1", "v2"), entries.select("entry_id", "embedding"), run, f"query_id {kind[0]}, entry_id {kind[1]}, score double", 1024)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """(l, r, score) with cosine >= least between two tables (id, vec) of equally long vectors, exact.
+    """(l, r, score) with cosine >= least between two tables (id, vec), exact.
 
     Rows are dealt into blocks of about `block`; each pair of blocks is one matrix product in a task, and only pairs over
     the bound come out. A task holds two blocks, whatever the tables' sizes.
     """
+    kind = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
 
-    def blocks(df: DataFrame, name: str, n: int) -> DataFrame:
-        dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"), "id", "vec")
-        return dealt.groupBy("b").agg(F.collect_list("id").alias(f"{name}_id"), F.flatten(F.collect_list("vec")).alias(f"{name}_vec")).drop("b")
-
-    parts = lambda df: max(1, -(-df.count() // block))
-    n_left, n_right = parts(left), parts(right)
-    pairs = blocks(left, "l", n_left).repartition(max(n_left, 1)).crossJoin(blocks(right, "r", n_right))
-
-    def unit(values: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-        m = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-        return m, np.sqrt((m * m).sum(axis=1))
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                l_id, r_id = batch.column(0)[i].values, batch.column(2)[i].values
-                (a, na), (b, nb) = unit(batch.column(1)[i].values, len(l_id)), unit(batch.column(3)[i].values, len(r_id))
-                size = na[:, None] * nb[None, :]
-                s = np.divide(a @ b.T, size, out=np.zeros_like(size), where=size > 0)
-                x, y = np.nonzero(s >= least)
-                yield pa.RecordBatch.from_arrays([l_id.take(pa.array(x)), r_id.take(pa.array(y)), pa.array(s[x, y])], names=["l", "r", "score"])
+    def run(l: pa.StructArray, r: pa.StructArray) -> pa.RecordBatch:
+        s = cosines(l.field("vec"), r.field("vec"))
+        i, j = np.nonzero(s >= least)
+        return pa.RecordBatch.from_arrays([l.field("id").take(pa.array(i)), r.field("id").take(pa.array(j)), pa.array(s[i, j])], names=["l", "r", "score"])
 
-    kind = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
-    return pairs.select("l_id", "l_vec", "r_id", "r_vec").mapInArrow(run, f"l {kind[0]}, r {kind[1]}, score double")
+    return in_blocks(left.select("id", "vec"), right.select("id", "vec"), run, f"l {kind[0]}, r {kind[1]}, score double", block)
 
 
 def purge_orphans(entries: DataFrame, notes: DataFrame) -> DataFrame:

@@ -98,6 +98,11 @@ def order_by_score(df: DataFrame, score: str = "score", tie: str = "entry_id") -
     return df.orderBy(F.desc(score), tie)
 
 
+def limit_k(df: DataFrame, k: int, *order: str | Column) -> DataFrame:
+    """The first k rows in order; tasks send on k rows each."""
+    return df.orderBy(*order).limit(k)
+
+
 def fused_order() -> list[Column]:
     """Sort keys of a fused list: score, in both lists first, vector rank, keyword rank, path."""
     both = F.col("vrank").isNotNull() & F.col("krank").isNotNull()

@@ -63,6 +63,10 @@ def vqueries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for written tables: in the cluster's shared checkpoint folder, else a temporary one (tests)."""
+    """A new folder for written tables in the cluster's shared checkpoint folder; where that is unset, on this machine if all tasks run in this process."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/notelake-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return f"{shared}/notelake-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from notelake.functions.text import STOP_WORDS
 from notelake.operators import aggregates, conversations, joins, ranking
 from notelake.plans import context, index_build, search
 from notelake.plans.base import COS, entries, query, scratch, view, vqueries
+from notelake.sources.index import load_index, write_index
 from notelake.streaming import changes
 
 FOLD = "regexp_replace(strip_accents(lower({})), '[̀-ͯ]', '', 'g')"
@@ -129,14 +130,14 @@ _BONUS = lambda body: f"least((5 * {_NHIT(body)} + 15 * {_NHIT(body, 'quoted')})
 
 @query("e2_metadata_bonus", f"SELECT * FROM (WITH {_TERMSQ}, {_META} SELECT query_id, entry_id, round(mscore, 9) AS bonus FROM meta)", "vqueries", "entries")
 def e2(spark, d):
-    q = search.query_terms(vqueries(spark, d)).select("query_id", "terms", "quoted")
-    return entries(spark, d).crossJoin(F.broadcast(q)).select("query_id", "entry_id", F.round(aggregates.metadata_bonus(F.col("terms"), F.col("quoted")), 9).alias("bonus"))
+    q = joins.small(search.query_terms(vqueries(spark, d)).select("query_id", "terms", "quoted"))
+    return aggregates.with_folded(entries(spark, d)).crossJoin(q).select("query_id", "entry_id", F.round(aggregates.metadata_bonus(F.col("terms"), F.col("quoted")), 9).alias("bonus"))
 
 
 @query("e3_content_bonus", f"SELECT * FROM (WITH {_TERMSQ}, {_SCAN} SELECT query_id, entry_id, round({_BONUS(FOLD.format('body'))}, 9) AS bonus FROM tq, scan)", "vqueries", "entries", "plain_notes")
 def e3(spark, d):
-    q = search.query_terms(vqueries(spark, d)).select("query_id", "terms", "quoted")
-    rows = search.scan_text(entries(spark, d).drop("embedding"), view(spark, d, "plain_notes")).crossJoin(F.broadcast(q))
+    q = joins.small(search.query_terms(vqueries(spark, d)).select("query_id", "terms", "quoted"))
+    rows = search.scan_text(entries(spark, d).drop("embedding"), view(spark, d, "plain_notes")).crossJoin(q)
     return rows.select("query_id", "entry_id", F.round(aggregates.content_bonus(F.col("scan"), F.col("terms"), F.col("quoted")), 9).alias("bonus"))
 
 
@@ -255,9 +256,9 @@ def f10(spark, d):
     return conversations.rolling_context(view(spark, d, "passages"), 6)
 
 
-@query("f11_representative", "SELECT path, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN entry_type = 'summary' THEN 0 WHEN entry_type = 'highlights' THEN 1 WHEN chunk_end = 0 THEN 2 ELSE 3 END, entry_id) AS k FROM entries WHERE entry_id % 4 <> 0) WHERE k = 1", "entries")
+@query("f11_representative", "SELECT path, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN entry_type = 'summary' THEN 0 WHEN entry_type = 'highlights' THEN 1 WHEN chunk_end = 0 THEN 2 ELSE 3 END, entry_id) AS k FROM entries) WHERE k = 1", "entries")
 def f11(spark, d):
-    return ranking.representative(entries(spark, d).filter("entry_id % 4 <> 0")).select("path", "entry_id")
+    return ranking.representative(entries(spark, d)).select("path", "entry_id")
 
 
 @query("f12_last_n", "SELECT event_id FROM log ORDER BY event_id DESC LIMIT 50", "log")
@@ -291,7 +292,7 @@ def g3(spark, d):
 
 @query("g4_limit_k", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
 def g4(spark, d):
-    return view(spark, d, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(20)
+    return ranking.limit_k(view(spark, d, "events").select("event_id", "value"), 20, F.desc("value"), "event_id")
 
 
 @query("g5_sample_terms", "SELECT type, term, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY term) AS rn FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'path' ELSE 'leaf' END AS type, concat(p_name, p_brand) AS term FROM part)) WHERE rn <= CASE type WHEN 'path' THEN 20 ELSE 15 END")
@@ -311,11 +312,18 @@ def _stream(spark, d, name: str, columns: list[str], n: int = 8):
     return spark.readStream.schema(schema).parquet(path)
 
 
-def _drain(stream, mode: str = "append"):
-    """Runs a stream over what is there and gives its output as a table."""
+def _drain(stream, mode: str = "append", store: bool = False):
+    """Runs a stream over what is there and gives its output as a table; store: with the state store that keyed processors need."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession)
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    if store:
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -342,12 +350,26 @@ def j3(spark, d):
     return changes.queue_dedup(view(spark, d, "changes").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-@query("j4_incremental_index", "SELECT path, arg_max(type, ts) AS action FROM changes WHERE type <> 'open' GROUP BY path", "changes")
+#: Notes are older than their entries (modified in vain), newer, deleted, or untouched; German ones are excluded.
+_CHANGED = """SELECT path, mtime, mtime % 4 AS what, CASE mtime % 4 WHEN 2 THEN 'drop' ELSE 'index' END AS action FROM plain_notes"""
+
+
+@query(
+    "j4_incremental_index",
+    f"""SELECT path, CASE WHEN what = 1 THEN 1 ELSE 0 END + 10 AS mtime, CAST(max(len(content)) AS INT) AS last_end, bool_and(true) AS vectors FROM (SELECT c.*, n.content FROM ({_CHANGED}) c JOIN notes n ON n.path = c.path)
+    WHERE what <> 2 AND NOT (what IN (0, 1) AND path LIKE '%/de/%') GROUP BY path, what""",
+    "plain_notes", "notes",
+)
 def j4(spark, d):
-    path = scratch(spark)
-    stream = _stream(spark, d, "changes", ["path", "ts", "type"], 1).filter("type <> 'open'").withColumnRenamed("type", "action")
-    changes.incremental_index(stream, lambda df: df.write.mode("append").parquet(f"{path}/out"), f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("path").agg(F.max_by("action", "ts").alias("action"))
+    path, embedder = scratch(spark), hashed_words(8)
+    now = view(spark, d, "notes").withColumns({"what": F.col("mtime") % 4, "mtime": F.when(F.col("mtime") % 4 == 1, 11).otherwise(10).cast("long")})
+    write_index(index_build.build_index(now.withColumn("mtime", F.lit(10).cast("long")).drop("what"), None, "nomic", embedder), f"{path}/index")
+    rows = now.filter("what < 3").select("path", F.when(F.col("what") == 2, "drop").otherwise("index").alias("action"), F.timestamp_seconds("mtime").alias("ts"))
+    rows.repartition(8, "path").write.parquet(f"{path}/changes")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(f"{path}/changes")
+    changes.incremental_index(stream, lambda: now.drop("what"), f"{path}/index", "nomic", embedder, f"{path}/state", exclude="*/de/*").awaitTermination()
+    made = load_index(spark, f"{path}/index", "nomic")
+    return made.groupBy("path").agg(F.max("mtime").alias("mtime"), F.max("chunk_end").alias("last_end"), F.bool_and(F.size("embedding") == 8).alias("vectors"))
 
 
 @query("j5_late_guard", "SELECT event_id FROM changes c LEFT JOIN (SELECT concat(user_id, '.md') AS path, min(ts) + INTERVAL 2 DAY AS m FROM events WHERE user_id % 2 = 0 GROUP BY 1) s USING (path) WHERE m IS NULL OR ts > m", "changes")
@@ -357,6 +379,20 @@ def j5(spark, d):
     return changes.late_guard(c, stored).select("event_id")
 
 
+@query("j5_late_guard_stream", "SELECT path, mtime, event_id FROM (SELECT *, max(mtime) OVER (PARTITION BY path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT concat(user_id, '.md') AS path, event_id * 7919 % 1009 AS mtime, event_id FROM events)) WHERE top IS NULL OR mtime > top")
+def j5_stream(spark, d):
+    path = scratch(spark)
+    rows = view(spark, d, "events").select(F.concat("user_id", F.lit(".md")).alias("path"), (F.col("event_id") * 7919 % 1009).alias("mtime"), "event_id")
+    rows.repartition(8, "path").write.parquet(path)
+    return _drain(changes.late_guard_stream(spark.readStream.schema(rows.schema).parquet(path)), store=True)
+
+
+@query("j6_settled", "SELECT user_id AS \"user\", event_id FROM (SELECT *, lag(event_id % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM (SELECT user_id, event_id, ts + event_id * INTERVAL 1 MICROSECOND AS ts FROM events)) WHERE b IS NULL OR b <> event_id % 7")
+def j6_settled(spark, d):
+    e = view(spark, d, "events").select(F.col("user_id").alias("user"), "event_id", (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)") / 1000000)).alias("ts"), (F.col("event_id") % 7).alias("path"))
+    return changes.settled(e).select("user", "event_id")
+
+
 @query("j6_live_related")
 def j6(spark, d):
     related = search.related_notes(entries(spark, d), 0.25).select("path", "rank", "related")
@@ -370,29 +406,55 @@ def j7(spark, d):
     return changes.debounced_history(view(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("state")), "1 hour")
 
 
-@query("j8_rolling_context_stream", "SELECT conv_id, count(*) AS n FROM (SELECT conv_id, now, least(count(DISTINCT path), 5) AS k FROM (SELECT p.conv_id, x.now, p.path FROM passages p JOIN (SELECT DISTINCT conv_id, turn AS now FROM passages) x ON x.conv_id = p.conv_id AND p.turn <= x.now) GROUP BY ALL), generate_series(1, k) AS g(i) GROUP BY conv_id", "passages")
+@query("j7_save_history", "SELECT user_id AS id, arg_max(event_id, ts) AS state, CASE WHEN user_id % 2 = 0 THEN user_id ELSE -1 END AS pos FROM events GROUP BY user_id")
+def j7_save(spark, d):
+    path = scratch(spark)
+    rows = view(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("state"))
+    # A last, later change of a user that isn't there lets all sessions end.
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("id"), "ts", F.lit(-1).cast("long").alias("state"))
+    write_index(rows.filter("id % 2 = 0").select("id", F.lit(0).cast("long").alias("state"), F.col("id").alias("pos")).distinct().withColumn("model", F.lit("history")), f"{path}/stored")
+    rows.union(end).repartitionByRange(8, "ts").write.parquet(f"{path}/states")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/states")
+    changes.save_history(stream, f"{path}/stored", f"{path}/state", "1 hour", "1 day").awaitTermination()
+    return load_index(spark, f"{path}/stored").filter("id >= 0").select("id", "state", "pos")
+
+
+@query("j8_rolling_context_stream", "SELECT conv_id, now AS turn, path, CAST(row_number() OVER (PARTITION BY conv_id, now ORDER BY t DESC, s DESC, path) AS INT) AS rank FROM (SELECT p.conv_id, x.now, p.path, max(p.turn) AS t, arg_max(p.score, p.turn * 1000 + p.score) AS s FROM passages p JOIN (SELECT DISTINCT conv_id, turn AS now FROM passages) x ON x.conv_id = p.conv_id AND p.turn <= x.now GROUP BY ALL) QUALIFY rank <= 5", "passages")
 def j8(spark, d):
     path = scratch(spark)
     p = view(spark, d, "passages").groupBy("conv_id", "turn", "path").agg(F.max("score").alias("score"))
-    p.coalesce(1).sortWithinPartitions("turn").write.parquet(path)
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = _drain(changes.rolling_context_stream(spark.readStream.schema(p.schema).parquet(path), 5))
-    finally:
-        spark.conf.set(store, before)
-    return out.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    p.repartition(8, "conv_id").sortWithinPartitions("turn").write.parquet(path)
+    return _drain(changes.rolling_context_stream(spark.readStream.schema(p.schema).parquet(path), 5), store=True)
 
 
 # --- composite operators
 
 
-@query("q1_build_index", "SELECT path, CAST(1 AS BIGINT) AS summaries, CAST(1 AS BIGINT) AS highlights, true AS chunked FROM notes", "notes")
+@query(
+    "q1_build_index",
+    """SELECT n.path, replace(replace(substr(text, 1, 80), chr(34), ''), chr(10), ' ') AS summary, concat('mark ', doc_id % 5, chr(10), 'last one') AS marks, CAST(len(content) AS INT) AS last_end, CAST(0 AS INT) AS first_start,
+    concat(lang, ' > ', source, ' > Links') AS last_heading, true AS gapless, true AS vectors, true AS again FROM notes n JOIN documents ON doc_id = mtime""",
+    "notes",
+)
 def q1(spark, d):
-    built = index_build.build_index(view(spark, d, "notes"), None, "nomic", hashed_words(32))
-    n = lambda kind: F.count_if(F.col("entry_type") == kind)
-    return built.groupBy("path").agg(n("summary").alias("summaries"), n("highlights").alias("highlights"), (n("content") > 0).alias("chunked"))
+    path = scratch(spark)
+
+    def no_embedding(texts):
+        raise ValueError("every text has a vector already")
+
+    write_index(index_build.build_index(view(spark, d, "notes"), None, "nomic", hashed_words(32)), path)
+    built = load_index(spark, path)
+    # Notes that look newer are extracted anew; their vectors come from the first build.
+    newer = index_build.build_index(view(spark, d, "notes").withColumn("mtime", F.col("mtime") + 1), built, "nomic", no_embedding)
+    same = newer.select("path", "entry_type", "chunk_start", "chunk_hash", F.col("embedding").alias("other"))
+    rows = built.join(same, ["path", "entry_type", "chunk_start", "chunk_hash"], "left")
+    content = F.col("entry_type") == "content"
+    w = W.partitionBy("path", "entry_type").orderBy("chunk_start")
+    rows = rows.withColumn("joins", ~content | F.coalesce(F.col("chunk_start") <= F.lag("chunk_end").over(w), F.lit(True)))
+    return rows.groupBy("path").agg(
+        F.max("summary_text").alias("summary"), F.max("highlights_text").alias("marks"), F.max(F.when(content, F.col("chunk_end"))).alias("last_end"), F.min(F.when(content, F.col("chunk_start"))).alias("first_start"),
+        F.max_by("heading_path", F.when(content, F.col("chunk_start"))).alias("last_heading"), F.bool_and("joins").alias("gapless"), F.bool_and(F.size("embedding") == 32).alias("vectors"), F.bool_and(F.coalesce(F.col("embedding") == F.col("other"), F.lit(False))).alias("again"),
+    )
 
 
 _TAIL = f"{_INJECT.format(o='o', again='{again}', two_k=40)}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY ordr) AS rn FROM inj) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rn > 1, ordr) AS INT) AS place, entry_id, path, round(score, 9) AS score FROM c WHERE rn <= 3 QUALIFY place <= 20"
@@ -443,17 +505,15 @@ def q4v(spark, d):
 
 @query("q5_suggest_tags")
 def q5(spark, d):
-    from notelake.operators.tags import rank_tags
+    n, t, embedder = view(spark, d, "plain_notes"), view(spark, d, "lang_tags"), hashed_words(32)
+    tag_index = index_build.build_tag_index(t.select(F.col("tag").alias("tags")), embedder)
+    return context.suggest_tags(n, t, tag_index, embedder)
 
-    n, t = view(spark, d, "plain_notes"), view(spark, d, "lang_tags")
-    semantic = rank_tags(n.withColumn("content", F.substring("content", 1, 1500)), t.withColumn("ord", -F.col("ord")), 10).select("path", "tag", "pos")
-    return context.suggest_tags(n, t, semantic)
 
-
-@query("q6_apply_tags", "SELECT path, [concat('A', mtime % 3), concat('b', mtime % 4)] AS tags FROM notes WHERE mtime % 2 = 0", "notes")
+@query("q6_apply_tags", "SELECT n.path, [concat('A', mtime % 3), concat('b', mtime % 4)] AS tags, replace(n.content, concat('tags: [', source, '/', lang, '_notes, topic]'), concat('tags: \"A', mtime % 3, ', b', mtime % 4, '\"')) AS content FROM notes n JOIN documents ON doc_id = mtime", "notes")
 def q6(spark, d):
-    n = view(spark, d, "notes").filter("mtime % 2 = 0").withColumn("tags", F.array(F.concat(F.lit("A"), F.col("mtime") % 3)))
-    return context.apply_tags(n, n.select("path", F.array(F.concat(F.lit("a"), F.col("mtime") % 3), F.concat(F.lit("B"), F.col("mtime") % 4)).alias("tags"))).select("path", "tags")
+    n = view(spark, d, "notes").withColumn("tags", F.array(F.concat(F.lit("A"), F.col("mtime") % 3)))
+    return context.apply_tags(n, n.select("path", F.array(F.concat(F.lit("a"), F.col("mtime") % 3), F.concat(F.lit("B"), F.col("mtime") % 4)).alias("tags")))
 
 
 @query("q7_search_manuals", f"SELECT * FROM (WITH {SCORE} SELECT s.query_id, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.entry_id) AS INT) AS rank, s.entry_id, round(s.score, 2) AS relevance, substr(content, 1, 2500) AS text FROM scored s JOIN plain_notes n ON n.path = s.path QUALIFY rank <= 3)", "vqueries", "entries", "plain_notes")
@@ -481,7 +541,12 @@ def q9(spark, d):
     return context.assemble_context(m, n, cited, "You are a helper.")
 
 
-@query("q10_render_notes", "SELECT DISTINCT concat('concepts/', trim(regexp_replace(concat(p_name, ': ', p_brand), '[\\\\/:*?\"<>|]', '', 'g')), '.md') AS path FROM part WHERE p_brand <> 'Brand#1'")
+@query(
+    "q10_render_notes",
+    """SELECT concat('concepts/', trim(regexp_replace(title, '[\\\\/:*?"<>|]', '', 'g')), '.md') AS path,
+    concat('---', chr(10), 'tags: ', regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), chr(10), '---', chr(10), '# ', title, chr(10), body, chr(10), url) AS content FROM concepts WHERE title NOT LIKE '%: Brand#1'""",
+    "concepts",
+)
 def q10(spark, d):
     have = view(spark, d, "part").filter("p_brand = 'Brand#1'").select(F.concat(F.lit("concepts/"), "p_name", F.lit(" "), "p_brand", F.lit(".md")).alias("path"))
-    return context.render_notes(view(spark, d, "concepts"), have, "---\ntags: ${tag}\n---\n# ${title}\n${content}\n${source}").select("path")
+    return context.render_notes(view(spark, d, "concepts"), have, "---\ntags: ${tag}\n---\n# ${title}\n${content}\n${source}")

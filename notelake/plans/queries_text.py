@@ -17,9 +17,11 @@ FOLD = "regexp_replace(strip_accents(lower({})), '[̀-ͯ]', '', 'g')"
 # --- sources and sinks
 
 
-@query("a1_scan_notes")
+@query("a1_scan_notes", "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, concat(coalesce(text, ''), chr(10)) AS content FROM documents")
 def a1(spark, d):
-    return notes.scan_notes(spark, d, "*.parquet", with_text=False).select("basename", "ext", "size")
+    path = scratch(spark)
+    view(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("doc_id").text(path)
+    return notes.scan_notes(spark, path, "*.txt").select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "size", "content")
 
 
 @query("a2_attach_extracted_text", "SELECT path, mtime, substr(html, 1, 10000) AS content FROM plain_notes JOIN pages ON page_id = mtime", "plain_notes")
@@ -47,7 +49,7 @@ def a4(spark, d):
         F.lit(None).cast("string").alias("entryType"), F.col("summary_text").alias("summaryText"), F.col("tags_text").alias("tagsText"), F.col("highlights_text").alias("highlightsText"), F.col("heading_path").alias("headingPath"),
     )
     path = scratch(spark)
-    entries(spark, d).groupBy("model", (F.col("entry_id") % 3).cast("int").alias("shard")).agg(F.lit(3).alias("total"), F.collect_list(e).alias("entries")).write.json(path)
+    entries(spark, d).groupBy("model", F.floor(F.col("entry_id") / 5000).cast("int").alias("shard")).agg(F.collect_list(e).alias("entries")).write.json(path)
     return index.load_json_shards(spark, path, one_a_file=False).select("path", "chunkStart", "entryType", F.col("embedding")[0].alias("first_value"))
 
 
@@ -65,11 +67,21 @@ def a6(spark, d):
     return index.load_index(spark, path, "m1").select("tag", "ord")
 
 
-@query("a7_manual_index", "SELECT path, content FROM plain_notes WHERE size < 500", "plain_notes")
+@query(
+    "a7_manual_index",
+    "SELECT path, content, CAST(3 * mtime % 100 AS TINYINT) AS first_value FROM plain_notes WHERE floor(mtime / 100) % 3 <> 2 AND content <> ''",
+    "plain_notes",
+)
 def a7(spark, d):
-    path = scratch(spark)
-    index.write_keyed_index(view(spark, d, "plain_notes").filter("size < 500").select("path", "content"), path, "m1")
-    return index.load_index(spark, path, "m1").select("path", "content")
+    # Files of a hundred notes, as bare arrays, as objects of the model and as objects of another.
+    path, form = scratch(spark), F.floor(F.col("part") % 3)
+    first = (3 * F.col("mtime") % 100).cast("double") / 127
+    chunk = F.struct("path", "content", F.when(F.col("mtime") % 2 == 0, F.to_json(F.array(first))).otherwise(F.base64(F.to_binary(F.lpad(F.hex((3 * F.col("mtime") % 100).cast("int")), 2, "0"), F.lit("hex")))).alias("embedding"))
+    files = view(spark, d, "plain_notes").groupBy(F.floor(F.col("mtime") / 100).alias("part")).agg(F.collect_list(chunk).alias("chunks"))
+    files.select(F.when(form == 0, F.to_json("chunks")).otherwise(F.to_json(F.struct(F.when(form == 1, "m1").otherwise("m0").alias("model"), "chunks"))).alias("value")).write.text(path)
+    found, stored = index.load_manual_json(spark, path, "m1", one_a_file=False), scratch(spark)
+    index.write_keyed_index(found, stored, "m1")
+    return index.load_index(spark, stored, "m1").select("path", "content", F.col("embedding")[0].alias("first_value"))
 
 
 @query("a8_allowed_tags", "SELECT lower(regexp_replace(trim(line), '^#+', '')) AS tag FROM (SELECT unnest(string_split(concat('## ', source, chr(10), '// no', chr(10), chr(10), '  #', lang, '/', doc_id), chr(10))) AS line FROM documents) WHERE regexp_replace(trim(line), '^#+', '') <> '' AND NOT starts_with(regexp_replace(trim(line), '^#+', ''), '//')")
@@ -194,7 +206,7 @@ def c3(spark, d):
     "c4_extract_tags",
     """SELECT DISTINCT path, trim(replace(part, '_', ' ')) AS term FROM (SELECT path, unnest(string_split(tag, '/')) AS part FROM (SELECT path, unnest(list_concat(
       list_transform(regexp_extract_all(content, '(?m)(?:^|\\s)#([^\\s#\\[\\]{}()<>"'',.!?;]+)', 1), lambda x: x), list_transform(string_split(regexp_replace(regexp_extract(content, '(?m)^tags?:[ \\t]*(.*)$', 1), '[\\[\\]]', '', 'g'), ','), lambda x: trim(x)))) AS tag FROM notes))
-      WHERE trim(replace(part, '_', ' ')) <> '' AND lower(trim(replace(part, '_', ' '))) NOT IN ('topic', 'general')""",
+      WHERE trim(replace(part, '_', ' ')) <> '' AND lower(trim(replace(part, '_', ' '))) NOT IN ('país', 'países', 'estilos', 'géneros', 'períodos', 'estructuras', 'región', 'regiones', 'tipo', 'tipos', 'categoría', 'categorías')""",
     "notes",
 )
 def c4(spark, d):
@@ -266,6 +278,11 @@ def c14(spark, d):
     return extract.decode_stream_chunks(view(spark, d, "stream_log"))[0]
 
 
+@query("c14_tool_fragments", "SELECT stream, seq % 2 AS idx, string_agg(concat('n', seq), '' ORDER BY seq) AS name, string_agg(concat('a', stream), '' ORDER BY seq) AS arguments FROM stream_log WHERE seq % 3 = 1 GROUP BY stream, seq % 2", "stream_log")
+def c14_tools(spark, d):
+    return extract.decode_stream_chunks(view(spark, d, "stream_log"))[1]
+
+
 @query(
     "c15_relevant_passages",
     """SELECT doc_id, CAST(rank AS INT) AS rank, text, hits FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, no) AS rank, p AS text, hits FROM (SELECT doc_id, no, trim(p) AS p, CAST(contains(lower(p), 'thing') AS INT) + CAST(contains(lower(p), 'that') AS INT) AS hits FROM
@@ -325,9 +342,9 @@ def i1(spark, d):
     return view(spark, d, "documents").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded"))
 
 
-@query("i2_tag_key", f"SELECT doc_id, {FOLD.format(chr(39) + chr(39))} || regexp_replace({FOLD.format('substr(text, 1, 40)')}, '[_\\s]+', '_', 'g') AS tag_key FROM documents")
+@query("i2_tag_key", f"SELECT doc_id, regexp_replace({FOLD.format('text')}, '[_\\s]+', '_', 'g') AS tag_key FROM documents")
 def i2(spark, d):
-    return view(spark, d, "documents").select("doc_id", text.tag_key(F.substring("text", 1, 40)).alias("tag_key"))
+    return view(spark, d, "documents").select("doc_id", text.tag_key(F.col("text")).alias("tag_key"))
 
 
 _REFINE = "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '^tell me about\\s+', ''), '\\?+$', ''), '\\s*(is that right|can you confirm)\\s*$', ''))"
@@ -364,6 +381,11 @@ def i7(spark, d):
     return view(spark, d, "embeddings").select("vec_id", F.transform(q, lambda x: x.cast("int")).alias("q"))
 
 
+@query("i7_dequantize", "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(floor(greatest(-1.0, least(1.0, CAST(x AS DOUBLE))) * 127 + 0.5) AS INT) / 127.0::DOUBLE, 9)) AS v FROM embeddings")
+def i7_back(spark, d):
+    return view(spark, d, "embeddings").select("vec_id", F.transform(vectors.dequantize(vectors.quantize(F.col("embedding"))), lambda x: F.round(x, 9)).alias("v"))
+
+
 @query("i8_cosine", "SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def i8(spark, d):
     e = view(spark, d, "embeddings")
@@ -384,7 +406,9 @@ def i10(spark, d):
 
 @query("i11_tag_match_score", f"SELECT * FROM (WITH {_SCORE} SELECT path, sum(score) AS score FROM sc GROUP BY path)", "plain_notes", "lang_tags")
 def i11(spark, d):
-    return tags.rank_tags(view(spark, d, "plain_notes"), view(spark, d, "lang_tags")).groupBy("path").agg(F.sum("score").alias("score"))
+    n = view(spark, d, "plain_notes")
+    sums = tags.scored_tags(n, view(spark, d, "lang_tags")).groupBy("path").agg(F.sum("score").alias("score"))
+    return n.select("path").join(sums, "path", "left").select("path", F.coalesce("score", F.lit(0)).alias("score"))
 
 
 @query("i12_names", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '! ' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS snake, regexp_replace(p_name || '/' || p_brand || '?', '[\\\\/:*?\"<>|]', '', 'g') AS safe, concat('# ', p_name, ' (', p_brand, ')') AS body FROM part")
@@ -438,9 +462,13 @@ def i19(spark, d):
     return view(spark, d, "dates").select("id", dates.day_of_week(F.col("a").cast("string")).alias("day"), dates.day_of_week(F.concat(F.substring(F.col("a").cast("string"), 1, 4), F.lit("-02-30"))).alias("impossible"))
 
 
-@query("i20_at_timezone", "SELECT event_id, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE z, '%H:%M:%S') AS local_time, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE z, '%Y-%m-%d') AS local_date FROM (SELECT event_id, ts, CASE event_id % 3 WHEN 0 THEN 'Asia/Tokyo' WHEN 1 THEN 'Europe/London' ELSE 'America/New_York' END AS z FROM events)")
+_PLACES = [(f" {c.title()} " if i % 2 else c, z) for i, (c, z) in enumerate(dates.CITY_ZONES.items())] + [("America/New_York", "America/New_York"), ("asia/tokyo", "Asia/Tokyo"), ("nowhere", None)]
+_ZONES = " ".join(f"WHEN {i} THEN '{z}'" for i, (_, z) in enumerate(_PLACES) if z)
+
+
+@query("i20_at_timezone", f"SELECT event_id, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE z, '%H:%M:%S') AS local_time, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE z, '%Y-%m-%d') AS local_date FROM (SELECT event_id, ts, CASE event_id % {len(_PLACES)} {_ZONES} END AS z FROM events)")
 def i20(spark, d):
-    place = F.when(F.col("event_id") % 3 == 0, " Tokyo ").when(F.col("event_id") % 3 == 1, "london").otherwise("America/New_York")
+    place = F.element_at(F.array(*(F.lit(c) for c, _ in _PLACES)), (F.col("event_id") % len(_PLACES) + 1).cast("int"))
     e = view(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), place.alias("place"))
     return dates.at_timezone(e, "ts", "place").select("event_id", "local_time", "local_date")
 

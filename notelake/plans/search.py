@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from notelake.functions.text import quoted_terms, search_terms
-from notelake.operators.aggregates import content_bonus, metadata_bonus
-from notelake.operators.joins import hydrate, rrf, score, similar_pairs, small
+from notelake.operators.aggregates import POINTS, QUOTED, content_bonus, with_folded
+from notelake.operators.blocks import best, cosines, holds_any, in_blocks, weights
+from notelake.operators.joins import hydrate, rrf, score, similar_pairs
 from notelake.operators.ranking import cap_per_note, fused_order, inject_siblings, representative, top_k
 
 
@@ -16,14 +21,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.withColumns({"terms": search_terms(F.col("text")), "quoted": quoted_terms(F.col("text"))})
 
 
-def _scored(queries: DataFrame, entries: DataFrame, highlight_boost: float) -> DataFrame:
-    """(query_id, entry_id, meta.., vscore, mscore) for all queries and entries; vectors don't go further."""
-    q = small(query_terms(queries).select("query_id", "terms", "quoted"))
-    meta = entries.select("entry_id", "path", "entry_type", "chunk_start", "chunk_end", "summary_text", "tags_text", "highlights_text", "heading_path")
-    vectors = score(queries, entries).withColumnRenamed("score", "vscore")
-    boost = F.when(F.col("entry_type") == "highlights", 1 + highlight_boost).otherwise(1.0)
-    rows = vectors.join(q, "query_id").join(meta, "entry_id").withColumn("boost", boost)
-    return rows.withColumn("mscore", metadata_bonus(F.col("terms"), F.col("quoted")))
+META = ("entry_id", "path", "entry_type", "chunk_start", "chunk_end", "summary_text", "tags_text", "highlights_text")
+
+
+def _best(queries: DataFrame, entries: DataFrame, highlight_boost: float, lists: dict[str, Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]], most: int) -> DataFrame:
+    """(query_id, list, entry_id, score, rank): each query's `most` best entries in each list.
+
+    Queries meet entries in blocks; a task scores two blocks' vectors by matrix products and looks each of their terms up
+    once in each entry's folded metadata, and the block's best of each list come out. A list is a function of the
+    vectors' and the metadata's scores to (score, wanted).
+    """
+    kind = dict(queries.dtypes)["query_id"], dict(entries.dtypes)["entry_id"]
+    boost = F.when(F.col("entry_type") == "highlights", 1 + highlight_boost).otherwise(1.0).alias("boost")
+    vectors = ("v1", "v2") if "v1" in queries.columns else ()
+    left = query_terms(queries).select("query_id", "terms", "quoted", *vectors)
+    right = with_folded(entries).select("entry_id", *(f"f_{f}" for f in POINTS), boost, *(["embedding"] if vectors else []))
+
+    def run(l: pa.StructArray, r: pa.StructArray) -> pa.RecordBatch:
+        fields = [r.field(f"f_{f}").to_pylist() for f in POINTS]
+        points = weights(l.field("terms").to_pylist(), fields, list(POINTS.values())) + QUOTED * holds_any(l.field("quoted").to_pylist(), fields)
+        meta, more = np.minimum(points / 100.0, 0.25), r.field("boost").to_numpy(zero_copy_only=False)
+        near = np.maximum(cosines(l.field("v1"), r.field("embedding")), cosines(l.field("v2"), r.field("embedding"))) if vectors else np.zeros(meta.shape)
+        ids, names = r.field("entry_id"), ["query_id", "list", "entry_id", "score"]
+        out = []
+        for name, by in lists.items():
+            score, wanted = by(near, meta, more)
+            i, j = best(score, ids.to_numpy(zero_copy_only=False), most, wanted)
+            out.append(pa.RecordBatch.from_arrays([l.field("query_id").take(pa.array(i)), pa.array([name] * len(i), pa.string()), ids.take(pa.array(j)), pa.array(score[i, j])], names=names))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else out[0]
+
+    found = in_blocks(left, right, run, f"query_id {kind[0]}, list string, entry_id {kind[1]}, score double")
+    return top_k(found, most, ("query_id", "list"))
 
 
 def scan_text(rows: DataFrame, notes: DataFrame) -> DataFrame:
@@ -41,13 +69,20 @@ def scan_text(rows: DataFrame, notes: DataFrame) -> DataFrame:
     return rows.join(text, "path", "left").withColumn("scan", F.coalesce(scan, F.lit(""))).drop("content")
 
 
+def _deep(found: DataFrame, queries: DataFrame, entries: DataFrame, notes: DataFrame) -> DataFrame:
+    """found (query_id, entry_id, score) with what the terms add in the entries' texts; metadata and text are read for found entries only."""
+    terms = query_terms(queries).select("query_id", "terms", "quoted")
+    rows = found.select("query_id", "entry_id", "score").join(terms, "query_id").join(entries.select(*META), "entry_id")
+    return scan_text(rows, notes).withColumn("score", F.col("score") + content_bonus(F.col("scan"), F.col("terms"), F.col("quoted")))
+
+
 def search_rrf(queries: DataFrame, entries: DataFrame, notes: DataFrame, k: int = 20, rrf_k: int = 60, highlight_boost: float = 0.0) -> DataFrame:
     """(query_id, place, entry_id, path, score): fused vector and keyword ranks, siblings injected, notes capped."""
     pool = max(50, min(250, 10 * k))
-    rows = _scored(queries, entries, highlight_boost).select("query_id", "entry_id", "path", "entry_type", "chunk_start", "chunk_end", "summary_text", "tags_text", "highlights_text", "terms", "quoted", "boost", (F.col("vscore") * F.col("boost")).alias("v"), (F.col("mscore") * F.col("boost")).alias("m"))
-    vector = top_k(rows.filter("v > 0").select("query_id", "entry_id", F.col("v").alias("score")), pool)
-    keyword = top_k(rows.filter("m > 0").withColumn("score", F.col("m")).drop("v", "m", "boost"), pool)
-    deep = scan_text(keyword.drop("rank"), notes).withColumn("score", F.col("score") + content_bonus(F.col("scan"), F.col("terms"), F.col("quoted")))
+    lists = {"vector": lambda v, m, boost: (v * boost, v * boost > 0), "keyword": lambda v, m, boost: (m * boost, m * boost > 0)}
+    found = _best(queries, entries, highlight_boost, lists, pool)
+    vector = found.filter("list = 'vector'").select("query_id", "entry_id", "rank")
+    deep = _deep(found.filter("list = 'keyword'"), queries, entries, notes)
     deep = deep.select("query_id", "entry_id", "score").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")))
     fused = rrf(vector, deep, rrf_k).join(entries.select("entry_id", "path", "chunk_start", "chunk_end"), "entry_id")
     ordered = fused.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*fused_order())))
@@ -62,27 +97,25 @@ def _finish(ordered: DataFrame, k: int, count_again: bool) -> DataFrame:
 
 def search_weighted(queries: DataFrame, entries: DataFrame, notes: DataFrame, k: int = 20, least: float = 0.1, deep: int = 50, highlight_boost: float = 0.2, highlights: bool = False) -> DataFrame:
     """(query_id, place, entry_id, path, score): best cosine plus metadata bonus, the top ones with a content bonus, sorted again."""
-    rows = _scored(queries, entries, max(0.0, min(1.0, highlight_boost)) if highlights else 0.0)
-    rows = rows.withColumn("score", (F.col("vscore") + F.col("mscore")) * F.col("boost")).filter(F.col("score") >= least)
-    ranked = rows.select("query_id", "entry_id", "path", "entry_type", "chunk_start", "chunk_end", "summary_text", "tags_text", "highlights_text", "terms", "quoted", "score")
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "entry_id"))).filter(F.col("rank") <= max(deep, 10 * k))
-    top = scan_text(ranked.filter(F.col("rank") <= deep), notes)
-    top = top.select("query_id", "entry_id", "path", "chunk_start", "chunk_end", (F.col("score") + content_bonus(F.col("scan"), F.col("terms"), F.col("quoted"))).alias("score"))
-    rest = ranked.filter(F.col("rank") > deep).select("query_id", "entry_id", "path", "chunk_start", "chunk_end", "score")
+    lists = {"all": lambda v, m, boost: ((v + m) * boost, (v + m) * boost >= least)}
+    ranked = _best(queries, entries, max(0.0, min(1.0, highlight_boost)) if highlights else 0.0, lists, max(deep, 10 * k)).drop("list")
+    top = _deep(ranked.filter(F.col("rank") <= deep), queries, entries, notes)
+    rest = ranked.filter(F.col("rank") > deep).join(entries.select("entry_id", "path", "chunk_start", "chunk_end"), "entry_id")
+    top, rest = (df.select("query_id", "entry_id", "path", "chunk_start", "chunk_end", "score") for df in (top, rest))
     ordered = top.unionByName(rest).withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")))
     return _finish(ordered, k, False)
 
 
 def search_keyword(queries: DataFrame, entries: DataFrame, notes: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, entry_id, score): metadata and content bonuses alone."""
-    q = small(query_terms(queries).select("query_id", "terms", "quoted"))
-    rows = entries.crossJoin(q).withColumn("score", metadata_bonus(F.col("terms"), F.col("quoted"))).filter("score > 0")
-    deep = scan_text(top_k(rows.drop("embedding"), max(50, min(250, 10 * k))).drop("rank"), notes)
-    return top_k(deep.withColumn("score", F.col("score") + content_bonus(F.col("scan"), F.col("terms"), F.col("quoted"))), k).select("query_id", "rank", "entry_id", F.round("score", 9).alias("score"))
+    lists = {"keyword": lambda v, m, boost: (m, m > 0)}
+    found = _best(queries.select("query_id", "text"), entries, 0.0, lists, max(50, min(250, 10 * k)))
+    return top_k(_deep(found, queries, entries, notes), k).select("query_id", "rank", "entry_id", F.round("score", 9).alias("score"))
 
 
 def search_vector(queries: DataFrame, entries: DataFrame, k: int = 20) -> DataFrame:
-    return top_k(score(queries, entries).filter("score > 0"), k).select("query_id", "rank", "entry_id", F.round("score", 9).alias("score"))
+    found = _best(queries.withColumn("text", F.lit("")), entries, 0.0, {"vector": lambda v, m, boost: (v, v > 0)}, k)
+    return found.select("query_id", "rank", "entry_id", F.round("score", 9).alias("score"))
 
 
 def search_manuals(queries: DataFrame, chunks: DataFrame, k: int = 3, most: int = 2500) -> DataFrame:

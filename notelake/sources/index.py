@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.functions.vectors import quantize
+
 ENTRY = "path string, chunkStart int, chunkEnd int, embedding string, mtime long, chunkHash string, entryType string, summaryText string, tagsText string, highlightsText string, headingPath string"
 SHARD = f"model string, shard int, total int, entries array<struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in ENTRY.split(', '))}>>"
 
@@ -63,3 +65,19 @@ def verify_shards(shards: DataFrame, model: str, most: int = 10_000) -> DataFram
     s = shards.agg(F.count(F.lit(1)).alias("shards"), F.count_distinct("shard").alias("d"), F.min("shard").alias("lo"), F.max("shard").alias("hi"), F.min("total").alias("t0"), F.max("total").alias("total"), F.min("model").alias("m0"), F.max("model").alias("m1"))
     ok = (F.col("shards") == F.col("total")) & (F.col("d") == F.col("total")) & (F.col("lo") == 0) & (F.col("hi") == F.col("total") - 1) & (F.col("t0") == F.col("total")) & F.col("total").between(1, most) & (F.col("m0") == model) & (F.col("m1") == model)
     return s.select("shards", "total", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def load_manual_json(spark: SparkSession, path: str, model: str, one_a_file: bool = True) -> DataFrame:
+    """(path, content, embedding) of JSON manual indexes, one a file or one a line: objects with a model and chunks, or bare arrays of chunks (of any model).
+
+    Objects of another model and chunks without path or content are left out; a vector is base64 text or numbers.
+    """
+    text = spark.read.text(path, wholetext=one_a_file)
+    chunk = "struct<path:string,content:string,embedding:string>"
+    bare = F.substring(F.trim("value"), 1, 1) == "["
+    rows = text.select(F.when(bare, F.lit(model)).otherwise(F.get_json_object("value", "$.model")).alias("model"), F.from_json(F.when(bare, F.col("value")).otherwise(F.get_json_object("value", "$.chunks")), f"array<{chunk}>").alias("chunks"))
+    rows = rows.filter(F.coalesce(F.nullif("model", F.lit("")), F.lit(model)) == model).select(F.explode("chunks").alias("c")).select("c.*")
+    rows = rows.filter((F.coalesce("path", F.lit("")) != "") & (F.coalesce("content", F.lit("")) != ""))
+    numbers = F.col("embedding").startswith("[")
+    packed = F.when(numbers, quantize(F.from_json("embedding", "array<double>"))).otherwise(_bytes(F.when(numbers, None).otherwise(F.col("embedding"))))
+    return rows.select("path", "content", F.coalesce(packed, F.array().cast("array<tinyint>")).alias("embedding"))

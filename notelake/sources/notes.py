@@ -30,12 +30,14 @@ def load_allowed_tags(spark: SparkSession, path: str) -> DataFrame:
     return clean_tag_lines(spark.read.text(path))
 
 
-def load_translations(spark: SparkSession, path: str) -> DataFrame:
-    """(term, translation) from a JSON object."""
-    whole = spark.read.text(path, wholetext=True)
+def load_translations(spark: SparkSession, path: str, one_a_file: bool = False) -> DataFrame:
+    """(term, translation) from JSON objects, one a line as write_translations() writes them, or one a file."""
+    whole = spark.read.text(path, wholetext=one_a_file)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("term", "translation"))
 
 
-def write_translations(df: DataFrame, path: str) -> None:
-    """One JSON object; a dictionary is a small table by nature."""
-    df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "translation"))))).alias("value")).write.mode("overwrite").text(path)
+def write_translations(df: DataFrame, path: str, terms_per_object: int = 5000) -> None:
+    """JSON objects, one a line, of about terms_per_object terms each."""
+    n = max(1, -(-df.count() // terms_per_object))
+    each = df.groupBy(F.pmod(F.xxhash64("term"), F.lit(n)).alias("part")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "translation"))))).alias("value"))
+    each.select("value").write.mode("overwrite").text(path)

@@ -8,6 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window as W
+
+from notelake.functions.embed import Embedder
+from notelake.operators.ranking import upsert_latest
+from notelake.plans.index_build import refresh
+from notelake.sources.index import load_index, write_index
 
 
 def _watermarked(df: DataFrame, late: str, ts: str = "ts") -> DataFrame:
@@ -80,8 +86,6 @@ def route_changes(changes: DataFrame, gap_ms: int = 2000, late: str = "10 minute
     if changes.isStreaming:
         keyed = rows.withWatermark("ts", late).groupBy("path")
         return keyed.transformWithStateInPandas(statefulProcessor=_Router(gap_ms), outputStructType="path string, action string, ts timestamp", outputMode="Append", timeMode="EventTime")
-    from pyspark.sql.window import Window as W
-
     w = W.partitionBy("path").orderBy("ts")
     nxt = F.lead("ts").over(w)
     alone = nxt.isNull() | (F.unix_millis(nxt) - F.unix_millis("ts") > gap_ms)
@@ -102,12 +106,22 @@ def late_guard(changes: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def live_related(views: DataFrame, related: DataFrame, gap: str = "400 milliseconds", late: str = "1 minute") -> DataFrame:
-    """(user, ts, path, rank, related): related notes of the note a user settled on, joined with the static related table."""
-    rows = _watermarked(views, late)
+    """(user, ts, path, rank, related): related notes of the note a user settled on, joined with the static related table.
+
+    Views while a user has paused (paused true, if there is such a column) have no effect.
+    """
+    live = views.filter(~F.coalesce("paused", F.lit(False))) if "paused" in views.columns else views
+    rows = _watermarked(live, late)
     last = rows.groupBy("user", F.session_window("ts", gap).alias("w")).agg(F.max_by("path", "ts").alias("path"), F.max("ts").alias("ts"))
     return last.select("user", "ts", "path").join(related, "path")
 
 
+def settled(views: DataFrame) -> DataFrame:
+    """views (user, ts, path) of a batch without those of the note that the user was on already."""
+    before = F.lag("path").over(W.partitionBy("user").orderBy("ts"))
+    return views.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col("path"))).drop("_b")
+
+
 def debounced_history(states: DataFrame, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
     """(id, ts, state): the last state of each conversation within the gap."""
     rows = _watermarked(states, late)
@@ -115,15 +129,55 @@ def debounced_history(states: DataFrame, gap: str = "2 seconds", late: str = "10
     return out.select("id", "ts", "state")
 
 
-def incremental_index(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str):
-    """Starts a query that hands each batch's changed paths, each once, to apply (a refresh and one save)."""
+def incremental_index(changes: DataFrame, notes: Callable[[], DataFrame], index_path: str, model: str, embedder: Embedder, checkpoint: str, include: str = "", exclude: str = ""):
+    """Starts a query that refreshes a built index with each batch of changes (path, action, ts) and saves it once a batch.
+
+    notes gives the notes as they are now; without a built index of the model the query fails.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        apply(df.groupBy("path").agg(F.max_by("action", "ts").alias("action"), F.max("ts").alias("ts")))
+        old = load_index(df.sparkSession, index_path, model)
+        write_index(refresh(notes(), old, df, model, embedder, include, exclude), index_path)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def late_guard_stream(changes: DataFrame) -> DataFrame:
+    """Changes (path, mtime, event_id) newer than all earlier ones of their note; the newest mtime of each path is the state."""
+    return changes.groupBy("path").transformWithStateInPandas(statefulProcessor=_Newest(), outputStructType="path string, mtime long, event_id long", outputMode="Append", timeMode="None")
+
+
+class _Newest(StatefulProcessor):
+    """Lets a change through if its mtime is greater than the greatest one seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "mtime long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        top, out = (self.newest.get()[0] if self.newest.exists() else None), []
+        for mtime, event in sorted(zip(*(pd.concat(list(rows))[c] for c in ("mtime", "event_id")), strict=True), key=lambda x: x[1]):
+            if top is None or mtime > top:
+                top = int(mtime)
+                out.append((key[0], top, int(event)))
+        self.newest.update((top,))
+        yield pd.DataFrame(out, columns=["path", "mtime", "event_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def save_history(states: DataFrame, stored: str, checkpoint: str, gap: str = "2 seconds", late: str = "10 minutes"):
+    """Starts a query that writes the last states (id, ts, state) within the gap over those stored (id, state, pos), once a batch."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        spark = df.sparkSession
+        before = load_index(spark, stored).drop("model")
+        none = df.select("id").limit(0)
+        write_index(upsert_latest(before, df.select("id", "state", "ts"), none).withColumn("model", F.lit("history")), stored)
+
+    return debounced_history(states, gap, late).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class _Rolling(StatefulProcessor):
     """The last passages of a conversation: those of the newest turn by score, then earlier ones."""
 
