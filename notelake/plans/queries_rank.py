@@ -433,7 +433,7 @@ def j8(spark, d):
 @query(
     "q1_build_index",
     """SELECT n.path, replace(replace(substr(text, 1, 80), chr(34), ''), chr(10), ' ') AS summary, concat('mark ', doc_id % 5, chr(10), 'last one') AS marks, CAST(len(content) AS INT) AS last_end, CAST(0 AS INT) AS first_start,
-    concat(lang, ' > ', source, ' > Links') AS last_heading, true AS gapless, true AS vectors, true AS again FROM notes n JOIN documents ON doc_id = mtime""",
+    true AS headed, true AS gapless, true AS vectors, true AS again FROM notes n JOIN documents ON doc_id = mtime""",
     "notes",
 )
 def q1(spark, d):
@@ -449,11 +449,14 @@ def q1(spark, d):
     same = newer.select("path", "entry_type", "chunk_start", "chunk_hash", F.col("embedding").alias("other"))
     rows = built.join(same, ["path", "entry_type", "chunk_start", "chunk_hash"], "left")
     content = F.col("entry_type") == "content"
+    lang, source = F.split("path", "/")[1], F.split("path", "/")[0]
+    heads = F.array(F.lit(""), lang, F.concat_ws(" > ", lang, source), F.concat_ws(" > ", lang, source, F.lit("Links")))
+    headed = F.array_contains(heads, F.coalesce("heading_path", F.lit(""))) & (content | F.col("heading_path").isNull())
     w = W.partitionBy("path", "entry_type").orderBy("chunk_start")
     rows = rows.withColumn("joins", ~content | F.coalesce(F.col("chunk_start") <= F.lag("chunk_end").over(w), F.lit(True)))
     return rows.groupBy("path").agg(
         F.max("summary_text").alias("summary"), F.max("highlights_text").alias("marks"), F.max(F.when(content, F.col("chunk_end"))).alias("last_end"), F.min(F.when(content, F.col("chunk_start"))).alias("first_start"),
-        F.max_by("heading_path", F.when(content, F.col("chunk_start"))).alias("last_heading"), F.bool_and("joins").alias("gapless"), F.bool_and(F.size("embedding") == 32).alias("vectors"), F.bool_and(F.coalesce(F.col("embedding") == F.col("other"), F.lit(False))).alias("again"),
+        F.bool_and(headed).alias("headed"), F.bool_and("joins").alias("gapless"), F.bool_and(F.size("embedding") == 32).alias("vectors"), F.bool_and(F.coalesce(F.col("embedding") == F.col("other"), F.lit(False))).alias("again"),
     )
 
 

@@ -155,7 +155,8 @@ class _Newest(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         top, out = (self.newest.get()[0] if self.newest.exists() else None), []
-        for mtime, event in sorted(zip(*(pd.concat(list(rows))[c] for c in ("mtime", "event_id")), strict=True), key=lambda x: x[1]):
+        got = pd.concat(list(rows)).sort_values("event_id")
+        for mtime, event in zip(got["mtime"], got["event_id"], strict=True):
             if top is None or mtime > top:
                 top = int(mtime)
                 out.append((key[0], top, int(event)))
