@@ -536,12 +536,30 @@ def q8m(spark, d):
     return index_build.build_manual_index(view(spark, d, "plain_notes"), hashed_words(16))
 
 
-@query("q9_assemble_context")
+_PLACED = "SELECT conv_id, CAST(turn AS DOUBLE) AS pos, role, content FROM tool_messages WHERE role <> 'tool_result' UNION ALL SELECT t.conv_id, coalesce(min(m.l) - 0.5, min(m.e) + 0.5), 'user', string_agg(content, concat(chr(10), chr(10)) ORDER BY turn) FROM tool_messages t JOIN (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS l, max(turn) AS e FROM tool_messages GROUP BY 1) m ON m.conv_id = t.conv_id WHERE role = 'tool_result' GROUP BY t.conv_id"
+_BLANK_LINE = "concat(chr(10), chr(10))"
+
+
+@query(
+    "q9_assemble_context",
+    f"""SELECT * FROM (WITH placed AS ({_PLACED}),
+    runs AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY pos) THEN 0 ELSE 1 END AS c FROM placed)),
+    merged AS (SELECT conv_id, min(pos) AS pos, concat(min(role), ': ', string_agg(content, {_BLANK_LINE} ORDER BY pos)) AS t FROM runs GROUP BY conv_id, run),
+    history AS (SELECT conv_id, string_agg(t, {_BLANK_LINE} ORDER BY pos) AS b FROM merged GROUP BY conv_id),
+    chosen AS (SELECT conv_id, string_agg(concat('--- ', path, ' ---', chr(10), substr(content, 1, 4000)), {_BLANK_LINE} ORDER BY path) AS b FROM (SELECT mtime % 100 AS conv_id, path, content, row_number() OVER (PARTITION BY mtime % 100 ORDER BY path) AS k FROM plain_notes) WHERE k <= 5 GROUP BY conv_id),
+    pieces AS (SELECT conv_id, path, content, concat('--- Note: ', path, ' ---', chr(10), content, {_BLANK_LINE}) AS piece FROM (SELECT mtime * 7 % 100 AS conv_id, path, content FROM plain_notes)),
+    fitted AS (SELECT *, sum(len(piece)) OVER (PARTITION BY conv_id ORDER BY path) AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS k FROM pieces),
+    folder AS (SELECT conv_id, string_agg(CASE WHEN upto <= 3000 THEN piece ELSE substr(concat('--- Note: ', path, ' (truncated) ---', chr(10), content), 1, 3000) END, '' ORDER BY path) AS b FROM fitted WHERE upto <= 3000 OR k = 1 GROUP BY conv_id),
+    cite AS (SELECT floor(turn / 1000) AS conv_id, string_agg(text, {_BLANK_LINE} ORDER BY turn, text) AS b FROM cited GROUP BY 1)
+    SELECT h.conv_id, concat_ws({_BLANK_LINE}, 'You are a helper.', c.b, f.b, p.b, h.b) AS prompt FROM history h LEFT JOIN chosen c ON c.conv_id = h.conv_id LEFT JOIN folder f ON f.conv_id = h.conv_id LEFT JOIN cite p ON p.conv_id = h.conv_id)""",
+    "tool_messages", "plain_notes", "cited",
+)
 def q9(spark, d):
-    m = view(spark, d, "run_messages")
-    n = view(spark, d, "plain_notes").select((F.col("mtime") % 100).alias("conv_id"), "path", "content")
+    m, notes = view(spark, d, "tool_messages"), view(spark, d, "plain_notes")
+    n = notes.select((F.col("mtime") % 100).alias("conv_id"), "path", "content")
+    folder = notes.select((F.col("mtime") * 7 % 100).alias("conv_id"), "path", "content")
     cited = view(spark, d, "cited").select(F.floor(F.col("turn") / 1000).alias("conv_id"), F.col("turn").alias("rank"), "text")
-    return context.assemble_context(m, n, cited, "You are a helper.")
+    return context.assemble_context(m, n, cited, "You are a helper.", folder, folder_limit=3000)
 
 
 @query(
