@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm.common import cut, small, table, written
 from notelake.llm.components import components
-from notelake.llm.shingles import WordHasher, by_bytes, mix, set_ids, shingle_sets
+from notelake.llm.shingles import WordHasher, mix, set_ids, shingle_sets
 
 #: N-grams whose place at the end of the global order is sure: at most so many, the most frequent ones. Only the order
 #: depends on them, no result: whichever they are, sets that link share an n-gram of their prefixes.
@@ -23,16 +24,20 @@ MEET, PER = 8, 20
 SHORT_LIST = 16
 #: A prefix tree holds about so many sets, or n-grams; larger groups are dealt over several.
 TREE_SETS, TREE_GRAMS = 1024, 1 << 20
-#: Postings that a task gathers before it deals them out, and that a bucket of posting lists should hold.
-STRETCH, BUCKET = 2_000_000, 4_000_000
+#: N-grams that a task counts at a time, postings that it gathers before it deals them out, and those that a bucket should hold.
+COUNTED, STRETCH, BUCKET = 2_000_000, 400_000, 4_000_000
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, size: int, column: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, end, tokens, starts): the sets of the texts [start, end) of an Arrow batch, about a megabyte at a time."""
-    texts = batch.column(column).to_pylist()
-    for start, end in by_bytes(texts):
-        hashes, owner, *_ = hasher(texts[start:end])
+    """(start, end, tokens, starts): the sets of the texts [start, end) of an Arrow batch, about half a megabyte at a time."""
+    texts = batch.column(column)
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + (1 << 19), side="right")) - 1)
+        hashes, owner, *_ = hasher(texts.slice(start, end - start).to_pylist())
         yield start, end, *shingle_sets(hashes, owner, end - start, size)
+        start = end
 
 
 def _classes(keyed: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +64,7 @@ def _classes(keyed: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
                 fresh = _fresh(sids[start:end], seen)
                 held.append(tokens[np.repeat(fresh, ns[start:end])])
                 total += len(held[-1])
-                if total >= STRETCH:
+                if total >= COUNTED:
                     yield frequent(held, kind_arrow)
                     held, total, seen = [], 0, set()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids), pa.array(ns), pa.nulls(len(sids), pa.int64())], names=names)
@@ -186,6 +191,7 @@ def _met(postings: DataFrame, parts: int, per_cent: int) -> DataFrame:
         sizes = np.zeros(len(names_), np.int32)
         sizes[own] = n
         each = np.unique((token.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64))
+        del sid, n
         token, own = each >> np.uint64(32), (each & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         df = np.diff(np.append(first, len(token)))
