@@ -126,7 +126,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id
     text's n-grams that are in it name a template and a diagonal, and the template is aligned with the words around that
     diagonal, at most 2 * band words off it. Matches that cover `least` of the template's words are reported, the best
     first where they overlap. The set of templates is an argument of fixed size and goes to the tasks with the function.
-    A null text has no words, a null id stays null, repeated rows are scanned each, an empty table gives no row.
+    A template with fewer words than gram has no fingerprint and is never found. Of overlapping matches with equal coverage
+    the longer, then the earlier one stays. A null text has no words, a null id stays null, repeated rows are scanned each,
+    a very long text costs about its length, other columns are left out, whatever their names, an empty table gives no row.
     """
     index = build_index(TEMPLATES if templates is None else templates, gram, window)
     kind = dict(docs.dtypes)[id_col]
@@ -142,10 +144,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 grams = _grams(hashes, gram)
                 known = np.flatnonzero(np.isin(grams, index.hashes))
+                raws = [t.encode("utf-8", "surrogatepass") for t in texts[start:end]] if len(known) else []
+                offsets = np.cumsum([0, *(len(r) + 1 for r in raws)])
                 for i in np.unique(owner[known]) if len(known) else ():
                     a, b = first[i], first[i + 1]
-                    raw = texts[start + i].encode("utf-8", "surrogatepass")
-                    offset = int(np.sum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts[start : start + i]]))
+                    raw, offset = raws[i], int(offsets[i])
                     for t, matched, lo, hi in scan_words(hashes[a:b], index, gram, band, least):
                         here = lambda x: len(raw[: int(x) - offset].decode("utf-8", "surrogatepass"))  # noqa: B023, E731
                         rows.append((start + int(i), index.names[t], here(starts[a + lo]), here(ends[a + hi - 1]), matched, len(index.words[t])))
