@@ -16,7 +16,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_co
 
     Arrow batches go to the tasks with three columns only and come back as lengths. Inside a task, texts are encoded in
     batches of about batch_bytes; a text over piece_chars is cut where no token can cross (in front of blanks and line
-    ends, at punctuation) and its pieces share batches with other texts. A null text counts as empty (0 bytes, 0
+    ends, at punctuation, never inside a special string) and its pieces share batches with other texts. A null text counts as empty (0 bytes, 0
     tokens), a null id stays null, repeated rows are counted each, a count equal to the limit isn't over it, columns
     other than the id and the text are left out, whatever their names, and an empty table gives no row.
     """

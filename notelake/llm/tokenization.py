@@ -26,10 +26,10 @@ def resolve(name: str) -> str:
 
 
 class Encoder:
-    """Ids of one text, or of a batch; special strings in the text as the library's default has them. cuttable: safe_pieces() holds."""
+    """Ids of one text, or of a batch; special strings in the text as the library's default has them. cuttable: safe_pieces() holds, away from markers (the special strings)."""
 
-    def __init__(self, batch: Callable[[list[str]], list], cuttable: bool = False) -> None:
-        self.batch, self.cuttable = batch, cuttable
+    def __init__(self, batch: Callable[[list[str]], list], cuttable: bool = False, markers: tuple[str, ...] = ()) -> None:
+        self.batch, self.cuttable, self.markers = batch, cuttable, markers
 
     def __call__(self, text: str) -> list[int]:
         return self.batch([text])[0]
@@ -84,7 +84,7 @@ def _ranked(spec: dict) -> Encoder | None:
             out[i] = core.encode(texts[i], allowed_special="all")
         return out
 
-    return Encoder(batch, cuttable=True)
+    return Encoder(batch, cuttable=True, markers=markers)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -94,15 +94,22 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def safe_pieces(text: str, size: int) -> Iterator[str]:
-    """The text in pieces of about size characters, cut only where the ids cannot change; an uncuttable stretch stays whole."""
+def safe_pieces(text: str, size: int, markers: tuple[str, ...] = ()) -> Iterator[str]:
+    """The text in pieces of about size characters, cut only where the ids cannot change; an uncuttable stretch stays whole.
+
+    No cut goes through an occurrence of a marker, so either side holds the markers that the whole text has there.
+    """
+
+    def inside(i: int) -> bool:
+        return any(text.find(m, max(0, i - len(m) + 1), i + len(m) - 1) >= 0 for m in markers)
+
     start = 0
     while len(text) - start > size:
-        found = _SAFE.search(text, start + size)
-        if not found:
+        cut = next((m.start() for m in _SAFE.finditer(text, start + size) if not inside(m.start())), None)
+        if cut is None:
             break
-        yield text[start : found.start()]
-        start = found.start()
+        yield text[start:cut]
+        start = cut
     yield text[start:]
 
 
@@ -124,7 +131,7 @@ def encode_batches(encode: Encoder, texts: Iterable[str], batch_bytes: int = 1 <
                 done = []
 
     for i, text in enumerate(texts):
-        pieces = [text] if len(text) <= piece_chars or not encode.cuttable else list(safe_pieces(text, piece_chars))
+        pieces = [text] if len(text) <= piece_chars or not encode.cuttable else list(safe_pieces(text, piece_chars, encode.markers))
         for k, piece in enumerate(pieces, 1):
             held.append((i, piece, k == len(pieces)))
             size += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))

@@ -22,7 +22,7 @@ from notelake.llm.packing import pack
 from notelake.llm.quality import quality_rules
 from notelake.llm.secrets import secret_scan
 from notelake.llm.token_counts import token_counts
-from notelake.llm.tokenization import encoder, safe_pieces
+from notelake.llm.tokenization import encode_batches, encoder, safe_pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, key string, id string, t string, w string, _t string"
 LONG = " ".join(f"word{i % 977} of the {i}" for i in range(20_000))
@@ -69,6 +69,19 @@ def test_safe_pieces_keep_ids():
     assert [i for p in parts for i in e(p)] == list(e(t))
 
 
+def test_no_cut_inside_special_strings():
+    """Each special string of the vocabulary at every offset around the place where a text is cut, against the file's own library."""
+    e, theirs = encoder("byte_bpe_50k.json"), hf()
+    assert e.markers and set(e.markers) == {t.content for t in theirs.get_added_tokens_decoder().values()}
+    for marker in e.markers:
+        for pad in ("word ", "a,b.", "x" * 7 + "|"):
+            for offset in range(100 - 2 * len(marker), 101):
+                t = (pad * 30)[:offset] + marker + "|" + marker + marker[:-1] + pad * 30
+                ids = [i for _, lists in encode_batches(e, [t], piece_chars=100) for part in lists for i in part]
+                assert ids == theirs.encode(t, add_special_tokens=False).ids
+                assert "".join(safe_pieces(t, 100, e.markers)) == t
+
+
 def test_token_counts(odd, nothing):
     theirs = hf()
     got = token_counts(odd, limit=10, batch_bytes=1000, piece_chars=5000).collect()
