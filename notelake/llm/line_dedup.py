@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import BLANK, before, free, let, small, table, written
+from notelake.llm.common import BLANK, free, let, small, table, written
 
 
 def _windows(hashes: Column, counts: Column, least_words: int) -> Column:
-    """Structs lo, at (places in the arrays), low, body: of windows, the first line, the place and hash of the smallest line hash (the last of equal ones), the hash of all.
+    """Structs kind, lo, hi, at (places in the arrays), low, body: of windows, the first and last line, the place and hash of the smallest line hash (the last of equal ones), the hash of all.
 
     For every line, the shortest window from it on with least_words words, and the shortest one that ends with it. Each
     line has a word, so no window is longer than least_words lines.
@@ -20,17 +20,17 @@ def _windows(hashes: Column, counts: Column, least_words: int) -> Column:
         grow = lambda acc, n: F.when(acc["n"] >= least_words, acc).otherwise(F.struct((acc["n"] + n).alias("n"), (acc["k"] + 1).alias("k")))
         return F.aggregate(part, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), grow, lambda acc: F.when(acc["n"] >= least_words, acc["k"]).otherwise(0))
 
-    def window(lo: Column, k: Column) -> Column:
+    def window(kind: int, lo: Column, k: Column) -> Column:
         def of(h: Column) -> Column:
             least = F.array_min(h)
-            return F.struct(lo.alias("lo"), (lo + k - F.array_position(F.reverse(h), least)).cast("int").alias("at"), least.alias("low"), F.xxhash64(h, F.size(h)).alias("body"))
+            return F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), (lo + k - 1).cast("int").alias("hi"), (lo + k - F.array_position(F.reverse(h), least)).cast("int").alias("at"), least.alias("low"), F.xxhash64(h, F.size(h)).alias("body"))
 
         return F.when(k > 0, let(F.slice(hashes, lo + 1, k), of))
 
     def both(i: Column) -> Column:
-        from_here = let(reach(F.slice(counts, i + 1, least_words)), lambda k: window(i, k))
+        from_here = let(reach(F.slice(counts, i + 1, least_words)), lambda k: window(0, i, k))
         first = F.greatest(i - least_words + 1, F.lit(0))
-        to_here = let(reach(F.reverse(F.slice(counts, first + 1, i - first + 1))), lambda k: window(i - k + 1, k))
+        to_here = let(reach(F.reverse(F.slice(counts, first + 1, i - first + 1))), lambda k: window(1, i - k + 1, k))
         return F.array(from_here, to_here)
 
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(hashes) - 1), both))
@@ -53,36 +53,32 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return held.select("id", "key", F.col("l.h").alias("hs"), F.col("l.n").alias("ns"), F.col("l.i").alias("at")).dropDuplicates(["key"])
 
 
-def alignments(held: DataFrame, least_words: int) -> DataFrame:
-    """(key, other, shift): a document's lines from some place on are those of another, or of itself, shift lines before.
+def repeated_windows(held: DataFrame, least_words: int) -> DataFrame:
+    """(key, kind, lo, hi): of each document, the windows that stand earlier, in other documents or before in its own; kind 0 are those from a line on, 1 those up to a line.
 
-    Winnowing selects each window's smallest line hash as a fingerprint. Only windows whose fingerprint stands in several
-    places are looked at further: those with equal contents are aligned with the first of them.
+    Winnowing selects each window's smallest line hash as a fingerprint. Fingerprints are joined by hash over all positions; only windows whose
+    fingerprint stands in several places are looked at further, and those with equal contents are matched with the first of them.
     """
     # An outer generator keeps the optimizer from testing the windows' array in a filter of its own, which computes it again.
     rows = held.select("id", "key", F.explode_outer(_windows(F.col("hs"), F.col("ns"), least_words)).alias("w")).filter("w is not null")
-    rows = written(rows.select("w.low", "w.body", F.struct("id", "key", "w.lo").alias("place"), "w.at"))
+    rows = written(rows.select("w.low", "w.body", F.struct("id", "key", "w.lo").alias("place"), "w.at", "w.kind", "w.hi"))
     at = F.struct("place.key", "at")
     repeated = rows.groupBy("low").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("low")
     seeds = rows.join(repeated, "low", "left_semi")
     first = seeds.groupBy("low", "body").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("low", "body", "first")
-    later = seeds.join(first, ["low", "body"]).filter(F.col("place") != F.col("first"))
-    return later.select("place.key", F.col("first.key").alias("other"), (F.col("place.lo") - F.col("first.lo")).alias("shift")).distinct()
+    return seeds.join(first, ["low", "body"]).filter(F.col("place") != F.col("first")).select("place.key", "kind", "place.lo", "hi")
 
 
-def repeated_lines(held: DataFrame, aligned: DataFrame, least_words: int) -> DataFrame:
+def repeated_lines(held: DataFrame, windows: DataFrame) -> DataFrame:
     """(key, gone): of documents with later repeated runs, the places of the runs' lines.
 
-    Along an alignment, matches are extended both ways: lines that are equal one after the other are a run, and a run with
-    least_words words goes.
+    A match is extended forwards by the windows that begin in it and backwards by those that end in it, each of which stands earlier too. Windows of one
+    kind begin and end in the same order, so each adds its lines up to the next one's begin: a run costs its length, however often it repeats itself.
     """
-    here, there = held.select("key", "hs", "ns", "at"), held.select(F.col("key").alias("other"), F.col("hs").alias("theirs"))
-    met = aligned.join(here, "key").join(there, "other")
-    met = met.select("key", "other", "shift", "ns", "at", F.transform("hs", lambda h, i: F.coalesce(h == F.get(F.col("theirs"), i - F.col("shift")), F.lit(False))).alias("same"))
-    met = met.withColumn("run", before(F.transform("same", lambda x: F.when(x, 0).otherwise(1))))
-    lines = met.select("key", "other", "shift", F.explode(F.arrays_zip("same", "run", "ns", "at")).alias("l")).filter("l.same")
-    runs = lines.groupBy("key", "other", "shift", "l.run").agg(F.sum("l.ns").alias("n"), F.collect_list("l.at").alias("at")).filter(F.col("n") >= least_words)
-    return runs.select("key", F.explode("at").alias("at")).distinct().groupBy("key").agg(F.collect_list("at").alias("gone"))
+    runs = windows.groupBy("key", "kind").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("w"))
+    lines = F.flatten(F.transform("w", lambda x, i: F.sequence(x["lo"], F.least(x["hi"], F.coalesce(F.get("w", i + 1)["lo"] - 1, x["hi"])))))
+    covered = runs.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(lines))).alias("lines"))
+    return covered.join(held.select("key", "at"), "key").select("key", F.transform("lines", lambda i: F.get("at", i)).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50) -> DataFrame:
@@ -97,7 +93,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     keep their values, whatever their names. A text of many lines costs about its length. An empty table gives no row.
     """
     held = written(line_hashes(docs, id_col, text_col))
-    gone = small(written(repeated_lines(held, written(alignments(held, least_words)), least_words)))
+    gone = small(written(repeated_lines(held, repeated_windows(held, least_words))))
     n_lines, n_deleted = (free(name, docs.columns) for name in ("n_lines", "n_deleted"))
     text = F.col("row")[text_col]
     df = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key")).join(gone, "key", "left")

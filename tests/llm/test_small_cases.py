@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -158,6 +159,21 @@ def test_quality(odd, nothing, spark):
     assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in junk)
 
 
+def test_line_dedup_repeats_inside_one_text(spark):
+    """Texts that repeat themselves: equal lines, periods, a text read backwards; each costs about its length."""
+    line = lambda i, n=50: " ".join(f"w{i}x{j}" for j in range(n))
+    half = [line(i) for i in range(10, 310)]
+    texts = ["\n".join([line(0)] * 1000), "\n".join([line(1)] * 100_000), "\n".join([line(2), line(3), line(4, 20)] * 2000), "\n".join(half + half[::-1]), "\n".join(["a b", "c"] * 30_000)]
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 100
+    assert got[0] == (1000, 999, line(0)) and got[1] == (100_000, 99_999, line(1))
+    # The last period's short line is in no window of the first kind that is complete there, but ends one that stands earlier.
+    assert got[2][:2] == (6000, 5997)
+    assert got[3] == (600, 300, "\n".join(half))
+    assert got[4][0] == 60_000 and got[4][1] > 59_900
+
+
 def test_line_dedup(odd, nothing, spark):
     assert line_dedup(nothing).count() == 0
     got = line_dedup(odd).collect()
