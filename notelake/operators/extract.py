@@ -104,29 +104,87 @@ def heading_stack(found: DataFrame) -> DataFrame:
     return folded.select("path", F.explode("hs").alias("h")).select("path", "h.offset", F.col("h.path").alias("heading_path"))
 
 
+def front_matter_entries(content: Column) -> Column:
+    """The front matter's top-level entries in order: structs key, list (is it a list), values (as written, quotes included; none for a map), raw (what stands behind the key, null if nothing).
+
+    The block is cut in front of each unindented key; what follows a key up to the next one is its own: a scalar, also folded, a literal block, a list in
+    brackets, or lines with a dash, indented or not. Carriage returns and comments are left out.
+    """
+    block = F.regexp_replace(F.regexp_extract(content, FRONT, 1), r"\r|(?m)^[ \t]*#.*$\n?", "")
+    sections = F.filter(F.split(block, r"\n(?=[^\s#\-][^\n:]*:(?:[ \t\n]|\z))"), lambda s: s.rlike(r"\A[^\s#\-][^\n:]*:(?:[ \t\n]|\z)"))
+
+    def entry(s: Column) -> Column:
+        key = F.regexp_replace(F.trim(F.regexp_extract(s, r"\A([^:\n]*):", 1)), r"^[\"']|[\"']$", "")
+        first = F.trim(F.regexp_extract(s, r"\A[^:\n]*:([^\n]*)", 1))
+        more = F.regexp_extract(s, r"\A[^\n]*\n([\s\S]*)", 1)
+        plain = _uncommented(F.trim(F.regexp_replace(F.concat(first, F.lit(" "), more), r"\s+", " ")))
+        flow = F.regexp_extract_all(F.regexp_extract(plain, r"\A\[(.*?)\]?\z", 1), F.lit(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,\s][^,]*)"""), F.lit(1))
+        dashed = F.transform(F.regexp_extract_all(more, F.lit(r"(?m)^[ \t]*-[ \t]+(.+)$"), F.lit(1)), lambda x: _uncommented(F.trim(x)))
+        literal = F.trim(F.regexp_replace(more, r"(?m)^[ \t]+", ""))
+        none, one = F.array().cast("array<string>"), lambda x: F.array(x)
+        is_block, is_flow, empty = first.rlike(r"\A[|>][0-9+-]*\z"), first.startswith("["), first.rlike(r"\A(?:#.*)?\z")
+        is_dashed = empty & more.rlike(r"\A\s*-[ \t]")
+        values = F.when(is_block, one(F.when(first.startswith("|"), literal).otherwise(F.replace(literal, F.lit("\n"), F.lit(" "))))).when(is_flow, flow).when(is_dashed, dashed).when(empty, none).otherwise(one(plain))
+        return F.struct(key.alias("key"), (is_flow | is_dashed).alias("list"), values.alias("values"), F.when(~is_block & ~empty, first).alias("raw"))
+
+    return F.transform(sections, entry)
+
+
+def _uncommented(v: Column) -> Column:
+    """A trimmed scalar without a comment behind it."""
+    quoted = F.regexp_extract(v, r"""(?s)\A("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')""", 1)
+    return F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_replace(v, r"(?s)(?:\A|\s)#.*\z", "")))
+
+
+def _unquoted(value: Column) -> Column:
+    """A YAML scalar without its quotes."""
+    v = F.trim(value)
+    double, single = v.rlike(r"(?s)\A\".*\"\z") & (F.length(v) > 1), v.rlike(r"(?s)\A'.*'\z") & (F.length(v) > 1)
+    inner = F.substring(v, F.lit(2), F.length(v) - 2)
+    return F.when(double, F.replace(inner, F.lit('\\"'), F.lit('"'))).when(single, F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(v)
+
+
+def _is_text(value: Column) -> Column:
+    """Is a scalar as written text, rather than a number, a truth value, nothing, or a map."""
+    v = F.trim(value)
+    return v.rlike(r"\A[\"']") | ~v.rlike(r"(?is)\A(?:[+-]?[0-9][0-9_]*(?:\.[0-9]*)?(?:e[+-]?[0-9]+)?|true|false|null|~|)\z|\A[^\"']*:(?:\s.*)?\z")
+
+
+def _values(entries: Column, key: str) -> Column:
+    """The first entry of a key, null if there is none."""
+    return F.get(F.filter(entries, lambda e: e["key"] == key), F.lit(0))
+
+
+def front_matter_tags(content: Column) -> Column:
+    """Tags of the front matter's `tags` and `tag` entries: list items or parts between commas that are text, without brackets and quotes."""
+    entries = front_matter_entries(content)
+    own = F.flatten(F.transform(F.filter(entries, lambda e: e["key"].isin("tags", "tag")), lambda e: F.filter(e["values"], _is_text)))
+    parts = F.flatten(F.transform(own, lambda v: F.split(F.regexp_replace(_unquoted(v), r"\A\[|\]\z", ""), ",")))
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"^[\"']|[\"']$", "")), lambda p: p != "")
+
+
 def extract_tags(notes: DataFrame, generic: tuple[str, ...] = GENERIC_TAG_NODES) -> DataFrame:
     """(path, term): leaves and path parts of inline #tags and of the front matter's tags, generic levels left out."""
     inline = F.regexp_extract_all("content", F.lit(r"(?m)(?:^|\s)#([^\s#\[\]{}()<>\"',.!?;]+)"), F.lit(1))
-    block = F.regexp_extract("content", FRONT, 1)
-    line = F.regexp_extract(block, r"(?m)^tags?:[ \t]*(.*)$", 1)
-    items = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]+-[ \t]+([^\n:]+)$"), F.lit(1))
-    csv = F.split(F.regexp_replace(line, r"[\[\]]", ""), ",")
-    clean = F.transform(F.concat(inline, csv, items), lambda t: F.regexp_replace(F.trim(t), r"^[\"'#]+|[\"']+$", ""))
-    parts = notes.select("path", F.explode(clean).alias("tag")).select("path", F.explode(F.split("tag", "/")).alias("part"))
+    tags = F.transform(F.concat(inline, front_matter_tags(F.col("content"))), lambda t: F.regexp_replace(t, "^#+", ""))
+    parts = notes.select("path", F.explode(tags).alias("tag")).select("path", F.explode(F.split("tag", "/")).alias("part"))
     term = F.trim(F.regexp_replace("part", "_", " "))
     return parts.select("path", term.alias("term")).filter((F.col("term") != "") & ~F.lower("term").isin(*generic)).distinct()
 
 
 def front_matter(notes: DataFrame) -> DataFrame:
-    """(path, summary, tags, author) from flat front matter; null where absent."""
-    block = F.regexp_extract("content", FRONT, 1)
-    pairs = F.filter(F.transform(F.split(block, r"\r?\n"), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v"))), lambda p: (p["k"] != "") & (p["v"] != ""))
-    df = notes.select("path", pairs.alias("pairs"))
-    bare = lambda c: F.regexp_replace(c, r"^[\"']|[\"']$", "")
-    first = lambda key: F.get(F.filter("pairs", lambda p: p["k"] == key), F.lit(0))["v"]
-    pick = lambda keys: F.coalesce(*(F.nullif(bare(first(k)), F.lit("")) for k in keys))
-    author = F.regexp_replace(pick(AUTHOR_KEYS), r"[\[\]]", "")
-    return df.select("path", pick(SUMMARY_KEYS).alias("summary"), first("tags").alias("tags"), author.alias("author"))
+    """(path, summary, tags, author) from the front matter's top level; null where absent.
+
+    summary is the first text among SUMMARY_KEYS, author the first value or list among AUTHOR_KEYS, tags the entry as written (a list's items joined).
+    """
+    df = notes.select("path", front_matter_entries(F.col("content")).alias("e"))
+    one = lambda key: _values(F.col("e"), key)
+    first = lambda e: F.get(e["values"], F.lit(0))
+    text = lambda e: F.when(~e["list"] & _is_text(first(e)), F.nullif(_unquoted(first(e)), F.lit("")))
+    joined = lambda e: F.nullif(F.array_join(F.transform(e["values"], lambda v: F.trim(_unquoted(v))), ", "), F.lit(""))
+    tags = one("tags")
+    written = F.coalesce(tags["raw"], joined(tags))
+    return df.select("path", F.coalesce(*(text(one(k)) for k in SUMMARY_KEYS)).alias("summary"), written.alias("tags"), F.coalesce(*(joined(one(k)) for k in AUTHOR_KEYS)).alias("author"))
 
 
 def highlights(notes: DataFrame, max_n: int = 24, max_chars: int = 2000) -> DataFrame:
@@ -217,25 +275,6 @@ def claims(reports: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     return out.withColumn("class", F.when(v.contains("inaccurate"), "inaccurate").when(v.contains("accurate"), "accurate").when(v.contains("unverifiable"), "unverifiable"))
 
 
-# Elements that hold no article text.
-NOISE = ("script", "style", "noscript", "iframe", "nav", "footer", "header", "aside", "head")
-
-
-def main_text(pages: DataFrame, max_chars: int = 8000, least: int = 15) -> DataFrame:
-    """(page_id, text): headings (marked) and paragraphs over `least` characters of the first article, main or content element."""
-    clean = F.col("html")
-    for tag in NOISE:
-        clean = F.regexp_replace(clean, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
-    roots = [r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<main\b[^>]*>(.*?)</main>", r"(?is)<div[^>]*(?:id=\"content\"|class=\"[^\"]*(?:article|story)-body[^\"]*\")[^>]*>(.*?)</div>"]
-    df = pages.select("page_id", clean.alias("c"))
-    root = F.coalesce(*(F.nullif(F.regexp_extract("c", r, 1), F.lit("")) for r in roots), F.col("c"))
-    df = df.select("page_id", root.alias("r"))
-    found = F.regexp_extract_all("r", F.lit(r"(?is)(<(?:h[123]|p)\b[^>]*>.*?)(?=</(?:h[123]|p)>)"), F.lit(1))
-    text = lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", ""))
-    lines = F.transform(F.filter(found, lambda x: F.length(text(x)) > least), lambda x: F.when(F.lower(F.substring(x, 1, 2)) == "<h", F.concat(F.lit("\n### "), text(x), F.lit("\n"))).otherwise(text(x)))
-    return df.select("page_id", F.substring(F.trim(F.regexp_replace(F.array_join(lines, "\n\n"), r"\A\s+|\s+\z", "")), 1, max_chars).alias("text"))
-
-
 def parse_tag_lines(responses: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, ord, tag): one tag a line, bullets, numbers and decoration off; lines with blanks inside are dropped."""
     rows = responses.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("ord", "line"))

@@ -17,6 +17,13 @@ VIEWS = {
         concat('---', chr(10), 'summary: ', chr(34), {_TITLE}, chr(34), chr(10), 'tags: [', source, '/', lang, '_notes, topic]', chr(10), 'author: A', doc_id % 7, chr(10), '---', chr(10),
                '# ', lang, chr(10), '```', chr(10), '# no heading', chr(10), '```', chr(10), '## ', source, chr(10), text, chr(10), '### Links', chr(10), '==mark ', doc_id % 5, '== and ==Mark ', doc_id % 5, '== <mark class=x>last <b>one</b></mark>', chr(10),
                '#topic/', lang, '_', doc_id % 3, ' #tipo/clase_', doc_id % 3, '/Categoría #general/pais see [site](http://www.example.com/', doc_id, '?q=1). http://ex', doc_id % 9, '.org/a, #', source, chr(10)) AS content FROM documents""",
+    # Pages with nested blocks, nested and unclosed noise, unclosed paragraphs, roots inside noise, and none at all.
+    "nested_pages": """SELECT page_id, concat('<!DOCTYPE html><html><head><title>A title that is long enough</title><p>lost in the head part</head><body><nav><div><p>Navigation paragraph text</p></div></nav>', CASE page_id % 5
+        WHEN 0 THEN concat('<div id="content"><div class="lead"><p>Lead paragraph number ', page_id, '</p></div><aside><aside><p>Inner aside paragraph text</p></aside><p>Outer aside paragraph text</p></aside><p>Outer paragraph behind the inner block</p></div><p>Behind the content element</p>')
+        WHEN 1 THEN concat('<main><h2>Heading of page ', page_id, ' <b>with bold</b></h2><div class="x comments y"><p>A comment that is long enough</p></div><p>Unclosed paragraph one<p>Unclosed paragraph two<script>if (a < b) "</p><p>Script text paragraph"</script><ul><li><p>too short</p></ul></main>')
+        WHEN 2 THEN concat('<footer><article><p>Article inside of a footer</p></article></footer><article><article><p>First article, inner story ', page_id, '</article><p>First article, after the inner one</p></article><article><p>Second article is not taken</p></article>')
+        WHEN 3 THEN concat('<div class="story-body"><p>Story body paragraph text</p></div><MAIN data-x="a>b"><!-- <p>comment paragraph text</p> --><p>Main part says A &amp; B &lt; ', page_id, '</p></MAIN>')
+        ELSE concat('</div></p><header><p>Header paragraph text</header><p>No root here, paragraph ', page_id, '</span>') END, '</body></html>') AS html FROM pages""",
     "vectors": """SELECT vec_id AS entry_id, CAST(floor(vec_id / 5) AS BIGINT) AS note, vec_id % 5 AS ord, label, embedding AS raw FROM embeddings""",
     "queries": """SELECT vec_id AS query_id, concat('Tell me about the ', source, ' and ', lang, ' ', substr(text, 1, 40), ' ', chr(34), lang, '/', chr(34), '?') AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0""",
     "messages": """SELECT conv_id, turn, role, text AS content, CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN concat('thought ', turn, chr(10), 'more') END AS reasoning, CAST(NULL AS VARCHAR(9)) AS context FROM conversations""",

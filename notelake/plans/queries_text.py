@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import dates, text, vectors
 from notelake.functions.embed import embed, hashed_words
-from notelake.operators import aggregates, extract, predicates, tags
+from notelake.operators import aggregates, dom, extract, predicates, tags
 from notelake.plans.base import entries, query, scratch, view
 from notelake.sources import conversations, index, notes
 
@@ -249,13 +249,28 @@ def c9(spark, d):
     return out.withColumns({c: strip(F.col(c)) for c in ("claim", "verdict", "source", "note")})
 
 
+# A paragraph ends at the next block's start and at the article's end, so an end tag is put in front of each; the given articles hold no other nesting.
+_MAIN_TEXT = r"""substr(trim(array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(regexp_replace(concat(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '</p>'), '(?i)<(p|h[1-6]|div|ul|ol|table)\b', '</p><\1', 'g'), '(?is)(<(?:h[123]|p)\b[^>]*>.*?)</(?:h[123]|p)>', 1),
+      lambda x: {'h': lower(x[1:2]) = '<h', 't': trim(regexp_replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&quot;', chr(34)), '&amp;?', '&', 'g'), concat(' ', chr(10), chr(9), chr(13)))}), lambda x: len(x.t) > 15), lambda x: CASE WHEN x.h THEN concat(chr(10), '### ', x.t, chr(10)) ELSE x.t END), concat(chr(10), chr(10))), concat(' ', chr(10))), 1, 8000)"""
+
+
+@query("c10_main_text", f"SELECT page_id, {_MAIN_TEXT} AS text FROM pages")
+def c10(spark, d):
+    return dom.main_text(view(spark, d, "pages"))
+
+
 @query(
-    "c10_main_text",
-    r"""SELECT page_id, substr(trim(array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '(?is)(<(?:h[123]|p)\b[^>]*>.*?)</(?:h[123]|p)>', 1),
-      lambda x: {'h': lower(x[1:2]) = '<h', 't': trim(regexp_replace(x, '<[^>]+>', '', 'g'))}), lambda x: len(x.t) > 15), lambda x: CASE WHEN x.h THEN concat(chr(10), '### ', x.t, chr(10)) ELSE x.t END), concat(chr(10), chr(10))), concat(' ', chr(10))), 1, 8000) AS text FROM pages""",
+    "c10_main_text_nested",
+    """SELECT page_id, CASE page_id % 5
+        WHEN 0 THEN concat('Lead paragraph number ', page_id, chr(10), chr(10), 'Outer paragraph behind the inner block')
+        WHEN 1 THEN concat('### Heading of page ', page_id, ' with bold', chr(10), chr(10), chr(10), 'Unclosed paragraph one', chr(10), chr(10), 'Unclosed paragraph two')
+        WHEN 2 THEN concat('First article, inner story ', page_id, chr(10), chr(10), 'First article, after the inner one')
+        WHEN 3 THEN concat('Main part says A & B < ', page_id)
+        ELSE concat('No root here, paragraph ', page_id) END AS text FROM nested_pages""",
+    "nested_pages",
 )
-def c10(spark, d):
-    return extract.main_text(view(spark, d, "pages"))
+def c10_nested(spark, d):
+    return dom.main_text(view(spark, d, "nested_pages"))
 
 
 @query("c11_parse_tag_lines", "SELECT id, CAST(0 AS INT) AS ord, regexp_extract(text, '#([a-z0-9]+)', 1) AS tag FROM answers UNION ALL SELECT id, 1, regexp_extract(text, '[*]([a-z]+)[*]', 1) FROM answers UNION ALL SELECT id, 4, regexp_extract(text, '\\[([a-z]+_[0-9])\\]', 1) FROM answers", "answers")
