@@ -30,6 +30,9 @@ VIEWS = {
     "tool_messages": """SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 4 = 2 THEN 'tool_result' ELSE role END AS role, text AS content FROM conversations""",
     "run_messages": """SELECT conv_id, turn, CASE WHEN role = 'system' OR turn % 5 = 3 THEN 'user' ELSE role END AS role, text AS content FROM conversations""",
     "changes": """SELECT event_id, ts, concat(user_id, '.md') AS path, concat('old-', user_id, '.md') AS old_path, CASE event_type WHEN 'click' THEN 'modify' WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'rename' ELSE 'open' END AS type FROM events""",
+    # A user stays near a note for some events, in a block of neighbouring events; errors stand for views while paused.
+    "live_views": """SELECT event_id, viewer, ts, concat(source, '/', lang, '/', doc_id, '.md') AS path, paused FROM
+        (SELECT event_id, user_id AS viewer, ts, event_type = 'error' AS paused, (user_id * 17 + CAST(floor(event_id / 300) AS BIGINT)) % total AS doc FROM events CROSS JOIN (SELECT count(*) AS total FROM documents) AS c) AS e JOIN documents ON doc_id = doc""",
     "log": """SELECT event_id, ts, concat('user ', user_id) AS source, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END AS type, props AS message FROM events""",
     "tags": """SELECT concat(replace(lower(p_brand), '#', ''), '/', replace(p_name, ' ', '_')) AS tag, min(p_partkey) AS ord FROM part GROUP BY 1""",
     "lang_tags": """SELECT tag, min(ord) AS ord FROM (SELECT concat(source, '/', lang) AS tag, doc_id AS ord FROM documents UNION ALL SELECT concat('words/', lower(regexp_replace(substr(text, 1, 12), '[^a-zA-Z]+', '_', 'g'))), doc_id FROM documents) AS x GROUP BY tag""",

@@ -11,8 +11,8 @@ from notelake.functions.text import STOP_WORDS
 from notelake.operators import aggregates, conversations, joins, ranking
 from notelake.plans import context, index_build, search
 from notelake.plans.base import COS, entries, query, scratch, view, vqueries
-from notelake.sources.index import load_index, write_index
-from notelake.streaming import changes
+from notelake.sources.index import load_buckets, load_index, write_buckets, write_index
+from notelake.streaming import changes, live
 
 FOLD = "regexp_replace(strip_accents(lower({})), '[̀-ͯ]', '', 'g')"
 _COS1, _COS2 = COS.format(a="q.v1", b="e.embedding"), COS.format(a="q.v2", b="e.embedding")
@@ -32,11 +32,14 @@ def d2(spark, d):
     return joins.score(vqueries(spark, d), entries(spark, d)).withColumn("score", F.round("score", 9))
 
 
+_RELATED = f"""rep AS (SELECT path, embedding FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN entry_type = 'summary' THEN 0 WHEN entry_type = 'highlights' THEN 1 WHEN chunk_start = 0 AND chunk_end = 0 THEN 2 ELSE 3 END, entry_id) AS k FROM entries) WHERE k = 1),
+    met AS (SELECT q.path, e.path AS related, max({COS.format(a="q.embedding", b="e.embedding")}) AS score FROM rep q JOIN entries e ON q.path <> e.path GROUP BY ALL HAVING max({COS.format(a="q.embedding", b="e.embedding")}) >= 0.25),
+    pair AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, related) AS INT) AS rank FROM met)"""
+
+
 @query(
     "d3_related_notes",
-    f"""SELECT * FROM (WITH rep AS (SELECT path, embedding FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN entry_type = 'summary' THEN 0 WHEN entry_type = 'highlights' THEN 1 WHEN chunk_start = 0 AND chunk_end = 0 THEN 2 ELSE 3 END, entry_id) AS k FROM entries) WHERE k = 1),
-    pair AS (SELECT q.path, e.path AS related, max({COS.format(a="q.embedding", b="e.embedding")}) AS score FROM rep q JOIN entries e ON q.path <> e.path GROUP BY ALL HAVING max({COS.format(a="q.embedding", b="e.embedding")}) >= 0.25)
-    SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, related) AS INT) AS rank, related, CAST(floor(score * 100 + 0.5) AS INT) AS percent, round(score, 9) AS score FROM pair QUALIFY rank <= 15)""",
+    f"SELECT * FROM (WITH {_RELATED} SELECT path, rank, related, CAST(floor(score * 100 + 0.5) AS INT) AS percent, round(score, 9) AS score FROM pair WHERE rank <= 15)",
     "entries",
 )
 def d3(spark, d):
@@ -363,12 +366,12 @@ _CHANGED = """SELECT path, mtime, mtime % 4 AS what, CASE mtime % 4 WHEN 2 THEN
 def j4(spark, d):
     path, embedder = scratch(spark), hashed_words(8)
     now = view(spark, d, "notes").withColumns({"what": F.col("mtime") % 4, "mtime": F.when(F.col("mtime") % 4 == 1, 11).otherwise(10).cast("long")})
-    write_index(index_build.build_index(now.withColumn("mtime", F.lit(10).cast("long")).drop("what"), None, "nomic", embedder), f"{path}/index")
+    write_buckets(index_build.build_index(now.withColumn("mtime", F.lit(10).cast("long")).drop("what"), None, "nomic", embedder), f"{path}/index", by=("model",))
     rows = now.filter("what < 3").select("path", F.when(F.col("what") == 2, "drop").otherwise("index").alias("action"), F.timestamp_seconds("mtime").alias("ts"))
     rows.repartition(8, "path").write.parquet(f"{path}/changes")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(f"{path}/changes")
     changes.incremental_index(stream, lambda: now.drop("what"), f"{path}/index", "nomic", embedder, f"{path}/state", exclude="*/de/*").awaitTermination()
-    made = load_index(spark, f"{path}/index", "nomic")
+    made = load_buckets(spark, f"{path}/index").filter("model = 'nomic'")
     return made.groupBy("path").agg(F.max("mtime").alias("mtime"), F.max("chunk_end").alias("last_end"), F.bool_and(F.size("embedding") == 8).alias("vectors"))
 
 
@@ -387,18 +390,38 @@ def j5_stream(spark, d):
     return _drain(changes.late_guard_stream(spark.readStream.schema(rows.schema).parquet(path)), store=True)
 
 
-@query("j6_settled", "SELECT user_id AS \"user\", event_id FROM (SELECT *, lag(event_id % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM (SELECT user_id, event_id, ts + event_id * INTERVAL 1 MICROSECOND AS ts FROM events)) WHERE b IS NULL OR b <> event_id % 7")
+_SETTLED = """moved AS (SELECT * FROM (SELECT *, lag(path) OVER (PARTITION BY viewer ORDER BY ts, event_id) AS here FROM live_views WHERE NOT paused) WHERE here IS NULL OR here <> path),
+    settled AS (SELECT viewer, ts, path FROM (SELECT *, lead(ts) OVER (PARTITION BY viewer ORDER BY ts, event_id) AS nxt FROM moved) WHERE nxt IS NULL OR nxt - ts >= INTERVAL 3 HOUR)"""
+
+
+def _views(spark, d):
+    return view(spark, d, "live_views").select(F.col("viewer").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("event"), "path", "paused")
+
+
+@query("j6_settled", f"SELECT * FROM (WITH {_SETTLED} SELECT viewer AS \"user\", ts, path FROM settled)", "live_views")
 def j6_settled(spark, d):
-    e = view(spark, d, "events").select(F.col("user_id").alias("user"), "event_id", (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)") / 1000000)).alias("ts"), (F.col("event_id") % 7).alias("path"))
-    return changes.settled(e).select("user", "event_id")
+    return live.settled_views(_views(spark, d), "3 hours")
+
+
+@query("j6_settled_stream", f"SELECT * FROM (WITH {_SETTLED} SELECT viewer AS \"user\", ts, path FROM settled)", "live_views")
+def j6_stream(spark, d):
+    """Views come in files that overlap in time; a last view, a year later, of a user that isn't there ends all gaps."""
+    path, rows = scratch(spark), _views(spark, d)
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 1 YEAR")).alias("ts")).select(F.lit(-1).cast("long").alias("user"), "ts", F.lit(-1).cast("long").alias("event"), F.lit("end").alias("path"), F.lit(False).alias("paused"))
+    day = F.expr("INTERVAL 1 DAY")
+    shuffled = rows.union(end).withColumn("arrives", F.col("ts") + F.when(F.col("event") % 3 == 0, day).otherwise(day * 0))
+    shuffled.repartitionByRange(6, "arrives").drop("arrives").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return _drain(live.settled_views(stream, "3 hours", "2 days"), store=True).filter("user >= 0")
 
 
-@query("j6_live_related")
+@query(
+    "j6_live_related",
+    f"SELECT * FROM (WITH {_SETTLED}, {_RELATED} SELECT viewer AS \"user\", s.ts, path, rank, related FROM settled s JOIN pair USING (path) WHERE rank <= 15)",
+    "live_views", "entries",
+)
 def j6(spark, d):
-    related = search.related_notes(entries(spark, d), 0.25).select("path", "rank", "related")
-    docs = view(spark, d, "plain_notes").select("path", F.col("mtime").alias("doc"))
-    views = view(spark, d, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 100).alias("doc")).join(docs, "doc")
-    return changes.live_related(views, related, "1 hour")
+    return live.live_related(_views(spark, d), search.related_notes(entries(spark, d), 0.25).select("path", "rank", "related"), "3 hours")
 
 
 @query("j7_debounced_history", "SELECT user_id AS id, max(ts) AS ts, arg_max(event_id, ts) AS state FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, s")
@@ -412,11 +435,11 @@ def j7_save(spark, d):
     rows = view(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("state"))
     # A last, later change of a user that isn't there lets all sessions end.
     end = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("id"), "ts", F.lit(-1).cast("long").alias("state"))
-    write_index(rows.filter("id % 2 = 0").select("id", F.lit(0).cast("long").alias("state"), F.col("id").alias("pos")).distinct().withColumn("model", F.lit("history")), f"{path}/stored")
+    write_buckets(rows.filter("id % 2 = 0").select("id", F.lit(0).cast("long").alias("state"), F.col("id").alias("pos")).distinct(), f"{path}/stored", "id", 16)
     rows.union(end).repartitionByRange(8, "ts").write.parquet(f"{path}/states")
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/states")
     changes.save_history(stream, f"{path}/stored", f"{path}/state", "1 hour", "1 day").awaitTermination()
-    return load_index(spark, f"{path}/stored").filter("id >= 0").select("id", "state", "pos")
+    return load_buckets(spark, f"{path}/stored").filter("id >= 0").select("id", "state", "pos")
 
 
 @query("j8_rolling_context_stream", "SELECT conv_id, now AS turn, path, CAST(row_number() OVER (PARTITION BY conv_id, now ORDER BY t DESC, s DESC, path) AS INT) AS rank FROM (SELECT p.conv_id, x.now, p.path, max(p.turn) AS t, arg_max(p.score, p.turn * 1000 + p.score) AS s FROM passages p JOIN (SELECT DISTINCT conv_id, turn AS now FROM passages) x ON x.conv_id = p.conv_id AND p.turn <= x.now GROUP BY ALL) QUALIFY rank <= 5", "passages")

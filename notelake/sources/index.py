@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.vectors import quantize
@@ -30,6 +30,55 @@ def load_index(spark: SparkSession, path: str, model: str | None = None) -> Data
     return df.filter(F.col("model") == model) if model is not None else df
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_buckets(rows: DataFrame, path: str, key: str = "path", buckets: int = 64, by: tuple[str, ...] = ()) -> None:
+    """Writes rows as Parquet partitioned by the columns `by` and by a bucket of the key, so that later changes rewrite the buckets they touch only.
+
+    Every bucket is there, also without rows: it holds a row whose columns are null, which load_buckets() leaves out. Choose the number of buckets by the
+    table's size; a bucket is what one change makes Spark read and write.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumns({"bucket": _bucket(key, buckets), "_row": F.lit(True)})
+    marks = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(False).alias("_row"))
+    if by:
+        marks = marks.join(F.broadcast(rows.select(*by).distinct()))
+    _arranged(rows.unionByName(marks, allowMissingColumns=True), by).mode("overwrite").parquet(path)
+
+
+def _arranged(rows: DataFrame, by: tuple[str, ...]):
+    return rows.repartition(*by, "bucket").write.partitionBy(*by, "bucket")
+
+
+def load_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a bucketed table, with their bucket."""
+    return spark.read.parquet(path).filter("_row").drop("_row")
+
+
+def index_buckets(spark: SparkSession, path: str) -> int:
+    """Into how many buckets a table was written."""
+    return spark.read.parquet(path).filter("not _row").agg(F.max("bucket")).first()[0] + 1
+
+
+def bucket_numbers(changes: DataFrame, key: str, buckets: int) -> list[int]:
+    """The buckets that changes touch; at most `buckets` numbers."""
+    return [r[0] for r in changes.select(_bucket(key, buckets).alias("b")).distinct().collect()]
+
+
+def save_buckets(rows: DataFrame, path: str, touched: list[int], by: dict[str, str] | None = None, key: str | None = None) -> None:
+    """Replaces the touched buckets (under the partition `by`) by rows; other buckets keep their files. All rows must belong to touched buckets."""
+    spark, by = rows.sparkSession, by or {}
+    if not touched:
+        return
+    buckets = index_buckets(spark, path)
+    key = key or ("path" if "path" in rows.columns else "id")
+    rows = rows.withColumns({"bucket": _bucket(key, buckets), "_row": F.lit(True)})
+    marks = spark.createDataFrame([(b,) for b in touched], "bucket int").select("bucket", F.lit(False).alias("_row"), *(F.lit(v).alias(c) for c, v in by.items()))
+    _arranged(rows.unionByName(marks, allowMissingColumns=True), tuple(by)).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def write_keyed_index(df: DataFrame, path: str, model: str) -> str:
     """Tag or manual index: rows stamped with the model that embedded them."""
     return write_index(df.withColumn("model", F.lit(model)), path)

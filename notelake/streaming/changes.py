@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from notelake.functions.embed import Embedder
 from notelake.operators.ranking import upsert_latest
 from notelake.plans.index_build import refresh
-from notelake.sources.index import load_index, write_index
+from notelake.sources.index import bucket_numbers, index_buckets, load_buckets, save_buckets
 
 
 def _watermarked(df: DataFrame, late: str, ts: str = "ts") -> DataFrame:
@@ -105,23 +105,6 @@ def late_guard(changes: DataFrame, stored: DataFrame) -> DataFrame:
     return changes.join(stored.select("path", F.col("mtime").alias("_m")), "path", "left").filter(F.col("_m").isNull() | (F.col("ts") > F.col("_m"))).drop("_m")
 
 
-def live_related(views: DataFrame, related: DataFrame, gap: str = "400 milliseconds", late: str = "1 minute") -> DataFrame:
-    """(user, ts, path, rank, related): related notes of the note a user settled on, joined with the static related table.
-
-    Views while a user has paused (paused true, if there is such a column) have no effect.
-    """
-    live = views.filter(~F.coalesce("paused", F.lit(False))) if "paused" in views.columns else views
-    rows = _watermarked(live, late)
-    last = rows.groupBy("user", F.session_window("ts", gap).alias("w")).agg(F.max_by("path", "ts").alias("path"), F.max("ts").alias("ts"))
-    return last.select("user", "ts", "path").join(related, "path")
-
-
-def settled(views: DataFrame) -> DataFrame:
-    """views (user, ts, path) of a batch without those of the note that the user was on already."""
-    before = F.lag("path").over(W.partitionBy("user").orderBy("ts"))
-    return views.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col("path"))).drop("_b")
-
-
 def debounced_history(states: DataFrame, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
     """(id, ts, state): the last state of each conversation within the gap."""
     rows = _watermarked(states, late)
@@ -130,14 +113,20 @@ def debounced_history(states: DataFrame, gap: str = "2 seconds", late: str = "10
 
 
 def incremental_index(changes: DataFrame, notes: Callable[[], DataFrame], index_path: str, model: str, embedder: Embedder, checkpoint: str, include: str = "", exclude: str = ""):
-    """Starts a query that refreshes a built index with each batch of changes (path, action, ts) and saves it once a batch.
+    """Starts a query that refreshes a built index (of write_buckets) with each batch of changes (path, action, ts) and saves it once a batch.
 
-    notes gives the notes as they are now; without a built index of the model the query fails.
+    notes gives the notes as they are now. A batch reads and writes only the buckets of its changes' paths; a batch that runs again after a failure makes
+    the same rows. Without a built index of the model the query fails.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        old = load_index(df.sparkSession, index_path, model)
-        write_index(refresh(notes(), old, df, model, embedder, include, exclude), index_path)
+        spark = df.sparkSession
+        index = load_buckets(spark, index_path)
+        touched = bucket_numbers(df, "path", index_buckets(spark, index_path))
+        old = index.filter((F.col("model") == model) & F.col("bucket").isin(touched))
+        if not index.filter(F.col("model") == model).limit(1).count():
+            raise ValueError(f"no index of {model} at {index_path}")
+        save_buckets(refresh(notes(), old.drop("bucket"), df, model, embedder, include, exclude).withColumn("model", F.lit(model)), index_path, touched, {"model": model})
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -168,13 +157,16 @@ class _Newest(StatefulProcessor):
 
 
 def save_history(states: DataFrame, stored: str, checkpoint: str, gap: str = "2 seconds", late: str = "10 minutes"):
-    """Starts a query that writes the last states (id, ts, state) within the gap over those stored (id, state, pos), once a batch."""
+    """Starts a query that writes the last states (id, ts, state) within the gap over those stored (id, state, pos; of write_buckets), once a batch.
+
+    A batch reads and writes only the buckets of its ids; one that runs again after a failure makes the same rows.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        before = load_index(spark, stored).drop("model")
-        none = df.select("id").limit(0)
-        write_index(upsert_latest(before, df.select("id", "state", "ts"), none).withColumn("model", F.lit("history")), stored)
+        touched = bucket_numbers(df, "id", index_buckets(spark, stored))
+        before = load_buckets(spark, stored).filter(F.col("bucket").isin(touched)).drop("bucket")
+        save_buckets(upsert_latest(before, df.select("id", "state", "ts"), df.select("id").limit(0)), stored, touched)
 
     return debounced_history(states, gap, late).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
