@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from notelake.functions.text import STOP_WORDS, fold
-from notelake.operators.blocks import cosines, in_blocks
+from notelake.operators.blocks import cosines, in_blocks, near_block_pairs
 
 #: A side is broadcast if it was counted to have at most so many rows.
 BROADCAST_ROWS = 20_000
@@ -45,8 +45,8 @@ def score(queries: DataFrame, entries: DataFrame) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int = 2048) -> DataFrame:
     """(l, r, score) with cosine >= least between two tables (id, vec), exact.
 
-    Rows are dealt into blocks of about `block`; each pair of blocks is one matrix product in a task, and only pairs over
-    the bound come out. A task holds two blocks, whatever the tables' sizes.
+    Rows are dealt into blocks of about `block` that lie near each other; pairs of blocks that are too far apart for the bound are left out, each other
+    pair is one matrix product in a task, and only pairs over the bound come out. A task holds two blocks, whatever the tables' sizes.
     """
     kind = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
 
@@ -55,7 +55,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int =
         i, j = np.nonzero(s >= least)
         return pa.RecordBatch.from_arrays([l.field("id").take(pa.array(i)), r.field("id").take(pa.array(j)), pa.array(s[i, j])], names=["l", "r", "score"])
 
-    return in_blocks(left.select("id", "vec"), right.select("id", "vec"), run, f"l {kind[0]}, r {kind[1]}, score double", block)
+    pairs, _, _ = near_block_pairs(left.select("id", "vec"), right.select("id", "vec"), least, block)
+    return in_blocks(left, right, run, f"l {kind[0]}, r {kind[1]}, score double", pairs=pairs)
 
 
 def purge_orphans(entries: DataFrame, notes: DataFrame) -> DataFrame:
@@ -98,11 +99,36 @@ def asof_heading(chunks: DataFrame, stack: DataFrame) -> DataFrame:
 FIELDS = ("path", "summary_text", "tags_text", "highlights_text", "heading_path")
 
 
-def term_hits(entries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, entry_id, field): query terms found in the folded metadata of entries; terms are few."""
-    folded = entries.select("entry_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), fold(F.coalesce(F.col(f), F.lit(""))).alias("v")) for f in FIELDS))).alias("x"))
-    t = small(terms.select("term").distinct())
-    return folded.join(t, F.col("x.v").contains(F.col("term"))).select("term", "entry_id", "x.field")
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """The distinct substrings of some lengths, cut from the array of characters."""
+    chars = F.split(text, "")
+
+    def of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
+
+
+def term_hits(entries: DataFrame, terms: DataFrame, q: int = 3) -> DataFrame:
+    """(term, entry_id, field): query terms found in the folded metadata of entries.
+
+    Each field is cut into its q-grams; a term probes the rarest of its own, and only fields that hold that gram are searched for the whole term. A term
+    of fewer than q characters probes itself. Null and empty terms hit nothing.
+    """
+    t = terms.select("term").distinct().filter("term <> ''").withColumn("_n", F.least(F.length("term"), F.lit(q)))
+    lengths = sorted(r[0] for r in t.select("_n").distinct().collect())
+    hits = entries.select("entry_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), fold(F.coalesce(F.col(f), F.lit(""))).alias("v")) for f in FIELDS))).alias("x"))
+    if not lengths:
+        return hits.select(F.lit(None).cast("string").alias("term"), "entry_id", "x.field").limit(0)
+    fields = hits.select("entry_id", "x.field", "x.v").filter("v <> ''")
+    probes = t.select("term", F.explode(F.when(F.col("_n") < q, F.array("term")).otherwise(_grams(F.col("term"), [q]))).alias("gram"))
+    postings = fields.select("entry_id", "field", "v", F.explode(_grams(F.col("v"), lengths)).alias("gram"))
+    wanted = small(probes.select("gram").distinct())
+    counts = postings.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A gram that no field has keeps its term from any hit.
+    rarest = probes.join(counts, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return postings.join(small(rarest), "gram").filter(F.col("v").contains(F.col("term"))).select("term", "entry_id", "field")
 
 
 def drop_stop_words(terms: DataFrame, col: str = "term") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from notelake.functions.embed import hashed_words
-from notelake.functions.text import STOP_WORDS
+from notelake.functions.text import STOP_WORDS, fold
 from notelake.operators import aggregates, conversations, joins, ranking
 from notelake.plans import context, index_build, search
 from notelake.plans.base import COS, entries, query, scratch, view, vqueries
@@ -133,15 +133,14 @@ _BONUS = lambda body: f"least((5 * {_NHIT(body)} + 15 * {_NHIT(body, 'quoted')})
 
 @query("e2_metadata_bonus", f"SELECT * FROM (WITH {_TERMSQ}, {_META} SELECT query_id, entry_id, round(mscore, 9) AS bonus FROM meta)", "vqueries", "entries")
 def e2(spark, d):
-    q = joins.small(search.query_terms(vqueries(spark, d)).select("query_id", "terms", "quoted"))
-    return aggregates.with_folded(entries(spark, d)).crossJoin(q).select("query_id", "entry_id", F.round(aggregates.metadata_bonus(F.col("terms"), F.col("quoted")), 9).alias("bonus"))
+    points = {f"f_{f}": p for f, p in aggregates.POINTS.items()}
+    return search.bonuses(search.query_terms(vqueries(spark, d)), aggregates.with_folded(entries(spark, d)), points, 0.25).withColumn("bonus", F.round("bonus", 9))
 
 
 @query("e3_content_bonus", f"SELECT * FROM (WITH {_TERMSQ}, {_SCAN} SELECT query_id, entry_id, round({_BONUS(FOLD.format('body'))}, 9) AS bonus FROM tq, scan)", "vqueries", "entries", "plain_notes")
 def e3(spark, d):
-    q = joins.small(search.query_terms(vqueries(spark, d)).select("query_id", "terms", "quoted"))
-    rows = search.scan_text(entries(spark, d).drop("embedding"), view(spark, d, "plain_notes")).crossJoin(q)
-    return rows.select("query_id", "entry_id", F.round(aggregates.content_bonus(F.col("scan"), F.col("terms"), F.col("quoted")), 9).alias("bonus"))
+    rows = search.scan_text(entries(spark, d).drop("embedding"), view(spark, d, "plain_notes")).withColumn("body", fold(F.col("scan")))
+    return search.bonuses(search.query_terms(vqueries(spark, d)), rows, {"body": 5}, 0.20).withColumn("bonus", F.round("bonus", 9))
 
 
 @query("e5_untranslated_terms", "SELECT CAST(floor((row_number() OVER (ORDER BY term) - 1) / 8) AS INT) AS batch, CAST((row_number() OVER (ORDER BY term) - 1) % 8 AS INT) AS idx, term FROM (SELECT DISTINCT concat(p_name, ' ', p_brand) AS term FROM part WHERE p_partkey % 4 <> 0 AND concat(p_name, ' ', p_brand) NOT IN (SELECT concat(p_name, ' ', p_brand) FROM part WHERE p_partkey % 4 = 0))")
@@ -192,7 +191,7 @@ def e11(spark, d):
 
 @query("f1_top_k_vectors", f"SELECT * FROM (WITH {SCORE} SELECT query_id, entry_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS INT) AS rank FROM scored QUALIFY rank <= 10)", "vqueries", "entries")
 def f1(spark, d):
-    return ranking.top_k(joins.score(vqueries(spark, d), entries(spark, d)), 10).withColumn("score", F.round("score", 9))
+    return search.nearest(vqueries(spark, d), entries(spark, d), 10).withColumn("score", F.round("score", 9))
 
 
 @query("f2_rank_list", "SELECT user_id AS query_id, event_id % 50 AS entry_id, min(r) AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id % 50) AS INT) AS r FROM events) GROUP BY ALL")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from notelake.functions.text import quoted_terms, search_terms
 from notelake.operators.aggregates import POINTS, QUOTED, content_bonus, with_folded
 from notelake.operators.blocks import best, cosines, holds_any, in_blocks, weights
-from notelake.operators.joins import hydrate, rrf, score, similar_pairs
+from notelake.operators.joins import hydrate, rrf, similar_pairs
 from notelake.operators.ranking import cap_per_note, fused_order, inject_siblings, representative, top_k
 
 
@@ -118,9 +118,36 @@ def search_vector(queries: DataFrame, entries: DataFrame, k: int = 20) -> DataFr
     return found.select("query_id", "rank", "entry_id", F.round("score", 9).alias("score"))
 
 
+def nearest(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(query_id, entry_id, score, rank): each query's k entries with the best cosines; a task gives out its two blocks' best only."""
+    left, right = queries.select("query_id", "v1", "v2"), entries.select("entry_id", "embedding")
+    kind = dict(left.dtypes)["query_id"], dict(right.dtypes)["entry_id"]
+
+    def run(l: pa.StructArray, r: pa.StructArray) -> pa.RecordBatch:
+        s, ids = np.maximum(cosines(l.field("v1"), r.field("embedding")), cosines(l.field("v2"), r.field("embedding"))), r.field("entry_id")
+        i, j = best(s, ids.to_numpy(zero_copy_only=False), k, np.ones(s.shape, bool))
+        return pa.RecordBatch.from_arrays([l.field("query_id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "entry_id", "score"])
+
+    return top_k(in_blocks(left, right, run, f"query_id {kind[0]}, entry_id {kind[1]}, score double"), k)
+
+
+def bonuses(queries: DataFrame, rows: DataFrame, points: dict[str, int], cap: float) -> DataFrame:
+    """(query_id, entry_id, bonus) of every query (query_id, terms, quoted) with every row (entry_id and the folded fields of `points`): points for terms in fields and QUOTED for quoted terms in any, in hundredths, up to cap."""
+    left, right = queries.select("query_id", "terms", "quoted"), rows.select("entry_id", *points)
+    kind = dict(left.dtypes)["query_id"], dict(right.dtypes)["entry_id"]
+
+    def run(l: pa.StructArray, r: pa.StructArray) -> pa.RecordBatch:
+        fields = [r.field(f).to_pylist() for f in points]
+        s = np.minimum((weights(l.field("terms").to_pylist(), fields, list(points.values())) + QUOTED * holds_any(l.field("quoted").to_pylist(), fields)) / 100.0, cap)
+        i, j = np.indices(s.shape).reshape(2, -1)
+        return pa.RecordBatch.from_arrays([l.field("query_id").take(pa.array(i)), r.field("entry_id").take(pa.array(j)), pa.array(s.ravel())], names=["query_id", "entry_id", "bonus"])
+
+    return in_blocks(left, right, run, f"query_id {kind[0]}, entry_id {kind[1]}, bonus double", 1024)
+
+
 def search_manuals(queries: DataFrame, chunks: DataFrame, k: int = 3, most: int = 2500) -> DataFrame:
     """(query_id, rank, entry_id, relevance, text): nearest manual chunks, relevance at two digits, texts cut."""
-    found = top_k(score(queries, chunks), k).join(chunks.select("entry_id", "content"), "entry_id")
+    found = nearest(queries, chunks, k).join(chunks.select("entry_id", "content"), "entry_id")
     return found.select("query_id", "rank", "entry_id", F.round("score", 2).alias("relevance"), F.substring("content", 1, most).alias("text"))
 
 

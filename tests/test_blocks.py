@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from notelake.functions.embed import hashed_words
 from notelake.functions.text import fold
 from notelake.functions.vectors import cosine
-from notelake.operators.blocks import best, cosines
-from notelake.operators.joins import score
+from notelake.operators.blocks import best, cosines, near_block_pairs, weights
+from notelake.operators.joins import FIELDS, score, similar_pairs, term_hits
 from notelake.operators.tags import rank_tags, scored_tags, semantic_tags, tag_match_score, text_tokens
 
 
@@ -49,3 +49,41 @@ def test_semantic_tags(spark):
     notes = spark.createDataFrame([("a.md", "green tea with red cups"), ("b.md", "trains old and new")], "path string, content string")
     first = {r.path: r.tag for r in semantic_tags(notes, tags, model, 2).filter("pos = 1").collect()}
     assert first == {"a.md": "green tea", "b.md": "old trains"}
+
+
+def test_near_block_pairs_lose_nothing(spark):
+    """Vectors in clusters: same pairs as all against all, with fewer than half of the block pairs looked at; odd vectors stay in."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((12, 16))
+    rows = [(i, (centres[i % 12] * 5 + rng.standard_normal(16)).tolist()) for i in range(960)]
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, rows[0][1][:8]), (1004, (-centres[0]).tolist())]
+    df = spark.createDataFrame(rows + odd, "id long, vec array<double>")
+    for least in (0.9, 0.5, 0.0, -0.5):
+        pairs, looked, every = near_block_pairs(df, df, least, 32)
+        held = pairs.select(F.size("l").alias("l"), F.size("r").alias("r")).collect()
+        assert every >= 900 and len(held) <= looked
+        if least == 0.9:
+            assert looked < every / 2, (looked, every)
+        got = {(r.l, r.r): r.score for r in similar_pairs(df, df, least, 32).collect()}
+        column = pa.array([v for _, v in rows + odd], pa.list_(pa.float64()))
+        s = cosines(column, column)
+        ids = [i for i, _ in rows + odd]
+        assert set(got) == {(ids[i], ids[j]) for i, j in zip(*np.nonzero(s >= least), strict=True)}
+    assert similar_pairs(df.limit(0), df, 0.5).count() == similar_pairs(df, df.limit(0), 0.5).count() == 0
+
+
+def test_term_hits_against_containment(spark):
+    rows = [(1, "a/Über Alles.md", "sum ab", "tag, x", None, "Head > Tail"), (2, "ab", None, "", "ababab abc", "日本語の文 😀x"), (3, None, None, None, None, None)]
+    entries = spark.createDataFrame(rows, "entry_id long, path string, summary_text string, tags_text string, highlights_text string, heading_path string")
+    terms = ["ab", "b", "uber", "abab", "abc", "head > tail", "日本", "語の文", "😀x", "x", "not there", "", None, "ab", "tagx"]
+    got = sorted((r.term, r.entry_id, r.field) for r in term_hits(entries, spark.createDataFrame([(t,) for t in terms], "term string")).collect())
+    folded = {(i, f): v for i, *vs in rows for f, v in zip(FIELDS, [(v or "").lower().replace("ü", "u") for v in vs], strict=True)}
+    assert got == sorted((t, i, f) for t in set(terms) if t for (i, f), v in folded.items() if t in v)
+    assert term_hits(entries, spark.createDataFrame([("",)], "term string")).count() == 0
+
+
+def test_weights_by_automaton():
+    terms, fields = [["a", "ab", "a", "zz"], [], ["", "b c"]], [["ab", "x", "", "b c"], ["aab", "zz", "a", "\0"]]
+    want = [[sum(p * (t in column[j]) for t in each for column, p in zip(fields, (5, 3), strict=True)) for j in range(4)] for each in terms]
+    assert weights(terms, fields, [5, 3]).tolist() == want
+    assert weights([[]], [["a"]], [1]).tolist() == [[0]] and weights([[""]], [["a", ""]], [2]).tolist() == [[2, 2]]
