@@ -376,6 +376,12 @@ def test_lm_against_a_sequential_sampler(spark):
     assert max(off) < 0.1 and sum(off) / len(off) < 0.03
 
 
+def test_lm_is_the_same_for_any_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = [sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scoring(docs, parts=parts, chunk=chunk).collect()) for parts, chunk in ((1, 12_000_000), (4, 100_000), (32, 50_000))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == docs.count()
+
+
 def test_lm_word_history(spark):
     texts = ["red green blue end"] * 30 + ["blue red", "green end"] * 5 + ["le rouge"]
     rows = [(i, t, "fr" if "le" in t else "en") for i, t in enumerate(texts)]
