@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,19 +43,26 @@ def _ordered_distinct_rows(df: DataFrame, id_cols: list[str], value: str, pos: s
     return first.withColumn("ord", F.row_number().over(W.partitionBy(*id_cols).orderBy("_p"))).drop("_p")
 
 
+_STOP = re.compile(r"[.!?](?=[ \n]|\Z)")
+_GAP = re.compile(r"[ \n]")
+
+
 def split_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
     """(start, end, trimmed text): pieces of about size characters that overlap.
 
-    A piece ends after the last sentence end in its second half, else at its last blank, else where it is full.
+    A piece ends after the last sentence end in its second half, else at its last blank, else where it is full. Sentence ends and blanks are found once a
+    text; each cut looks them up by bisection.
     """
     n, start = len(text), 0
+    stops, gaps = ([m.start() for m in rx.finditer(text)] if n > size else [] for rx in (_STOP, _GAP))
     while start < n:
         end = min(start + size, n)
         if end < n:
-            stop = next((i + 1 for i in range(end, start + size // 2 - 1, -1) if text[i] in ".!?" and (i + 1 >= n or text[i + 1] in " \n")), None)
-            if stop is None:
-                stop = next((i for i in range(end, start, -1) if text[i] in " \n"), None)
-            end = stop or end
+            i, j = bisect.bisect_right(stops, end) - 1, bisect.bisect_right(gaps, end) - 1
+            if i >= 0 and stops[i] >= start + size // 2:
+                end = stops[i] + 1
+            elif j >= 0 and gaps[j] > start:
+                end = gaps[j]
         if body := text[start:end].strip():
             yield start, end, body
         if end >= n:
@@ -190,12 +199,20 @@ def front_matter(notes: DataFrame) -> DataFrame:
 def highlights(notes: DataFrame, max_n: int = 24, max_chars: int = 2000) -> DataFrame:
     """(path, n, highlights): ==marks==, then <mark> texts, outside front matter and code, distinct by lower case, joined and cut."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?m)\A---[\s\S]*?---\s*", ""), FENCES, "\n"), r"`[^`\n]*`", " ")
-    df = notes.select("path", text.alias("t"))
-    marks = F.regexp_extract_all("t", F.lit(r"==([^=\n].*?[^=\n])=="), F.lit(1))
-    tags = F.transform(F.regexp_extract_all("t", F.lit(r"(?is)<mark\b[^>]*>(.*?)</mark>"), F.lit(1)), lambda x: F.regexp_replace(x, "<[^>]+>", ""))
-    found = F.filter(F.transform(F.concat(marks, tags), lambda x: F.trim(x)), lambda x: x != "")
-    df = df.select("path", found.alias("f")).select("path", _distinct_in_order(F.col("f"), F.lower).alias("f")).filter(F.size("f") > 0)
-    return df.select("path", F.least(F.size("f"), F.lit(max_n)).alias("n"), F.trim(F.substring(F.array_join(F.slice("f", 1, max_n), "\n"), 1, max_chars)).alias("highlights"))
+
+    def found(t: Column) -> Column:
+        marks = F.regexp_extract_all(t, F.lit(r"==([^=\n].*?[^=\n])=="), F.lit(1))
+        tags = F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<mark\b[^>]*>(.*?)</mark>"), F.lit(1)), lambda x: F.regexp_replace(x, "<[^>]+>", ""))
+        return F.filter(F.transform(F.concat(marks, tags), lambda x: F.trim(x)), lambda x: x != "")
+
+    def joined(f: Column) -> Column:
+        return F.struct(F.least(F.size(f), F.lit(max_n)).alias("n"), F.trim(F.substring(F.array_join(F.slice(f, 1, max_n), "\n"), 1, max_chars)).alias("highlights"))
+
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  value is worked out once, not at each use
+    marked = F.col("content").contains("==") | F.col("content").rlike("(?i)<mark")
+    row = F.when(marked, once(once(once(text, found), lambda f: _distinct_in_order(f, F.lower)), joined))
+    # An outer generator keeps the optimizer from working out the row once more to filter by it.
+    return notes.select("path", F.explode_outer(F.array(row)).alias("r")).filter("r.n > 0").select("path", "r.n", "r.highlights")
 
 
 def extract_links(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:

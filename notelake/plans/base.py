@@ -28,6 +28,9 @@ SQL_VIEWS = VIEWS | {
 #: A cosine of two int8 vectors in DuckDB.
 COS = "coalesce(list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / nullif(sqrt(list_inner_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_inner_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))), 0), 0)"
 
+#: letter_counts() of a text in DuckDB.
+LETTERS = "[" + ", ".join(f"(len({{0}}) - len(replace({{0}}, '{c}', ''))) / 64.0::DOUBLE" for c in "aeinorst") + "]"
+
 
 def query(name: str, sql: str | None = None, *views: str):
     """Registers a function of (spark, sf_dir); sql is DuckDB SQL over the named views."""

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from notelake.functions.embed import hashed_words
+from notelake.functions.embed import hashed_words, letter_counts
 from notelake.functions.text import STOP_WORDS, fold
 from notelake.operators import aggregates, conversations, joins, ranking
 from notelake.plans import context, index_build, search
-from notelake.plans.base import COS, entries, query, scratch, view, vqueries
+from notelake.plans.base import COS, LETTERS, entries, query, scratch, view, vqueries
+from notelake.plans.queries_text import CHUNKS, SCORE_TAGS
 from notelake.sources.index import load_buckets, load_index, write_buckets, write_index
 from notelake.streaming import changes, live
 
@@ -314,6 +315,20 @@ def _stream(spark, d, name: str, columns: list[str], n: int = 8):
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _closed(rows):
+    """Rows (ts, path, ..) and one a year later, at a path that no note has, which lets the watermark pass all others."""
+    last = rows.agg((F.max("ts") + F.expr("INTERVAL 1 YEAR")).alias("ts"))
+    return rows.unionByName(last.select("ts", F.lit("~end.md").alias("path")), allowMissingColumns=True)
+
+
+def _files(spark, rows, n: int = 6):
+    """Rows as a stream of files, two in a batch; a third of the rows come up to a day late."""
+    path = scratch(spark)
+    late = F.when(F.xxhash64("ts", "path") % 3 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    rows.withColumn("arrives", F.col("ts") + late).repartitionByRange(n, "arrives").drop("arrives").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
 def _drain(stream, mode: str = "append", store: bool = False):
     """Runs a stream over what is there and gives its output as a table; store: with the state store that keyed processors need."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession)
@@ -329,29 +344,50 @@ def _drain(stream, mode: str = "append", store: bool = False):
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query("j1_debounce", "SELECT path, max(ts) AS ts, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY path ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS c FROM changes WHERE type = 'modify')) GROUP BY path, s", "changes")
+DEBOUNCED = "SELECT path, max(ts) AS ts, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY path ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS c FROM changes WHERE type = 'modify')) GROUP BY path, s"
+
+
+@query("j1_debounce", DEBOUNCED, "changes")
 def j1(spark, d):
     return changes.debounce(view(spark, d, "changes").withColumn("ts", F.col("ts").cast("timestamp")).filter("type = 'modify'"), "1 hour")
 
 
-@query("j1_debounce_stream")
+@query("j1_debounce_stream", DEBOUNCED, "changes")
 def j1_stream(spark, d):
-    return _drain(changes.debounce(_stream(spark, d, "changes", ["path", "ts", "type"]).filter("type = 'modify'"), "1 hour", "1 day"))
+    rows = view(spark, d, "changes").filter("type = 'modify'").select("path", F.col("ts").cast("timestamp").alias("ts"))
+    return _drain(changes.debounce(_files(spark, _closed(rows)), "1 hour", "60 days")).filter("path <> '~end.md'")
 
 
 _ACTIONS = "act AS (SELECT path, CASE type WHEN 'create' THEN 'index' WHEN 'modify' THEN 'wait' WHEN 'delete' THEN 'drop' ELSE 'index' END AS action, ts FROM changes WHERE type <> 'open' UNION ALL SELECT old_path, 'drop', ts FROM changes WHERE type = 'rename')"
 
 
-@query("j2_route_changes", f"SELECT * FROM (WITH {_ACTIONS} SELECT path, CASE action WHEN 'wait' THEN 'index' ELSE action END AS action, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts) AS nxt FROM act) WHERE action <> 'wait' OR nxt IS NULL OR nxt - ts > INTERVAL 1 HOUR)", "changes")
+ROUTED = f"SELECT * FROM (WITH {_ACTIONS} SELECT path, CASE action WHEN 'wait' THEN 'index' ELSE action END AS action, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts) AS nxt FROM act) WHERE action <> 'wait' OR nxt IS NULL OR nxt - ts > INTERVAL 1 HOUR)"
+
+
+@query("j2_route_changes", ROUTED, "changes")
 def j2(spark, d):
     return changes.route_changes(view(spark, d, "changes").withColumn("ts", F.col("ts").cast("timestamp")), 3_600_000)
 
 
+@query("j2_route_changes_stream", ROUTED, "changes")
+def j2_stream(spark, d):
+    rows = view(spark, d, "changes").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "path", "old_path", "type")
+    rows = _closed(rows).withColumn("type", F.coalesce("type", F.lit("modify")))
+    return _drain(changes.route_changes(_files(spark, rows), 3_600_000, "2 days"), store=True).filter("path <> '~end.md'")
+
+
 @query("j3_queue_dedup", "SELECT path, min(ts) AS ts FROM changes GROUP BY path", "changes")
 def j3(spark, d):
     return changes.queue_dedup(view(spark, d, "changes").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+@query("j3_queue_dedup_stream", "SELECT DISTINCT path FROM changes", "changes")
+def j3_stream(spark, d):
+    """Of a path's changes within the watermark the first that comes is let through, whichever that is."""
+    rows = view(spark, d, "changes").select(F.col("ts").cast("timestamp").alias("ts"), "path")
+    return _drain(changes.queue_dedup(_files(spark, rows), "60 days")).select("path")
+
+
 #: Notes are older than their entries (modified in vain), newer, deleted, or untouched; German ones are excluded.
 _CHANGED = """SELECT path, mtime, mtime % 4 AS what, CASE mtime % 4 WHEN 2 THEN 'drop' ELSE 'index' END AS action FROM plain_notes"""
 
@@ -528,9 +564,24 @@ def q4v(spark, d):
     return search.search_vector(vqueries(spark, d), entries(spark, d))
 
 
-@query("q5_suggest_tags")
+_SPACE = "concat(' ', chr(9), chr(10), chr(13))"
+_BYTES8 = "list_transform({}, lambda x: CAST(floor(greatest(-1.0, least(1.0, x)) * 127 + 0.5) AS TINYINT))"
+_TAG_TEXT = "trim(regexp_replace(tag, '[/_]', ' ', 'g'), " + _SPACE + ")"
+
+
+@query(
+    "q5_suggest_tags",
+    f"""SELECT * FROM (WITH {SCORE_TAGS.replace('FROM plain_notes', "FROM (SELECT path, concat(basename, ' ', content) AS content FROM plain_notes)")},
+    kw AS (SELECT path, tag, row_number() OVER (PARTITION BY path ORDER BY score = 0, score DESC, CASE WHEN score > 0 THEN tag END, ord, tag) AS p FROM sc QUALIFY p <= 10),
+    nv AS (SELECT path, {LETTERS.format('t')} AS a FROM (SELECT path, trim(substr(content, 1, 1500), {_SPACE}) AS t FROM plain_notes)), tv AS (SELECT tag, {_BYTES8.format(LETTERS.format(_TAG_TEXT))} AS b FROM lang_tags),
+    sem AS (SELECT path, tag, row_number() OVER (PARTITION BY path ORDER BY {COS.format(a='a', b='b')} DESC, tag) + 10 AS p FROM nv, tv QUALIFY p <= 20),
+    each AS (SELECT path, tag, min(p) AS p FROM (SELECT * FROM kw UNION ALL SELECT * FROM sem) GROUP BY ALL)
+    SELECT path, tag, CAST(row_number() OVER (PARTITION BY path ORDER BY p) AS INT) AS pos FROM each)""",
+    "plain_notes", "lang_tags",
+)
 def q5(spark, d):
-    n, t, embedder = view(spark, d, "plain_notes"), view(spark, d, "lang_tags"), hashed_words(32)
+    n, t, embedder = view(spark, d, "plain_notes"), view(spark, d, "lang_tags"), letter_counts()
+    t = t.withColumn("ord", F.struct("ord", "tag"))
     tag_index = index_build.build_tag_index(t.select(F.col("tag").alias("tags")), embedder)
     return context.suggest_tags(n, t, tag_index, embedder)
 
@@ -547,15 +598,15 @@ def q7(spark, d):
     return search.search_manuals(vqueries(spark, d), chunks)
 
 
-@query("q8_build_tag_index")
+@query("q8_build_tag_index", f"SELECT tag, {_BYTES8.format(LETTERS.format(_TAG_TEXT))} AS embedding FROM (SELECT source AS tag FROM documents UNION SELECT concat(lang, '/', source) FROM documents)")
 def q8(spark, d):
-    n = view(spark, d, "documents").select(F.concat("source", F.lit(","), "lang").alias("tags"))
-    return index_build.build_tag_index(n, hashed_words(16))
+    n = view(spark, d, "documents").select(F.concat("source", F.lit(","), "lang", F.lit("/"), "source").alias("tags"))
+    return index_build.build_tag_index(n, letter_counts())
 
 
-@query("q8_build_manual_index")
+@query("q8_build_manual_index", f"SELECT path, content, {_BYTES8.format(LETTERS.format('content'))} AS embedding FROM (SELECT path, text AS content FROM ({CHUNKS.replace('s + 1000', 's + 600').replace('s + 1001', 's + 601').replace('s + 500', 's + 300').replace('s + 501, 502', 's + 301, 302').replace('s + 2, 1000', 's + 2, 600').replace('e - 150', 'e - 100')}))", "plain_notes")
 def q8m(spark, d):
-    return index_build.build_manual_index(view(spark, d, "plain_notes"), hashed_words(16))
+    return index_build.build_manual_index(view(spark, d, "plain_notes"), letter_counts())
 
 
 _PLACED = "SELECT conv_id, CAST(turn AS DOUBLE) AS pos, role, content FROM tool_messages WHERE role <> 'tool_result' UNION ALL SELECT t.conv_id, coalesce(min(m.l) - 0.5, min(m.e) + 0.5), 'user', string_agg(content, concat(chr(10), chr(10)) ORDER BY turn) FROM tool_messages t JOIN (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS l, max(turn) AS e FROM tool_messages GROUP BY 1) m ON m.conv_id = t.conv_id WHERE role = 'tool_result' GROUP BY t.conv_id"

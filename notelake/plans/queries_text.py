@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notelake.functions import dates, text, vectors
-from notelake.functions.embed import embed, hashed_words
+from notelake.functions.embed import embed, letter_counts
 from notelake.operators import aggregates, dom, extract, predicates, tags
-from notelake.plans.base import entries, query, scratch, view
+from notelake.plans.base import LETTERS, entries, query, scratch, view
 from notelake.sources import conversations, index, notes
 
 W = r"[\s]"
@@ -60,6 +60,16 @@ def a5(spark, d):
     return index.verify_shards(shards, "m")
 
 
+# Sets of three shards by order: whole, one missing, one twice, totals that differ, another model, no number, one too many.
+_SETS = """SELECT o_orderkey AS shard_set, CASE WHEN o_orderkey % 7 = 2 AND s = 2 THEN 1 WHEN o_orderkey % 7 = 5 AND s = 1 THEN NULL ELSE s END AS shard, CASE WHEN o_orderkey % 7 = 3 AND s = 1 THEN 4 ELSE 3 END AS total, CASE WHEN o_orderkey % 7 = 4 AND s = 0 THEN 'x' ELSE 'm' END AS model
+  FROM orders, (SELECT 0 AS s UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS n WHERE (s < 3 OR o_orderkey % 7 = 6) AND NOT (o_orderkey % 7 = 1 AND s = 1)"""
+
+
+@query("a5_verify_shard_sets", "SELECT o_orderkey AS shard_set, CAST(CASE o_orderkey % 7 WHEN 1 THEN 2 WHEN 6 THEN 4 ELSE 3 END AS BIGINT) AS shards, CASE WHEN o_orderkey % 7 = 3 THEN 4 ELSE 3 END AS total, o_orderkey % 7 = 0 AS ok FROM orders")
+def a5_sets(spark, d):
+    return index.verify_shards(spark.sql(_SETS.replace("FROM orders", "FROM {orders}"), orders=view(spark, d, "orders")), "m", keys=("shard_set",))
+
+
 @query("a6_tag_index", "SELECT tag, ord FROM tags", "tags")
 def a6(spark, d):
     path = scratch(spark)
@@ -177,7 +187,24 @@ def b10(spark, d):
 # --- extraction
 
 
-@query("c1_chunk")
+# A step for each chunk: the last sentence end in the second half, else the last blank, else full; ends count from the text's start.
+_CHUNKS = r"""SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS INT) AS ord, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", body AS text FROM (
+  WITH RECURSIVE c AS (
+    SELECT path, content, len(content) AS n, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM plain_notes WHERE len(content) > 0
+    UNION ALL
+    SELECT path, content, n, CASE WHEN e IS NULL THEN s ELSE greatest(s + 1, e - 150) END, CASE WHEN e IS NOT NULL THEN NULL WHEN s + 1000 >= n THEN n ELSE
+      coalesce(s + 500 + nullif(len(regexp_extract(substr(content, s + 501, 502), CASE WHEN s + 1001 >= n THEN '(?s)^(.*[.!?])(?:[ 
+]|$)' ELSE '(?s)^(.*[.!?])[ 
+]' END, 1)), 0), s + 1 + len(nullif(regexp_extract(substr(content, s + 2, 1000), '(?s)^(.*[ 
+])', 1), '')) - 1, s + 1000) END
+    FROM c WHERE e IS NULL OR e < n)
+  SELECT path, s, e, trim(substr(content, s + 1, e - s), {blank}) AS body FROM c WHERE e IS NOT NULL) WHERE body <> ''"""
+
+
+CHUNKS = _CHUNKS.format(blank="concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(31), chr(133), chr(160), chr(5760), chr(8192), chr(8193), chr(8194), chr(8195), chr(8196), chr(8197), chr(8198), chr(8199), chr(8200), chr(8201), chr(8202), chr(8232), chr(8233), chr(8239), chr(8287), chr(12288))")
+
+
+@query("c1_chunk", CHUNKS, "plain_notes")
 def c1(spark, d):
     return extract.chunk(view(spark, d, "plain_notes"))
 
@@ -328,13 +355,13 @@ def h1(spark, d):
     return tags.candidate_tags(n.select("path", tag(F.col("mtime") + F.col("pos")).alias("tag"), "pos"), n.select("path", tag(F.col("mtime") * F.col("pos")).alias("tag"), "pos"))
 
 
-_SCORE = f"""tok AS (SELECT path, {FOLD.format("content")} AS t, list_distinct(list_filter(string_split_regex(regexp_replace({FOLD.format("content")}, '[`~!@%^&*()=+\\[{{\\]}}\\\\|;:''",.<>/?]', ' ', 'g'), '\\s+'), lambda x: len(x) >= 3)) AS toks FROM plain_notes),
+SCORE_TAGS = f"""tok AS (SELECT path, {FOLD.format("content")} AS t, list_distinct(list_filter(string_split_regex(regexp_replace({FOLD.format("content")}, '[`~!@%^&*()=+\\[{{\\]}}\\\\|;:''",.<>/?]', ' ', 'g'), '\\s+'), lambda x: len(x) >= 3)) AS toks FROM plain_notes),
 tg AS (SELECT tag, ord, {FOLD.format("tag")} AS ftag, {FOLD.format("regexp_extract(tag, '([^/]*)$', 1)")} AS leaf FROM lang_tags),
 sc AS (SELECT path, tag, ord, CAST(CASE WHEN list_contains(toks, leaf) THEN 8 ELSE 0 END + CASE WHEN contains(t, ftag) THEN 6 ELSE 0 END + CASE WHEN contains(t, replace(leaf, '_', ' ')) THEN 3 ELSE 0 END
   + CASE WHEN len(list_filter(string_split(replace(leaf, '_', ' '), ' '), lambda x: len(x) >= 3)) > 0 AND len(list_filter(string_split(replace(leaf, '_', ' '), ' '), lambda x: len(x) >= 3 AND NOT list_contains(toks, x))) = 0 THEN 6 ELSE 0 END AS INT) AS score FROM tok, tg)"""
 
 
-@query("h2_rank_tags", f"SELECT * FROM (WITH {_SCORE} SELECT path, tag, score, CAST(row_number() OVER (PARTITION BY path ORDER BY score = 0, score DESC, CASE WHEN score > 0 THEN tag END, ord, tag) AS INT) AS pos FROM sc QUALIFY pos <= 10)", "plain_notes", "lang_tags")
+@query("h2_rank_tags", f"SELECT * FROM (WITH {SCORE_TAGS} SELECT path, tag, score, CAST(row_number() OVER (PARTITION BY path ORDER BY score = 0, score DESC, CASE WHEN score > 0 THEN tag END, ord, tag) AS INT) AS pos FROM sc QUALIFY pos <= 10)", "plain_notes", "lang_tags")
 def h2(spark, d):
     t = view(spark, d, "lang_tags")
     t = t.withColumn("ord", F.struct("ord", "tag"))
@@ -419,7 +446,7 @@ def i10(spark, d):
     return view(spark, d, "documents").select("doc_id", text.chunk_hash(F.col("text")).alias("hash"))
 
 
-@query("i11_tag_match_score", f"SELECT * FROM (WITH {_SCORE} SELECT path, sum(score) AS score FROM sc GROUP BY path)", "plain_notes", "lang_tags")
+@query("i11_tag_match_score", f"SELECT * FROM (WITH {SCORE_TAGS} SELECT path, sum(score) AS score FROM sc GROUP BY path)", "plain_notes", "lang_tags")
 def i11(spark, d):
     n = view(spark, d, "plain_notes")
     sums = tags.scored_tags(n, view(spark, d, "lang_tags")).groupBy("path").agg(F.sum("score").alias("score"))
@@ -488,9 +515,9 @@ def i20(spark, d):
     return dates.at_timezone(e, "ts", "place").select("event_id", "local_time", "local_date")
 
 
-@query("k1_embed")
+@query("k1_embed", f"SELECT doc_id, {LETTERS.format('text')} AS embedding, regexp_matches(text, '[^\\s]') AND NOT regexp_matches(text, '[aeinorst]') AS failed FROM documents")
 def k1(spark, d):
-    return embed(view(spark, d, "documents").select("doc_id", "text"), "text", hashed_words(16)).select("doc_id", "embedding", "failed")
+    return embed(view(spark, d, "documents").select("doc_id", "text"), "text", letter_counts()).select("doc_id", "embedding", "failed")
 
 
 @query("e4_distinct_tags", "SELECT DISTINCT tag FROM (SELECT unnest([source, concat(lang, '/', source)]) AS tag FROM documents)")

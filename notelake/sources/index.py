@@ -109,11 +109,12 @@ def shard_entries(shards: DataFrame) -> DataFrame:
     return rows.withColumn("entryType", kind).withColumn("embedding", _bytes(F.col("embedding")))
 
 
-def verify_shards(shards: DataFrame, model: str, most: int = 10_000) -> DataFrame:
-    """One row: shards, total, ok. Shards (shard, total, model) must be numbered 0 to total - 1 once each, agree on total and model."""
-    s = shards.agg(F.count(F.lit(1)).alias("shards"), F.count_distinct("shard").alias("d"), F.min("shard").alias("lo"), F.max("shard").alias("hi"), F.min("total").alias("t0"), F.max("total").alias("total"), F.min("model").alias("m0"), F.max("model").alias("m1"))
-    ok = (F.col("shards") == F.col("total")) & (F.col("d") == F.col("total")) & (F.col("lo") == 0) & (F.col("hi") == F.col("total") - 1) & (F.col("t0") == F.col("total")) & F.col("total").between(1, most) & (F.col("m0") == model) & (F.col("m1") == model)
-    return s.select("shards", "total", F.coalesce(ok, F.lit(False)).alias("ok"))
+def verify_shards(shards: DataFrame, model: str, most: int = 10_000, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each set named by keys): shards, total, ok. A set's shards (shard, total, model) must be numbered 0 to total - 1 once each, agree on total and model; no shards, and nulls, are not ok."""
+    some = lambda c: F.count(c) == F.count(F.lit(1))
+    s = shards.groupBy(*keys).agg(F.count(F.lit(1)).alias("shards"), F.count_distinct("shard").alias("d"), F.min("shard").alias("lo"), F.max("shard").alias("hi"), F.min("total").alias("t0"), F.max("total").alias("total"), F.min("model").alias("m0"), F.max("model").alias("m1"), (some("shard") & some("total") & some("model")).alias("whole"))
+    ok = F.col("whole") & (F.col("shards") == F.col("total")) & (F.col("d") == F.col("total")) & (F.col("lo") == 0) & (F.col("hi") == F.col("total") - 1) & (F.col("t0") == F.col("total")) & F.col("total").between(1, most) & (F.col("m0") == model) & (F.col("m1") == model)
+    return s.select(*keys, "shards", "total", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def load_manual_json(spark: SparkSession, path: str, model: str, one_a_file: bool = True) -> DataFrame:

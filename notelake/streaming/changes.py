@@ -40,41 +40,47 @@ def actions(changes: DataFrame) -> DataFrame:
 
 
 class _Router(StatefulProcessor):
-    """Holds a waiting modification of a path until the gap is over; a deletion or creation in between cancels it."""
+    """Holds a path's actions until the watermark has passed them, then works them off by time; a modification waits for the gap, and what comes in between cancels it."""
 
     def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
+        self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "ts timestamp")
+        self.held = handle.getListState("held", "at long, action string")
+        self.waiting = handle.getValueState("waiting", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        got = pd.concat(list(rows)).sort_values("ts")
-        for ts, action in zip(got["ts"], got["action"], strict=True):
-            held = self.waiting.get()[0] if self.waiting.exists() else None
-            if held is not None and (ts - held).total_seconds() * 1000 > self.gap_ms:
-                out.append((key[0], "index", held))
-                self._clear()
-            if action == "wait":
-                self._clear()
-                self.waiting.update((ts.to_pydatetime(),))
-                self.handle.registerTimer(int(ts.timestamp() * 1000) + self.gap_ms)
-            else:
-                self._clear()
-                out.append((key[0], action, ts))
-        yield pd.DataFrame(out, columns=["path", "action", "ts"])
+        got = pd.concat(list(rows))
+        new = [(int(at), action) for at, action in zip(got["at"], got["action"], strict=True)]
+        self.held.appendList(new)
+        self._wake(min(new)[0])
+        yield pd.DataFrame([], columns=["path", "action", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.waiting.get()[0] if self.waiting.exists() else None
-        self.waiting.clear()
-        yield pd.DataFrame([(key[0], "index", held)] if held is not None else [], columns=["path", "action", "ts"])
-
-    def _clear(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.waiting.clear()
+        until = timerValues.getCurrentWatermarkInMs()
+        held = sorted(map(tuple, self.held.get())) if self.held.exists() else []
+        waits = self.waiting.get()[0] if self.waiting.exists() else None
+        due, out = [x for x in held if x[0] < until * 1000], []
+        for at, action in due:
+            if waits is not None and at // 1000 - waits // 1000 > self.gap:
+                out.append((key[0], "index", waits))
+            waits = at if action == "wait" else None
+            if action != "wait":
+                out.append((key[0], action, at))
+        if waits is not None and until - waits // 1000 > self.gap:
+            out.append((key[0], "index", waits))
+            waits = None
+        rest = held[len(due) :]
+        self.held.put(rest) if rest else self.held.clear()
+        self.waiting.update((waits,)) if waits is not None else self.waiting.clear()
+        times = [x[0] for x in rest[:1]] + ([waits + self.gap * 1000 + 1000] if waits is not None else [])
+        if times:
+            self._wake(min(times))
+        yield pd.DataFrame(out, columns=["path", "action", "at"])
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -84,8 +90,9 @@ def route_changes(changes: DataFrame, gap_ms: int = 2000, late: str = "10 minute
     """(path, action, ts) with modifications held back for the gap and cancelled by what comes in between (stateful on a stream)."""
     rows = actions(changes)
     if changes.isStreaming:
-        keyed = rows.withWatermark("ts", late).groupBy("path")
-        return keyed.transformWithStateInPandas(statefulProcessor=_Router(gap_ms), outputStructType="path string, action string, ts timestamp", outputMode="Append", timeMode="EventTime")
+        keyed = rows.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late).groupBy("path")
+        out = keyed.transformWithStateInPandas(statefulProcessor=_Router(gap_ms), outputStructType="path string, action string, at long", outputMode="Append", timeMode="EventTime")
+        return out.select("path", "action", F.timestamp_micros("at").alias("ts"))
     w = W.partitionBy("path").orderBy("ts")
     nxt = F.lead("ts").over(w)
     alone = nxt.isNull() | (F.unix_millis(nxt) - F.unix_millis("ts") > gap_ms)
