@@ -6,7 +6,9 @@ import functools
 import json
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import numpy as np
 
 _LETTER = "A-Za-z0-9\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
 _POINT = "!-&(-/:-@\\[-`{-~\u3001\u3002\u300c-\u300f\uff01\uff08\uff09\uff0c\uff0e\uff1a\uff1b\uff1f"
@@ -31,7 +33,7 @@ class Encoder:
     def __init__(self, batch: Callable[[list[str]], list], cuttable: bool = False, markers: tuple[str, ...] = ()) -> None:
         self.batch, self.cuttable, self.markers = batch, cuttable, markers
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> Sequence[int]:
         return self.batch([text])[0]
 
 
@@ -77,12 +79,8 @@ def _ranked(spec: dict) -> Encoder | None:
     core = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     markers = tuple(special)
 
-    def batch(texts: list[str]) -> list[list[int]]:
-        marked = [i for i, t in enumerate(texts) if any(m in t for m in markers)]
-        out = core.encode_ordinary_batch(texts, num_threads=1)
-        for i in marked:
-            out[i] = core.encode(texts[i], allowed_special="all")
-        return out
+    def batch(texts: list[str]) -> list[np.ndarray]:
+        return [core.encode_to_numpy(t, allowed_special="all") for t in texts]
 
     return Encoder(batch, cuttable=True, markers=markers)
 
@@ -113,16 +111,16 @@ def safe_pieces(text: str, size: int, markers: tuple[str, ...] = ()) -> Iterator
     yield text[start:]
 
 
-def encode_batches(encode: Encoder, texts: Iterable[str], batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> Iterator[tuple[int, list[list[int]]]]:
+def encode_batches(encode: Encoder, texts: Iterable[str], batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> Iterator[tuple[int, list[Sequence[int]]]]:
     """(place, lists of ids) of the texts in order: the ids of a text's pieces, in batches of about batch_bytes.
 
     Long texts are cut into safe pieces and share batches with others; a text is given once its last piece is encoded.
     """
     held: list[tuple[int, str, bool]] = []
-    done: list[list[int]] = []
+    done: list[Sequence[int]] = []
     size = 0
 
-    def flush() -> Iterator[tuple[int, list[list[int]]]]:
+    def flush() -> Iterator[tuple[int, list[Sequence[int]]]]:
         nonlocal done
         for (i, _, last), ids in zip(held, encode.batch([p for _, p, _ in held]), strict=True):
             done.append(ids)
