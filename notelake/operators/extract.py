@@ -44,25 +44,24 @@ def _ordered_distinct_rows(df: DataFrame, id_cols: list[str], value: str, pos: s
 
 
 _STOP = re.compile(r"[.!?](?=[ \n]|\Z)")
-_GAP = re.compile(r"[ \n]")
 
 
 def split_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
     """(start, end, trimmed text): pieces of about size characters that overlap.
 
-    A piece ends after the last sentence end in its second half, else at its last blank, else where it is full. Sentence ends and blanks are found once a
-    text; each cut looks them up by bisection.
+    A piece ends after the last sentence end in its second half, else at its last blank, else where it is full. Sentence ends are found once a text; each
+    cut looks them up by bisection.
     """
     n, start = len(text), 0
-    stops, gaps = ([m.start() for m in rx.finditer(text)] if n > size else [] for rx in (_STOP, _GAP))
+    stops = [m.start() for m in _STOP.finditer(text)] if n > size else []
     while start < n:
         end = min(start + size, n)
         if end < n:
-            i, j = bisect.bisect_right(stops, end) - 1, bisect.bisect_right(gaps, end) - 1
+            i = bisect.bisect_right(stops, end) - 1
             if i >= 0 and stops[i] >= start + size // 2:
                 end = stops[i] + 1
-            elif j >= 0 and gaps[j] > start:
-                end = gaps[j]
+            elif (gap := max(text.rfind(" ", start + 1, end + 1), text.rfind("\n", start + 1, end + 1))) > start:
+                end = gap
         if body := text[start:end].strip():
             yield start, end, body
         if end >= n:

@@ -87,3 +87,16 @@ def test_weights_by_automaton():
     want = [[sum(p * (t in column[j]) for t in each for column, p in zip(fields, (5, 3), strict=True)) for j in range(4)] for each in terms]
     assert weights(terms, fields, [5, 3]).tolist() == want
     assert weights([[]], [["a"]], [1]).tolist() == [[0]] and weights([[""]], [["a", ""]], [2]).tolist() == [[2, 2]]
+
+
+def test_tags_streamed_and_in_blocks_agree(spark, monkeypatch):
+    """A few huge notes among small ones; tags as one set, or in blocks that are cut by bytes."""
+    rows = [(f"n{i}", f"red apple number {i} pie_chart fold é {'blue sky ' * (i % 5)}") for i in range(40)] + [("huge", "word " * 4_000_000 + "blue sky"), ("none", None), ("empty", "")]
+    notes = spark.createDataFrame(rows, "path string, content string").repartition(4)
+    given = spark.createDataFrame([(t, i) for i, t in enumerate(["fruit/apple", "sky/blue_sky", "pie_chart", "Fold É", "zzz", "word"])], "tag string, ord int")
+    streamed = sorted(map(str, scored_tags(notes, given, 3, fill=True).collect()))
+    monkeypatch.setattr("notelake.operators.tags.TAG_BYTES", 0)
+    monkeypatch.setattr("notelake.operators.blocks.BLOCK_BYTES", 1000)
+    assert sorted(map(str, scored_tags(notes.filter("path <> 'huge'"), given, 3, fill=True).collect())) == [r for r in streamed if "huge" not in r]
+    huge = [r for r in streamed if "huge" in r and "score=0" not in r]
+    assert any("blue_sky" in r for r in huge) and any("'word'" in r for r in huge)
