@@ -83,7 +83,7 @@ def train(pages: list[list[Block]], rounds: int = 60, rate: float = 0.5, penalty
 
 
 @functools.lru_cache(maxsize=4)
-def default_model(pages: int = 240, seed: int = 11) -> Crf:
+def default_model(pages: int = 380, seed: int = 11) -> Crf:
     """Trained on `pages` labelled pages, a fixed bound that does not depend on the corpus."""
     return train([blocks(p, MARK) for p in labelled_pages(pages, seed)])
 

@@ -31,10 +31,18 @@ LAYOUTS = (
     '<body><div class="popup modal"><p>{t}</p></div><header><nav><a href="#">{s}</a><a href="#">{s}</a></nav></header><article><h1>§{s}</h1><p>§{t}</p></article><div class="disclaimer"><p>{p}</p></div><footer><p>{p}</p></footer></body>',
     '<body><div class="top-bar">{s}</div><div id="main"><div class="text">§{p}</div><div class="text">§{p}</div><div class="text">§{t}</div><div class="banner">{t}</div></div><div id="sidebar"><div>{p}</div><div><a href="#">{s}</a></div></div><div id="bottom">{s}</div></body>',
     '<body><article><p>§{p}<p>§{t}<p>§{p}<p>§{s}</article><section class="discussion"><h3>Replies</h3><ul><li>{t}</li><li>{p}</li></ul></section><aside><p>{p}</p></aside></body>',
+    # Reader comments inside the article, under several names; a page of plain paragraphs under names that say nothing.
+    '<body><nav><a href="/">{s}</a></nav><article><h1>§{s}</h1><p>§{p}</p><p>§{t}</p><p>§{p}</p><div class="replies"><h3>{s}</h3><div><p>{t}</p></div><div><p>{p}</p></div></div></article><footer><p>{s}</p></footer></body>',
+    '<body><article><header><h1>§{t}</h1></header><p>§{p}</p><p>§{p}</p><section class="responses"><h2>Responses</h2><p>{p}</p><p>{t}</p></section></article><footer>{s}</footer></body>',
+    '<body><main><h1>§{s}</h1><p>§{p}</p><p>§{p}</p><div id="disqus" class="feedback reactions"><ul><li><p>{t}</p></li><li><p>{p}</p></li></ul></div></main><footer>{s}</footer></body>',
+    '<body><div class="qa"><a href="/">{s}</a> <a href="#">{s}</a> <a href="#">{s}</a></div><div class="qb"><p>§{p}</p><p>§{t}</p><p>§{p}</p><p>§{p}</p></div><div class="qc">&copy; {s} <a href="#">{s}</a></div></body>',
+    '<body><div class="ga"><div class="gb"><a href="#">{s}</a><a href="#">{s}</a></div></div><div class="gc"><div class="gd"><h2>§{s}</h2><div>§{p}</div><div>§{t}</div><div>§{p}</div></div></div></body>',
+    '<body><div id="logo"><a href="#">{s}</a></div><div id="bodycontent"><h1>§{s}</h1><p>§{p}</p><div id="toc"><ul><li><a href="#">{s}</a></li><li><a href="#">{s}</a></li></ul></div><h2>§{s}</h2><p>§{p}</p><ul><li>§{t}</li><li>§{s}</li></ul></div><div id="catlinks"><a href="#">{s}</a></div></body>',
+    '<body><center><a href="#">{s}</a> | <a href="#">{s}</a></center><h2>§{s}</h2><p>§{p}<p>§{p}<blockquote>§{p}</blockquote><p>§{t}<hr><address><a href="#">{s}</a> {s}</address></body>',
 )
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 380, seed: int = 11) -> list[str]:
     """count pages: the layouts in turn, filled with invented words."""
     rng = random.Random(seed)
     syllables = [a + b for a in "bdfgklmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er", "is")]
