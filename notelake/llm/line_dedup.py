@@ -76,7 +76,9 @@ def repeated_lines(held: DataFrame, windows: DataFrame) -> DataFrame:
     kind begin and end in the same order, so each adds its lines up to the next one's begin: a run costs its length, however often it repeats itself.
     """
     runs = windows.groupBy("key", "kind").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("w"))
-    lines = F.flatten(F.transform("w", lambda x, i: F.sequence(x["lo"], F.least(x["hi"], F.coalesce(F.get("w", i + 1)["lo"] - 1, x["hi"])))))
+    none = F.array().cast("array<int>")
+    until = lambda x, i: F.least(x["hi"], F.coalesce(F.get("w", i + 1)["lo"] - 1, x["hi"]))  # noqa: E731  before the begin where the next window begins there too
+    lines = F.flatten(F.transform("w", lambda x, i: F.when(until(x, i) >= x["lo"], F.sequence(x["lo"], until(x, i))).otherwise(none)))
     covered = runs.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(lines))).alias("lines"))
     return covered.join(held.select("key", "at"), "key").select("key", F.transform("lines", lambda i: F.get("at", i)).alias("gone"))
 

@@ -159,6 +159,39 @@ def test_quality(odd, nothing, spark):
     assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in junk)
 
 
+def later_runs(texts, least_words):
+    """{id: places of lines that are in a window of consecutive lines with words, of least_words words or more, that stands earlier} by trying all windows."""
+    held = {}
+    for i, t in sorted(texts):
+        held[i] = [(k, line.strip(" ")) for k, line in enumerate((t or "").split("\n")) if words(line)]
+    seen, gone = set(), {i: set() for i, _ in texts}
+    for i, lines in held.items():
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(words(lines[b][1]))
+                if n >= least_words:
+                    window = tuple(x for _, x in lines[a : b + 1])
+                    if window in seen:
+                        gone[i].update(k for k, _ in lines[a : b + 1])
+                    else:
+                        seen.add(window)
+    return gone
+
+
+def test_line_dedup_against_all_windows(spark):
+    """Short texts over few lines of one to six words, so that runs overlap, repeat and share their begins and ends."""
+    rng = np.random.default_rng(12)
+    pool = [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate((1, 1, 2, 3, 4, 6))] + ["", "  ", " w0"]
+    texts = [(i, "\n".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 25)))) for i in range(120)]
+    want = later_runs(texts, 8)
+    got = line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), least_words=8).collect()
+    for r in got:
+        lines = dict(texts)[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for k, x in enumerate(lines) if k not in want[r.doc_id]) and r.n_deleted == len(want[r.doc_id])
+    assert sum(map(len, want.values())) > 300
+
+
 def test_line_dedup_repeats_inside_one_text(spark):
     """Texts that repeat themselves: equal lines, periods, a text read backwards; each costs about its length."""
     line = lambda i, n=50: " ".join(f"w{i}x{j}" for j in range(n))
