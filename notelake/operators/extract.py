@@ -282,6 +282,19 @@ def tool_calls(messages: DataFrame, id_cols: list[str], text_col: str = "content
     return messages.select(*id_cols, text_col).mapInArrow(run, schema)
 
 
+def tool_params(calls: DataFrame, fields: dict[str, tuple[str, str]], id_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of tool_calls(): (ids, ord, skill, fields) with typed values of the parameters, and (ids, ord, skill, problem) of the calls that can't be run.
+
+    fields maps a column to a path in the parameters and its type. Parameters are parsed once to a variant; a path that isn't there, or a value that can't
+    be cast, is null. Text that is no JSON is a reject, whatever tool_calls() said of it.
+    """
+    parsed = calls.withColumn("_v", F.try_parse_json("params"))
+    fine = F.col("problem").isNull() & F.col("_v").isNotNull()
+    values = [F.try_variant_get("_v", path, kind).alias(name) for name, (path, kind) in fields.items()]
+    rejects = parsed.filter(~fine).select(*id_cols, "ord", "skill", F.coalesce("problem", F.lit("bad json")).alias("problem"))
+    return parsed.filter(fine).select(*id_cols, "ord", "skill", *values), rejects
+
+
 def claims(reports: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, ord, claim, verdict, source, note, class) of fact-check reports in which each claim has bold section names."""
     blocks = reports.select(id_col, F.posexplode(F.split(text_col, r"(?i)\*\*Claim:\*\*", -1)).alias("ord", "block")).filter("ord > 0").withColumn("block", F.trim("block"))

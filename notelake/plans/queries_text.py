@@ -265,6 +265,22 @@ def c8(spark, d):
     return extract.tool_calls(m, ["conv_id", "turn"])
 
 
+def _called(spark, d):
+    m = view(spark, d, "messages")
+    call = F.concat(F.lit('a <call:find> {"q": "{"'), F.lit(', "n": '), "turn", F.lit(', "in": [{"path": "'), "role", F.lit('.md"}], "half": '), F.col("conv_id") / 2, F.lit('}</call> b <call:x>{"q": bad}</call> <call:last>{'))
+    return extract.tool_params(extract.tool_calls(m.withColumn("content", call), ["conv_id", "turn"]), {"q": ("$.q", "string"), "n": ("$.n", "int"), "path": ("$.in[0].path", "string"), "half": ("$.half", "double"), "none": ("$.in[1].path", "string"), "odd": ("$.q", "int")}, ["conv_id", "turn"])
+
+
+@query("c8_tool_params", "SELECT conv_id, turn, CAST(0 AS INT) AS ord, 'find' AS skill, '{' AS q, CAST(turn AS INT) AS n, concat(role, '.md') AS path, conv_id / 2.0::DOUBLE AS half, CAST(NULL AS VARCHAR) AS none, CAST(NULL AS INT) AS odd FROM messages", "messages")
+def c8_params(spark, d):
+    return _called(spark, d)[0]
+
+
+@query("c8_tool_rejects", "SELECT conv_id, turn, CAST(o AS INT) AS ord, s AS skill, p AS problem FROM messages, (SELECT 1 AS o, 'x' AS s, 'bad json' AS p UNION ALL SELECT 2, 'last', 'not closed') AS r", "messages")
+def c8_rejects(spark, d):
+    return _called(spark, d)[1]
+
+
 @query(
     "c9_claims",
     "SELECT id, CAST(1 AS INT) AS ord, trim(split_part(split_part(text, '**Claim:**', 2), '**Verdict:**', 1), concat(' ', chr(10))) AS claim, trim(split_part(split_part(text, '**Verdict:**', 2), '**Source:**', 1), concat(' ', chr(10))) AS verdict, trim(split_part(split_part(text, '**Source:**', 2), '**Note:**', 1), concat(' ', chr(10))) AS source, concat('n', id) AS note, CASE id % 3 WHEN 0 THEN 'inaccurate' WHEN 1 THEN 'accurate' ELSE 'unverifiable' END AS class FROM reports UNION ALL SELECT id, 2, trim(split_part(text, '**claim:**', 2)), '', '', '', NULL FROM reports",
