@@ -159,6 +159,25 @@ def test_quality(odd, nothing, spark):
     assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in junk)
 
 
+def base_columns(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of a text, one after the other."""
+    text = text or ""
+    w = words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    often = Counter(grams)
+    repeated = {j for i, g in enumerate(grams) if often[g] > 1 for j in range(i, i + 5)}
+    failed = len(w) < 10 or 100 * len(repeated) > 20 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated), failed
+
+
+def test_quality_base_columns(spark, odd):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for docs in (given, odd):
+        got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules(docs).collect())
+        assert got == Counter((r.doc_id, *base_columns(r.text)) for r in docs.select("doc_id", "text").collect())
+
+
 def later_runs(texts, least_words):
     """{id: places of lines that are in a window of consecutive lines with words, of least_words words or more, that stands earlier} by trying all windows."""
     held = {}
