@@ -1,9 +1,42 @@
 """Steps that grew faster than their input, and rows that they lost."""
 
+import numpy as np
+import pyarrow as pa
+
 from notelake.operators.aggregates import folder_stats
+from notelake.operators.blocks import best, cosines, nearest
+from notelake.operators.tags import _Patterns, scored_tags, tag_score_sums
 
 
 def test_folders_join_on_sums_not_on_texts(spark):
     notes = spark.createDataFrame([("a/x/1.md", "12345"), ("a/2.md", None), ("b/3.md", "123"), ("4.md", "1")], "path string, content string")
     got = folder_stats(notes, spark.createDataFrame([("a",), ("a/x",), ("",), ("none",)], "folder string"))
     assert sorted(map(tuple, got.collect())) == [("", 4, 9, False), ("a", 2, 5, False), ("a/x", 1, 5, False), ("none", 0, 0, False)]
+
+
+def test_patterns_are_the_substrings_of_a_text():
+    patterns = ["a", "ab", "b/", "aé", "😀b", "", "abc", "zz", "b/😀b"]
+    look = _Patterns(pa.array(patterns))
+    for text in ("", "ab/😀b", "xaéz", "zzzz", "abc" * 5):
+        assert sorted(look(text).tolist()) == [i for i, p in enumerate(patterns) if p and p in text]
+
+
+def test_nearest_keeps_ties_by_place():
+    rng = np.random.default_rng(3)
+    held, asked = (pa.array(rng.integers(0, 4, (n, 8)).astype(float).tolist()) for n in (300, 40))
+    scores = cosines(asked, held)
+    rows, places, near = nearest(held, 10, 64)(asked)
+    want = best(scores, np.arange(300), 10, np.ones(scores.shape, bool))
+    assert (rows == want[0]).all() and (places == want[1]).all() and (near == scores[want]).all()
+
+
+def test_tags_past_an_exchange_meet_each_note_once(spark, monkeypatch):
+    notes = spark.createDataFrame([(f"n{i}", f"w{i % 7} and long words of {'a b ' * i} en/w{i % 5}") for i in range(40)] + [("none", None)], "path string, content string")
+    tags = spark.createDataFrame([(f"{a}/w{i}_{b}", i) for i in range(9) for a, b in (("en", ""), ("de", "long"), ("x", "words_of_long_words_and_more"))] + [("en/words", 3)], "tag string, ord long")
+    each = sorted(map(str, scored_tags(notes, tags).collect()))
+    sums = {r.path: r.score for r in tag_score_sums(notes, tags).collect()}
+    monkeypatch.setattr("notelake.operators.tags.TAG_BYTES", 0)
+    assert sorted(map(str, scored_tags(notes, tags).collect())) == each
+    assert {r.path: r.score for r in tag_score_sums(notes, tags).collect()} == sums
+    want = {r.path: r.s for r in scored_tags(notes, tags).groupBy("path").agg({"score": "sum"}).withColumnRenamed("sum(score)", "s").collect()}
+    assert {p: s for p, s in sums.items() if s} == want and sums["none"] == 0
