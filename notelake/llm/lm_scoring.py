@@ -41,12 +41,42 @@ def _uniform(key: np.ndarray, step: int) -> np.ndarray:
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series less its constant, from 10 on; smaller x by the recurrence."""
+    if len(x) and x.min() < 10:
+        low = np.where(x < 10, x, 10.0)
+        return np.where(x < 10, _log_gamma(low + 10) - sum(np.log(low + i) for i in range(10)), _log_gamma(np.maximum(x, 10.0)))
+    return (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+def _opener(stay: np.ndarray, new: np.ndarray, chance: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the next customers, from 1 on, is the first to open a table, or most + 1.
+
+    The i-th sits down with weight stay + i - 1 and opens a table with weight new. That m sit down has the chance G(stay + m) G(stay + new) /
+    (G(stay) G(stay + m + new)), G the gamma function; the least m at which it isn't over the number drawn is the opener.
+    """
+    log, base = np.log(chance), _log_gamma(stay + new) - _log_gamma(stay)
+    fell = lambda i, m: base[i] + _log_gamma(stay[i] + m) - _log_gamma(stay[i] + m + new[i]) <= log[i]
+    with np.errstate(over="ignore"):
+        about = np.minimum((stay + np.maximum(new - 1, 0) / 2) * np.expm1(-log / new), most + 1).astype(np.int64)
+    every = np.arange(len(stay))
+    low, high = np.maximum(about - 2, 0), np.minimum(about + 3, most + 1)
+    low[(low > 0) & fell(every, low)] = 0
+    missed = (high <= most) & ~fell(every, high)
+    high[missed] = most[missed] + 1
+    while len(every := np.flatnonzero(high - low > 1)):
+        middle = (low[every] + high[every]) // 2
+        done = fell(every, middle)
+        high[every[done]], low[every[~done]] = middle[done], middle[~done]
+    return high
+
+
 def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, key: np.ndarray, alone: int = 64) -> np.ndarray:
     """Tables that the customers of each dish take when all are seated again, given the tables of the other dishes.
 
     One by one, a customer sits at one of the dish's tables with weight n - discount * t or opens one with weight
-    (strength + discount * all tables) * parent. The first customer opens a table. From customer `alone` on, customers
-    are seated in blocks of 1/32 of those seated, at the rate of the block's middle, its fraction rounded at random.
+    (strength + discount * all tables) * parent. The first customer opens a table. From customer `alone` on, the next
+    customer who opens one is drawn by the exact chance that all before sit down, as nothing else changes in between.
     """
     t = (customers > 0).astype(np.float64)
     order = np.argsort(-customers, kind="stable")
@@ -63,11 +93,16 @@ def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount
         m = int(np.searchsorted(-c, -n, side="left"))  # dishes with more than n customers
         t[:m] += _uniform(k[:m], n) < opens(m, n)
         n += 1
-    while n < top:
-        m = int(np.searchsorted(-c, -n, side="left"))
-        block = np.minimum(c[:m] - n, max(1, n // 32))
-        t[:m] += np.minimum(block, np.floor(block * opens(m, n + (block - 1) / 2) + _uniform(k[:m], n)))
-        n += max(1, n // 32)
+    at, step = np.arange(int(np.searchsorted(-c, -n, side="left"))), 0
+    seated = np.full(len(at), n, np.int64)
+    while len(at):
+        new = (strength + discount * (rest[at] + t[at])) * p[at]
+        most = (c[at] - seated[at]).astype(np.int64)
+        sits = _opener(np.maximum(seated[at] - discount * t[at], 1e-9), new, _uniform(k[at], (1 << 32) + step), most)
+        at, sits = at[sits <= most], sits[sits <= most]
+        t[at] += 1
+        seated[at] += sits
+        at, step = at[seated[at] < c[at]], step + 1
     out = np.empty_like(t)
     out[order] = t
     return out.astype(np.int64)

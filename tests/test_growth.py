@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+from notelake.llm.lm_scoring import _opener, seat
 from notelake.operators.aggregates import folder_stats
 from notelake.operators.blocks import best, cosines, nearest
 from notelake.operators.tags import _Patterns, scored_tags, tag_score_sums
@@ -40,3 +41,19 @@ def test_tags_past_an_exchange_meet_each_note_once(spark, monkeypatch):
     assert {r.path: r.score for r in tag_score_sums(notes, tags).collect()} == sums
     want = {r.path: r.s for r in scored_tags(notes, tags).groupBy("path").agg({"score": "sum"}).withColumnRenamed("sum(score)", "s").collect()}
     assert {p: s for p, s in sums.items() if s} == want and sums["none"] == 0
+
+
+def test_openers_by_their_exact_chance():
+    stay, new = 70.3, 9.7
+    sits = np.cumprod([(stay + i) / (stay + i + new) for i in range(60)])
+    chance = np.concatenate([np.random.default_rng(1).random(3000), [1e-12, 1 - 1e-12]])
+    got = _opener(np.full(len(chance), stay), np.full(len(chance), new), chance, np.full(len(chance), 60))
+    assert got.tolist() == [int(np.argmax(sits <= u)) + 1 if (sits <= u).any() else 61 for u in chance]
+
+
+def test_customers_are_seated_one_by_one():
+    n = 4000
+    args = np.full(n, 1500), np.full(n, 300.0), np.full(n, 0.05), 0.8, 2.0
+    fast, slow = seat(*args, np.arange(n, dtype=np.uint64)), seat(*args, np.arange(n, dtype=np.uint64) + np.uint64(77777), alone=1500)
+    # Blocks were too even: their numbers of tables varied less than those of single customers.
+    assert abs(fast.mean() - slow.mean()) < 0.5 and abs(fast.std() / slow.std() - 1) < 0.06
