@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from notelake.llm.lm_scoring import _opener, seat
 from notelake.operators.aggregates import folder_stats
-from notelake.operators.blocks import best, cosines, nearest
+from notelake.operators.blocks import best, block_pairs, cosines, nearest
 from notelake.operators.tags import _Patterns, scored_tags, tag_score_sums
 
 
@@ -57,3 +57,11 @@ def test_customers_are_seated_one_by_one():
     fast, slow = seat(*args, np.arange(n, dtype=np.uint64)), seat(*args, np.arange(n, dtype=np.uint64) + np.uint64(77777), alone=1500)
     # Blocks were too even: their numbers of tables varied less than those of single customers.
     assert abs(fast.mean() - slow.mean()) < 0.5 and abs(fast.std() / slow.std() - 1) < 0.06
+
+
+def test_block_pairs_take_tasks_by_the_right_side(spark):
+    left, right = spark.range(60), spark.range(100, 103)
+    pairs = block_pairs(left, right, 1)
+    assert pairs.rdd.getNumPartitions() <= 12
+    got = sorted((x.id, y.id) for p in pairs.collect() for x in p.l for y in p.r)
+    assert got == [(i, j) for i in range(60) for j in range(100, 103)]
