@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window as W
 
 from notelake.functions.embed import Embedder
@@ -39,59 +41,55 @@ def actions(changes: DataFrame) -> DataFrame:
     return rows.filter(F.lower("path").endswith(".md"))
 
 
-class _Router(StatefulProcessor):
-    """Holds a path's actions until the watermark has passed them, then works them off by time; a modification waits for the gap, and what comes in between cancels it."""
+#: Groups that the keys of a routed or settled stream are dealt to; a group's rows are worked off together, and its state goes to Python and back whole. Fixed over a stream's life.
+GROUPS = 128
 
-    def __init__(self, gap_ms: int):
-        self.gap = gap_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "at long, action string")
-        self.waiting = handle.getValueState("waiting", "at long")
+def held_rows(state: GroupState, parts: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """The rows that a group's state holds, as an array a column, and those that came."""
+    got = [pd.DataFrame(dict(zip(columns, state.get, strict=True)))] if state.exists else []
+    return pd.concat(got + ([] if state.hasTimedOut else [part[columns] for part in parts]), ignore_index=True)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows))
-        new = [(int(at), action) for at, action in zip(got["at"], got["action"], strict=True)]
-        self.held.appendList(new)
-        self._wake(min(new)[0])
-        yield pd.DataFrame([], columns=["path", "action", "at"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs()
-        held = sorted(map(tuple, self.held.get())) if self.held.exists() else []
-        waits = self.waiting.get()[0] if self.waiting.exists() else None
-        due, out = [x for x in held if x[0] < until * 1000], []
-        for at, action in due:
-            if waits is not None and at // 1000 - waits // 1000 > self.gap:
-                out.append((key[0], "index", waits))
-            waits = at if action == "wait" else None
-            if action != "wait":
-                out.append((key[0], action, at))
-        if waits is not None and until - waits // 1000 > self.gap:
-            out.append((key[0], "index", waits))
-            waits = None
-        rest = held[len(due) :]
-        self.held.put(rest) if rest else self.held.clear()
-        self.waiting.update((waits,)) if waits is not None else self.waiting.clear()
-        times = [x[0] for x in rest[:1]] + ([waits + self.gap * 1000 + 1000] if waits is not None else [])
-        if times:
-            self._wake(min(times))
-        yield pd.DataFrame(out, columns=["path", "action", "at"])
-
-    def _wake(self, at: int) -> None:
-        self.handle.registerTimer(at // 1000 + 1)
 
-    def close(self) -> None:
-        pass
+def hold(state: GroupState, rows: pd.DataFrame, wake: np.ndarray) -> None:
+    """Makes rows the group's state, to be looked at when the watermark has passed the first of the times (ms)."""
+    if not len(rows):
+        return state.remove() if state.exists else None
+    state.update(tuple(rows[c].tolist() for c in rows.columns))
+    if len(wake):
+        state.setTimeoutTimestamp(max(int(wake.min()), state.getCurrentWatermarkMs() + 1))
+
+
+def following(keys: np.ndarray) -> np.ndarray:
+    """Whether the next row has the same key."""
+    return np.append(keys[1:] == keys[:-1], False)
+
+
+def _router(gap: int) -> Callable:
+    """Holds actions until the watermark has passed them, then works off each path's by time; a modification waits for the gap, and what comes in between cancels it."""
+
+    def work(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until, rows = state.getCurrentWatermarkMs(), held_rows(state, parts, ["path", "at", "action"])
+        rows = rows.iloc[np.lexsort((pd.factorize(rows["action"], sort=True)[0], rows["at"], pd.factorize(rows["path"])[0]))]
+        at, wait = rows["at"].to_numpy(), (rows["action"] == "wait").to_numpy()
+        ms, due = at // 1000, at < until * 1000
+        # Whether the path's next action is due too; if not, none comes before the watermark.
+        met = following(rows["path"].to_numpy()) & np.append(due[1:], False)
+        alone = np.where(met, np.append(ms[1:], 0), until) - ms > gap
+        out, left = rows[due & (~wait | alone)], ~due | (wait & ~met & ~alone)
+        hold(state, rows[left], (ms + np.where(due, gap, 0))[left])
+        if len(out):
+            yield out.assign(action=out["action"].replace("wait", "index"))[["path", "action", "at"]]
+
+    return work
 
 
-def route_changes(changes: DataFrame, gap_ms: int = 2000, late: str = "10 minutes") -> DataFrame:
+def route_changes(changes: DataFrame, gap_ms: int = 2000, late: str = "10 minutes", groups: int = GROUPS) -> DataFrame:
     """(path, action, ts) with modifications held back for the gap and cancelled by what comes in between (stateful on a stream)."""
     rows = actions(changes)
     if changes.isStreaming:
-        keyed = rows.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late).groupBy("path")
-        out = keyed.transformWithStateInPandas(statefulProcessor=_Router(gap_ms), outputStructType="path string, action string, at long", outputMode="Append", timeMode="EventTime")
+        keyed = rows.withColumns({"at": F.unix_micros("ts"), "g": F.pmod(F.xxhash64("path"), F.lit(groups))}).withWatermark("ts", late).groupBy("g")
+        out = keyed.applyInPandasWithState(_router(gap_ms), "path string, action string, at long", "path array<string>, at array<long>, action array<string>", "append", "EventTimeTimeout")
         return out.select("path", "action", F.timestamp_micros("at").alias("ts"))
     w = W.partitionBy("path").orderBy("ts")
     nxt = F.lead("ts").over(w)

@@ -2,69 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window as W
 
+from notelake.streaming.changes import GROUPS, following, held_rows, hold
 
-class _Settled(StatefulProcessor):
-    """Holds a user's views until the watermark has passed them, the note the user is on, and since when it waits to be shown.
 
-    Views are worked off by time and then event, whatever order they came in. One of the note that the user is on, or while paused, has no effect.
+def _settled(gap: int) -> Callable:
+    """Holds views until the watermark has passed them, and the view by which each user came to the note the user is on, with whether it was shown.
+
+    Views are worked off by time and then event, whatever order they came in. One of the note that the user is on has no effect.
     """
 
-    def __init__(self, gap_us: int):
-        self.gap = gap_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.views = handle.getListState("views", "at long, event long, path string, paused boolean")
-        self.now = handle.getValueState("now", "path string, since long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows))
-        new = [(int(at), int(event), path, bool(paused)) for at, event, path, paused in zip(got["at"], got["event"], got["path"], got["paused"], strict=True)]
-        self.views.appendList(new)
-        self._wake(min(at for at, *_ in new))
-        yield pd.DataFrame([], columns=["user", "path", "at"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(map(tuple, self.views.get())) if self.views.exists() else []
-        path, since = self.now.get() if self.now.exists() else (None, None)
-        shown = []
-        due = [v for v in held if v[0] < until]
-        for at, _, seen, paused in due:
-            if since is not None and at - since >= self.gap:
-                shown.append((path, since))
-                since = None
-            if not paused and seen != path:
-                path, since = seen, at
-        if since is not None and until - since >= self.gap:
-            shown.append((path, since))
-            since = None
-        if due:
-            rest = held[len(due) :]
-            self.views.put(rest) if rest else self.views.clear()
-        self.now.update((path, since))
-        # The next view that waits, or the end of the note's gap.
-        times = [v[0] for v in held[len(due) : len(due) + 1]] + ([since + self.gap] if since is not None else [])
-        if times:
-            self._wake(min(times))
-        yield pd.DataFrame([(key[0], *s) for s in shown], columns=["user", "path", "at"])
-
-    def _wake(self, at: int) -> None:
-        self.handle.registerTimer(at // 1000 + 1)
-
-    def close(self) -> None:
-        pass
-
-
-def settled_views(views: DataFrame, gap: str = "400 milliseconds", late: str = "1 minute") -> DataFrame:
+    def work(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until, rows = state.getCurrentWatermarkMs() * 1000, held_rows(state, parts, ["user", "at", "event", "path", "shown"])
+        rows = rows.iloc[np.lexsort((rows["event"], rows["at"], pd.factorize(rows["user"])[0]))]
+        user, path = rows["user"].to_numpy(), rows["path"].to_numpy()
+        stays = np.append(False, (following(user) & following(path))[:-1])
+        rows = rows[(rows["at"].to_numpy() >= until) | ~stays]
+        at, shown = rows["at"].to_numpy(), rows["shown"].to_numpy(bool)
+        due = at < until
+        # Whether the user's next view is due too; if not, none comes before the watermark.
+        met = following(rows["user"].to_numpy()) & np.append(due[1:], False)
+        out = due & ~shown & (np.where(met, np.append(at[1:], 0), until) - at >= gap)
+        left = ~(due & met)
+        hold(state, rows.assign(shown=shown | out)[left], (at + np.where(due, gap, 0))[left & ~shown & ~out] // 1000)
+        if out.any():
+            yield rows[out][["user", "path", "at"]]
+
+    return work
+
+
+def settled_views(views: DataFrame, gap: str = "400 milliseconds", late: str = "1 minute", groups: int = GROUPS) -> DataFrame:
     """(user, ts, path): views (user, ts, event, path, paused) after which the user stayed on the note for the gap.
 
     Views while paused, and of the note that the user is on already, have no effect; of views at one time the larger event is the later. On a stream
@@ -74,8 +49,9 @@ def settled_views(views: DataFrame, gap: str = "400 milliseconds", late: str = "
     rows = views.select("user", "ts", "event", "path", F.coalesce("paused", F.lit(False)).alias("paused"), F.unix_micros("ts").alias("at"))
     if views.isStreaming:
         kind = dict(views.dtypes)["user"]
-        keyed = rows.withWatermark("ts", late).groupBy("user")
-        out = keyed.transformWithStateInPandas(statefulProcessor=_Settled(gap_us), outputStructType=f"user {kind}, path string, at long", outputMode="Append", timeMode="EventTime")
+        seen = rows.withWatermark("ts", late).filter(~F.col("paused")).withColumns({"shown": F.lit(False), "g": F.pmod(F.xxhash64("user"), F.lit(groups))})
+        held = f"user array<{kind}>, at array<long>, event array<{dict(views.dtypes)['event']}>, path array<string>, shown array<boolean>"
+        out = seen.groupBy("g").applyInPandasWithState(_settled(gap_us), f"user {kind}, path string, at long", held, "append", "EventTimeTimeout")
         return out.select("user", F.timestamp_micros("at").alias("ts"), "path")
     order = W.partitionBy("user").orderBy("at", "event")
     moved = rows.filter(~F.col("paused")).withColumn("_on", F.lag("path").over(order)).filter(F.col("_on").isNull() | (F.col("_on") != F.col("path")))
