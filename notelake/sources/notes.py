@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files that a folder of written notes has at most.
+FOLDER_FILES = 1000
+
+
+def write_notes(notes: DataFrame, root: str, name: str = "path", text: str = "content", ext: str = "md") -> int:
+    """Writes each row as a file of its own below root (a URI, or a local path that all tasks share), named <name>-<row of the task>.<ext>; how many files.
+
+    A task writes its rows one after the other into folders of its own, FOLDER_FILES each, so that no file is moved at the end by the driver, rows of one
+    name stay apart, and the folders can be listed in parallel. A task that runs again clears its folders first.
+    """
+
+    def put(batches) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        base, n = f"{base}/{TaskContext.get().partitionId()}", 0
+        store.delete_dir_contents(base, missing_dir_ok=True)
+        for batch in batches:
+            for title, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n % FOLDER_FILES == 0:
+                    store.create_dir(f"{base}/{n // FOLDER_FILES}")
+                with store.open_output_stream(f"{base}/{n // FOLDER_FILES}/{title or ''}-{n}.{ext}", compression=None) as f:
+                    f.write((content or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return notes.select(F.col(name).cast("string"), F.col(text)).mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
 
 def scan_notes(spark: SparkSession, root: str, glob: str = "*.md", with_text: bool = True) -> DataFrame:
-    """(path, basename, ext, mtime, size[, content]) of the files below root."""
+    """(path, basename, ext, mtime, size[, content]) of the files below root; Spark leaves out files without bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     name = F.substring_index("path", "/", -1)
     out = [F.col("path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("basename"), F.lower(F.substring_index(name, ".", -1)).alias("ext"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]

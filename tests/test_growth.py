@@ -7,6 +7,7 @@ from notelake.llm.lm_scoring import _opener, seat
 from notelake.operators.aggregates import folder_stats
 from notelake.operators.blocks import best, block_pairs, cosines, nearest
 from notelake.operators.tags import _Patterns, scored_tags, tag_score_sums
+from notelake.sources.notes import FOLDER_FILES, scan_notes, write_notes
 
 
 def test_folders_join_on_sums_not_on_texts(spark):
@@ -65,3 +66,14 @@ def test_block_pairs_take_tasks_by_the_right_side(spark):
     assert pairs.rdd.getNumPartitions() <= 12
     got = sorted((x.id, y.id) for p in pairs.collect() for x in p.l for y in p.r)
     assert got == [(i, j) for i in range(60) for j in range(100, 103)]
+
+
+def test_notes_are_written_by_their_tasks(spark, tmp_path):
+    rows = [(i % 1500, f"text {i}\n") for i in range(2300)] + [(None, "no name"), (-7, "one"), (-7, "é")]
+    notes = spark.createDataFrame(rows, "id long, content string").coalesce(1)
+    for _ in range(2):  # a task that runs again leaves the same files
+        assert write_notes(notes, str(tmp_path / "vault"), "id") == len(rows)
+    read = scan_notes(spark, str(tmp_path / "vault"))
+    assert sorted((r.basename.rsplit("-", 1)[0], r.content, r.size) for r in read.collect()) == sorted(("" if i is None else str(i), t, len(t.encode())) for i, t in rows)
+    folders = [d for d in (tmp_path / "vault" / "0").iterdir()]
+    assert len(folders) == 3 and all(len(list(d.iterdir())) <= FOLDER_FILES for d in folders)
