@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from notelake.llm.lm_scoring import _opener, seat
 from notelake.operators.aggregates import folder_stats
-from notelake.operators.blocks import best, block_pairs, cosines, nearest
+from notelake.operators.blocks import best, block_pairs, cosines, in_blocks, nearest
 from notelake.operators.tags import _Patterns, scored_tags, tag_score_sums
 from notelake.sources.notes import FOLDER_FILES, scan_notes, write_notes
 
@@ -77,3 +77,23 @@ def test_notes_are_written_by_their_tasks(spark, tmp_path):
     assert sorted((r.basename.rsplit("-", 1)[0], r.content, r.size) for r in read.collect()) == sorted(("" if i is None else str(i), t, len(t.encode())) for i, t in rows)
     folders = [d for d in (tmp_path / "vault" / "0").iterdir()]
     assert len(folders) == 3 and all(len(list(d.iterdir())) <= FOLDER_FILES for d in folders)
+
+
+def test_block_pairs_stream_shares_of_the_left_past_a_block(spark, monkeypatch):
+    monkeypatch.setattr("notelake.operators.blocks.STREAM_BYTES", 100)
+    pairs = block_pairs(spark.range(60), spark.range(100, 103), 1)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    # The left isn't sorted or held; a task has no more of it than its share.
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    got = sorted((x.id, y.id) for p in pairs.collect() for x in p.l for y in p.r)
+    assert got == [(i, j) for i in range(60) for j in range(100, 103)]
+
+
+def test_blocks_are_scored_in_strips(spark):
+    def run(l, r):
+        i, j = np.indices((len(l), len(r))).reshape(2, -1)
+        return pa.RecordBatch.from_arrays([l.field("id").take(pa.array(i)), r.field("id").take(pa.array(j)), pa.array(np.full(len(i), len(l)))], names=["l", "r", "n"])
+
+    got = in_blocks(spark.range(50), spark.range(7), run, "l long, r long, n long", strip=8).collect()
+    assert sorted((x.l, x.r) for x in got) == [(i, j) for i in range(50) for j in range(7)]
+    assert max(x.n for x in got) == 8
