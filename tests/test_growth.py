@@ -2,11 +2,14 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from notelake.llm.lm_scoring import _opener, seat
 from notelake.operators.aggregates import folder_stats
-from notelake.operators.blocks import best, block_pairs, cosines, in_blocks, nearest
+from notelake.operators.blocks import all_pairs, best, block_pairs, cosines, in_blocks, nearest, past
+from notelake.operators.joins import similar_pairs
 from notelake.operators.tags import _Patterns, scored_tags, tag_score_sums
+from notelake.plans.search import _closest, related_notes
 from notelake.sources.notes import FOLDER_FILES, scan_notes, write_notes
 
 
@@ -97,3 +100,45 @@ def test_blocks_are_scored_in_strips(spark):
     got = in_blocks(spark.range(50), spark.range(7), run, "l long, r long, n long", strip=8).collect()
     assert sorted((x.l, x.r) for x in got) == [(i, j) for i in range(50) for j in range(7)]
     assert max(x.n for x in got) == 8
+
+
+def test_related_notes_give_out_k_a_block(spark, monkeypatch):
+    """Notes with the same vectors tie by path; a task gives out k rows for each note that it holds, and blocks and shares change nothing."""
+    rng = np.random.default_rng(5)
+    shapes = rng.integers(-3, 4, (12, 4)).tolist()
+    rows = [(i, f"n{i * 7 % 40:02d}" if i < 118 else None, "summary" if i < 40 else "content", 0 if i < 40 else i, i, shapes[i % 12]) for i in range(120)]
+    entries = spark.createDataFrame(rows, "entry_id long, path string, entry_type string, chunk_start int, chunk_end int, embedding array<tinyint>")
+    for least, k in ((0.25, 3), (-1.0, 50)):
+        met = similar_pairs(*(df.select(F.col("entry_id").alias("id"), F.col("embedding").alias("vec")) for df in (entries.filter("entry_id < 40"), entries)), least)
+        names = entries.select("entry_id", "path")
+        met = met.join(names.toDF("l", "path"), "l").join(names.toDF("r", "related"), "r").filter("path <> related").groupBy("path", "related").agg(F.max("score").alias("score")).filter("score > 0")
+        want = {}
+        for r in sorted(met.collect(), key=lambda r: (r.path, -r.score, r.related)):
+            want.setdefault(r.path, []).append((r.related, round(r.score, 9)))
+        want = {p: x[:k] for p, x in want.items()}
+        for most in (1 << 25, 200):
+            monkeypatch.setattr("notelake.plans.search.BLOCK_BYTES", most)
+            got = {}
+            for r in related_notes(entries, least, k).orderBy("path", "rank").collect():
+                got.setdefault(r.path, []).append((r.related, r.score))
+            assert got == want
+    held = pa.StructArray.from_arrays([pa.array([f"q{i}" for i in range(30)]), pa.array([shapes[i % 12] for i in range(30)], pa.list_(pa.int8()))], ["path", "vec"])
+    stream = [pa.RecordBatch.from_arrays([pa.array([f"n{i:04d}" for i in range(at, at + 500)]), pa.array([shapes[i % 12] for i in range(500)], pa.list_(pa.int8()))], names=["path", "vec"]) for at in range(0, 2000, 500)]
+    assert sum(b.num_rows for b in _closest(held, 0.25, 5, 100)(iter(stream))) <= 30 * 5
+
+
+def test_past_sends_each_side_once_a_block_or_share(spark, monkeypatch):
+    monkeypatch.setattr("notelake.operators.blocks.STREAM_BYTES", 400)
+
+    def start(held):
+        def run(batches):
+            for batch in batches:
+                yield all_pairs(held.field("id"), batch.column("id"), np.full((len(held), batch.num_rows), len(held)), ["l", "r", "n"])
+
+        return run
+
+    df = past(spark.range(70), spark.range(100, 140), {"id": F.col("l.id")}, start, "l long, r long, n long", 240)
+    got = df.collect()
+    assert sorted((x.l, x.r) for x in got) == [(i, j) for i in range(100, 140) for j in range(70)]
+    assert max(x.n for x in got) < 40
+    assert past(spark.range(0), spark.range(3), {"id": F.col("l.id")}, start, "l long, r long, n long").count() == past(spark.range(3), spark.range(0), {"id": F.col("l.id")}, start, "l long, r long, n long", 99).count() == 0
