@@ -84,21 +84,34 @@ def chunk(notes: DataFrame, size: int = 1000, overlap: int = 150, path_col: str
     return notes.select(F.col(path_col).cast("string"), F.col(text_col)).mapInArrow(run, "path string, ord int, start int, end int, text string")
 
 
-def headings(notes: DataFrame) -> DataFrame:
-    """(path, level, text, offset): ATX headings outside fenced code, with their offset in the text."""
-    parts = F.split("content", FENCES, -1)
-    fences = F.regexp_extract_all("content", F.lit(f"({FENCES})"), F.lit(1))
+def heading_list(content: Column) -> Column:
+    """Structs level, text, offset of the ATX headings outside fenced code, in order.
+
+    The text is cut in front of each heading, and lengths are summed up over the pieces: no line leaves its row.
+    """
+    parts = F.split(content, FENCES, -1)
+    fences = F.regexp_extract_all(content, F.lit(f"({FENCES})"), F.lit(1))
     blank = lambda c: F.regexp_replace(c, r"[^\n]", " ")
     masked = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(blank(F.get(fences, i)), F.lit("")))), "")
-    lines = notes.select("path", masked.alias("m")).select("path", F.posexplode(F.split("m", "\n", -1)).alias("no", "line"))
-    before = F.coalesce(F.sum(F.length("line") + 1).over(W.partitionBy("path").orderBy("no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    found = lines.withColumn("offset", before.cast("int")).filter(F.col("line").rlike(r"^#{1,6}\s+\S"))
-    return found.select("path", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#+\s+(.*)$", 1)).alias("text"), "offset")
+    heading = r"#{1,6}[ \t\x0B\f\r]+\S"
+    pieces = F.split(masked, rf"(?:\A|(?<=\n))(?={heading})", -1)
 
+    def step(acc: Column, p: Column) -> Column:
+        line = F.substring_index(p, "\n", 1)
+        row = F.struct(F.length(F.regexp_extract(line, "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract(line, r"^#+\s+(.*)$", 1)).alias("text"), acc["at"].alias("offset"))
+        return F.struct((acc["at"] + F.length(p)).alias("at"), F.when(p.rlike(rf"\A{heading}"), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
 
-def heading_stack(found: DataFrame) -> DataFrame:
-    """(path, offset, heading_path): at each heading, the headings open there, joined by ' > '; one closes all as deep or deeper."""
-    ordered = F.array_sort(F.collect_list(F.struct("offset", "level", "text")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<level:int,text:string,offset:int>>").alias("out"))
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
+def headings(notes: DataFrame) -> DataFrame:
+    """(path, level, text, offset): ATX headings outside fenced code, with their offset in the text."""
+    return notes.select("path", F.explode_outer(heading_list(F.col("content"))).alias("h")).filter("h is not null").select("path", "h.level", "h.text", "h.offset")
+
+
+def heading_paths(ordered: Column) -> Column:
+    """Structs offset, path of headings (structs level, text, offset, in order): the headings open there, joined by ' > '."""
     kind = "array<struct<offset:int,path:string>>"
     stack = "array<struct<level:int,text:string>>"
 
@@ -108,7 +121,12 @@ def heading_stack(found: DataFrame) -> DataFrame:
         return F.struct(opened.alias("open"), F.concat(acc["out"], F.array(F.struct(h["offset"].alias("offset"), path.alias("path")))).alias("out"))
 
     start = F.struct(F.array().cast(stack).alias("open"), F.array().cast(kind).alias("out"))
-    folded = found.groupBy("path").agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("hs"))
+    return F.aggregate(ordered, start, step, lambda a: a["out"])
+
+
+def heading_stack(found: DataFrame) -> DataFrame:
+    """(path, offset, heading_path): at each heading, the headings open there, joined by ' > '; one closes all as deep or deeper."""
+    folded = found.groupBy("path").agg(heading_paths(F.array_sort(F.collect_list(F.struct("offset", "level", "text")))).alias("hs"))
     return folded.select("path", F.explode("hs").alias("h")).select("path", "h.offset", F.col("h.path").alias("heading_path"))
 
 
@@ -163,21 +181,37 @@ def _values(entries: Column, key: str) -> Column:
     return F.get(F.filter(entries, lambda e: e["key"] == key), F.lit(0))
 
 
-def front_matter_tags(content: Column) -> Column:
-    """Tags of the front matter's `tags` and `tag` entries: list items or parts between commas that are text, without brackets and quotes."""
-    entries = front_matter_entries(content)
+def front_matter_tags(entries: Column) -> Column:
+    """Tags of the `tags` and `tag` ones of front_matter_entries(): list items or parts between commas that are text, without brackets and quotes."""
     own = F.flatten(F.transform(F.filter(entries, lambda e: e["key"].isin("tags", "tag")), lambda e: F.filter(e["values"], _is_text)))
     parts = F.flatten(F.transform(own, lambda v: F.split(F.regexp_replace(_unquoted(v), r"\A\[|\]\z", ""), ",")))
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"^[\"']|[\"']$", "")), lambda p: p != "")
 
 
+def tag_terms(content: Column, entries: Column, generic: tuple[str, ...] = GENERIC_TAG_NODES) -> Column:
+    """The distinct leaves and path parts of a content's inline #tags and of the tags in its front_matter_entries(), sorted, generic levels left out."""
+    inline = F.regexp_extract_all(content, F.lit(r"(?m)(?:^|\s)#([^\s#\[\]{}()<>\"',.!?;]+)"), F.lit(1))
+    tags = F.transform(F.concat(inline, front_matter_tags(entries)), lambda t: F.regexp_replace(t, "^#+", ""))
+    terms = F.transform(F.flatten(F.transform(tags, lambda t: F.split(t, "/"))), lambda p: F.trim(F.regexp_replace(p, "_", " ")))
+    return F.array_sort(F.array_distinct(F.filter(terms, lambda t: (t != "") & ~F.lower(t).isin(*generic))))
+
+
 def extract_tags(notes: DataFrame, generic: tuple[str, ...] = GENERIC_TAG_NODES) -> DataFrame:
     """(path, term): leaves and path parts of inline #tags and of the front matter's tags, generic levels left out."""
-    inline = F.regexp_extract_all("content", F.lit(r"(?m)(?:^|\s)#([^\s#\[\]{}()<>\"',.!?;]+)"), F.lit(1))
-    tags = F.transform(F.concat(inline, front_matter_tags(F.col("content"))), lambda t: F.regexp_replace(t, "^#+", ""))
-    parts = notes.select("path", F.explode(tags).alias("tag")).select("path", F.explode(F.split("tag", "/")).alias("part"))
-    term = F.trim(F.regexp_replace("part", "_", " "))
-    return parts.select("path", term.alias("term")).filter((F.col("term") != "") & ~F.lower("term").isin(*generic)).distinct()
+    rows = notes.select("path", "content", front_matter_entries(F.col("content")).alias("e"))
+    # An outer generator keeps the optimizer from working out the terms once more to filter by them.
+    return rows.select("path", F.explode_outer(tag_terms(F.col("content"), F.col("e"), generic)).alias("term")).filter("term is not null").distinct()
+
+
+def front_matter_columns(entries: Column) -> dict[str, Column]:
+    """summary, tags and author of front_matter_entries(); null where absent."""
+    one = lambda key: _values(entries, key)
+    first = lambda e: F.get(e["values"], F.lit(0))
+    text = lambda e: F.when(~e["list"] & _is_text(first(e)), F.nullif(_unquoted(first(e)), F.lit("")))
+    joined = lambda e: F.nullif(F.array_join(F.transform(e["values"], lambda v: F.trim(_unquoted(v))), ", "), F.lit(""))
+    tags = one("tags")
+    written = F.coalesce(tags["raw"], joined(tags))
+    return {"summary": F.coalesce(*(text(one(k)) for k in SUMMARY_KEYS)), "tags": written, "author": F.coalesce(*(joined(one(k)) for k in AUTHOR_KEYS))}
 
 
 def front_matter(notes: DataFrame) -> DataFrame:
@@ -186,18 +220,12 @@ def front_matter(notes: DataFrame) -> DataFrame:
     summary is the first text among SUMMARY_KEYS, author the first value or list among AUTHOR_KEYS, tags the entry as written (a list's items joined).
     """
     df = notes.select("path", front_matter_entries(F.col("content")).alias("e"))
-    one = lambda key: _values(F.col("e"), key)
-    first = lambda e: F.get(e["values"], F.lit(0))
-    text = lambda e: F.when(~e["list"] & _is_text(first(e)), F.nullif(_unquoted(first(e)), F.lit("")))
-    joined = lambda e: F.nullif(F.array_join(F.transform(e["values"], lambda v: F.trim(_unquoted(v))), ", "), F.lit(""))
-    tags = one("tags")
-    written = F.coalesce(tags["raw"], joined(tags))
-    return df.select("path", F.coalesce(*(text(one(k)) for k in SUMMARY_KEYS)).alias("summary"), written.alias("tags"), F.coalesce(*(joined(one(k)) for k in AUTHOR_KEYS)).alias("author"))
+    return df.select("path", *(c.alias(name) for name, c in front_matter_columns(F.col("e")).items()))
 
 
-def highlights(notes: DataFrame, max_n: int = 24, max_chars: int = 2000) -> DataFrame:
-    """(path, n, highlights): ==marks==, then <mark> texts, outside front matter and code, distinct by lower case, joined and cut."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?m)\A---[\s\S]*?---\s*", ""), FENCES, "\n"), r"`[^`\n]*`", " ")
+def highlight_row(content: Column, max_n: int = 24, max_chars: int = 2000) -> Column:
+    """A struct n, highlights: ==marks==, then <mark> texts, outside front matter and code, distinct by lower case, joined and cut; null, or n 0, if there are none."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(content, r"(?m)\A---[\s\S]*?---\s*", ""), FENCES, "\n"), r"`[^`\n]*`", " ")
 
     def found(t: Column) -> Column:
         marks = F.regexp_extract_all(t, F.lit(r"==([^=\n].*?[^=\n])=="), F.lit(1))
@@ -208,8 +236,13 @@ def highlights(notes: DataFrame, max_n: int = 24, max_chars: int = 2000) -> Data
         return F.struct(F.least(F.size(f), F.lit(max_n)).alias("n"), F.trim(F.substring(F.array_join(F.slice(f, 1, max_n), "\n"), 1, max_chars)).alias("highlights"))
 
     once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  value is worked out once, not at each use
-    marked = F.col("content").contains("==") | F.col("content").rlike("(?i)<mark")
-    row = F.when(marked, once(once(once(text, found), lambda f: _distinct_in_order(f, F.lower)), joined))
+    marked = content.contains("==") | content.rlike("(?i)<mark")
+    return F.when(marked, once(once(once(text, found), lambda f: _distinct_in_order(f, F.lower)), joined))
+
+
+def highlights(notes: DataFrame, max_n: int = 24, max_chars: int = 2000) -> DataFrame:
+    """(path, n, highlights): ==marks==, then <mark> texts, outside front matter and code, distinct by lower case, joined and cut."""
+    row = highlight_row(F.col("content"), max_n, max_chars)
     # An outer generator keeps the optimizer from working out the row once more to filter by it.
     return notes.select("path", F.explode_outer(F.array(row)).alias("r")).filter("r.n > 0").select("path", "r.n", "r.highlights")
 

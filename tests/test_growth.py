@@ -9,6 +9,8 @@ from notelake.operators.aggregates import folder_stats
 from notelake.operators.blocks import all_pairs, best, block_pairs, cosines, in_blocks, nearest, past
 from notelake.operators.joins import similar_pairs
 from notelake.operators.tags import _Patterns, scored_tags, tag_score_sums
+from notelake.operators.extract import headings
+from notelake.plans.index_build import build_index
 from notelake.plans.search import _closest, related_notes
 from notelake.sources.notes import FOLDER_FILES, scan_notes, write_notes
 
@@ -142,3 +144,26 @@ def test_past_sends_each_side_once_a_block_or_share(spark, monkeypatch):
     assert sorted((x.l, x.r) for x in got) == [(i, j) for i in range(100, 140) for j in range(70)]
     assert max(x.n for x in got) < 40
     assert past(spark.range(0), spark.range(3), {"id": F.col("l.id")}, start, "l long, r long, n long").count() == past(spark.range(3), spark.range(0), {"id": F.col("l.id")}, start, "l long, r long, n long", 99).count() == 0
+
+
+def test_notes_are_read_once_and_texts_embedded_once(spark):
+    """The build shuffles texts once, to embed each distinct one once; headings stand where they stood."""
+    texts = ["---\nsummary: s\ntags: [a/b_c, x]\n---\n# One\n```\n# no\n```\n####### seven\n## Two \r\nSome ==mark== text. #y/z\n#\tTab", "", None, "no heading", "#x\n# A\n### C\n## B"]
+    notes = spark.createDataFrame([(f"n{i}.md", f"n{i % 2}", i, t) for i, t in enumerate(texts * 3)], "path string, basename string, mtime long, content string")
+    made = [(r.level, r.text, r.offset) for r in headings(notes.filter("path in ('n0.md', 'n4.md')")).orderBy("path", "offset").collect()]
+    at = [texts[0].index(x) for x in ("# One", "## Two", "#\tTab")]
+    assert [x[::2] for x in made] == [(1, at[0]), (2, at[1]), (1, at[2]), (1, 3), (3, 7), (2, 13)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(some):
+        seen.add(len(some))
+        return [[float(len(t))] for t in some]
+
+    built = build_index(notes, None, "m", model)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("RepartitionByExpression") == 1
+    rows = built.collect()
+    assert seen.value == len({r.chunk_hash for r in rows}) < len(rows)
+    assert len({r.entry_id for r in rows}) == len(rows)
+    first = sorted((r.entry_type, r.chunk_start, r.tags_text, r.heading_path) for r in rows if r.path == "n0.md")
+    assert first == [("content", 0, "a, b c, x, y, z", None), ("highlights", 0, None, None), ("summary", 0, "a, b c, x, y, z", None)]
