@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,9 @@ from notelake.llm.shingles import WordHasher, mix
 #: The word before the first of a text; 0 is the end of a text.
 START = np.uint64(1)
 #: Texts that a part's pairs come from, in bytes; only memory depends on it, no score does.
-PART_BYTES = 22 << 20
+PART_BYTES = 12 << 20
+#: Messages leave a task in batches of about so many bytes.
+BATCH_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -156,7 +158,7 @@ def _pack(*columns: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(body: bytes) -> list[np.ndarray]:
+def _unpack(body: bytes | pa.Buffer) -> list[np.ndarray]:
     batch = pa.ipc.open_stream(body).read_next_batch()
     return [np.frombuffer(batch.column(i)[0].as_buffer(), name[1:]) for i, name in enumerate(batch.schema.names)]
 
@@ -170,6 +172,16 @@ def _hashes(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on, mostly ascending, as the differences of their narrow forms; those wrap around."""
+    x = _narrow(x)
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
 def _narrow(x: np.ndarray) -> np.ndarray:
     """Whole numbers from 0 on in the fewest bytes that hold them."""
     top = int(x.max()) if len(x) else 0
@@ -231,29 +243,43 @@ def _message(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(0, pa.int32()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.int32()), column(4, pa.binary())], names=["part", "sender", "kind", "seq", "body"])
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_batches([_message(rows)])
+def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows' messages in batches, as neither Python nor the JVM should hold all of a group at once."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4])
+        if size >= BATCH_BYTES:
+            yield _message(held)
+            held, size = [], 0
+    if held:
+        yield _message(held)
+
+
+def _table(rows: Iterable[tuple]) -> pa.Table:
+    return pa.Table.from_batches(list(_batches(rows)) or [_message([])])
 
 
 def _pair_counts(rows: DataFrame, parts: int, chunk: int) -> DataFrame:
     """Messages to the pairs' parts: for each stretch its pairs there (places in a list of words) and their training counts."""
 
+    def dealt(name: int, batch: pa.RecordBatch, words: np.ndarray, word: np.ndarray, owner: np.ndarray) -> Iterator[tuple]:
+        s = Stretch.of(words, word, owner, parts)
+        v, named = len(words), np.append(words, START)
+        train = ~batch.column(2).to_numpy(zero_copy_only=False)[owner]
+        seen, n = np.unique((_before(word, owner, v) * (v + 1) + word)[train], return_counts=True)
+        count = np.zeros(len(s.code), np.int64)
+        if len(seen):
+            at = np.minimum(np.searchsorted(seen, s.code), len(seen) - 1)
+            count = np.where(seen[at] == s.code, n[at], 0)
+        for part, a, b in _segments(s.part):
+            u, w = s.code[a:b] // (v + 1), s.code[a:b] % (v + 1)
+            own, place = np.unique(np.concatenate([u, w]), return_inverse=True)
+            yield part, name, 0, 0, _pack(_planes(named[own]), _steps(place[: b - a]), _narrow(place[b - a :]), _narrow(count[a:b]))
+
     def run(batches):
-        for name, batch, words, word, owner in _stretches(batches, chunk):
-            s = Stretch.of(words, word, owner, parts)
-            v, named = len(words), np.append(words, START)
-            train = ~batch.column(2).to_numpy(zero_copy_only=False)[owner]
-            seen, n = np.unique((_before(word, owner, v) * (v + 1) + word)[train], return_counts=True)
-            count = np.zeros(len(s.code), np.int64)
-            if len(seen):
-                at = np.minimum(np.searchsorted(seen, s.code), len(seen) - 1)
-                count = np.where(seen[at] == s.code, n[at], 0)
-            out = []
-            for part, a, b in _segments(s.part):
-                u, w = s.code[a:b] // (v + 1), s.code[a:b] % (v + 1)
-                own, place = np.unique(np.concatenate([u, w]), return_inverse=True)
-                out.append((part, name, 0, 0, _pack(_planes(named[own]), _narrow(place[: b - a]), _narrow(place[b - a :]), _narrow(count[a:b]))))
-            yield _message(out)
+        for stretch in _stretches(batches, chunk):
+            yield from _batches(dealt(*stretch))
 
     return rows.mapInArrow(run, _MESSAGE)
 
@@ -271,19 +297,23 @@ class Part:
     @classmethod
     def of(cls, messages: pa.Table) -> Part:
         senders = messages["sender"].to_pylist()
-        bodies = [_unpack(b) for b in messages["body"].to_pylist()]
         order = sorted(range(len(senders)), key=senders.__getitem__)
-        lists = [_hashes(bodies[i][0]) for i in order]
-        words, place = np.unique(np.concatenate(lists), return_inverse=True)
-        code, at = [], 0
-        for i, own in zip(order, lists, strict=True):
-            _, u, w, _ = bodies[i]
-            here = place[at : at + len(own)]
-            code.append(here[u] * len(words) + here[w])
-            at += len(own)
-        pairs, back = np.unique(np.concatenate(code), return_inverse=True)
-        n = np.bincount(back, weights=np.concatenate([bodies[i][3] for i in order]), minlength=len(pairs)).astype(np.int64)
-        ends = np.cumsum([len(c) for c in code])
+        bodies = [_unpack(messages["body"][i].as_buffer()) for i in order]
+        lists = [_hashes(b[0]) for b in bodies]
+        starts = np.cumsum([0, *(len(x) for x in lists)])
+        every = np.concatenate(lists)
+        del lists
+        words, place = np.unique(every, return_inverse=True)
+        del every
+        code, counts = [], []
+        for a, (_, u, w, count) in zip(starts.tolist(), bodies, strict=False):
+            here = place[a:]
+            code.append(here[_sums(u)] * len(words) + here[w])
+            counts.append(count)
+        del bodies, place
+        ends, code = np.cumsum([len(c) for c in code]), np.concatenate(code)
+        pairs, back = np.unique(code, return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
         return cls(words, pairs // len(words), pairs % len(words), n, list(zip([senders[i] for i in order], np.split(back, ends[:-1]), strict=True)))
 
     def by_word(self, places: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -298,7 +328,7 @@ class Part:
 
 def _words_of(messages: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, np.ndarray]], float]:
     """The distinct words of messages, the sums of their values, for each sender the places of its words, and the number of all words."""
-    senders, bodies = messages["sender"].to_pylist(), [_unpack(b) for b in messages["body"].to_pylist()]
+    senders, bodies = messages["sender"].to_pylist(), [_unpack(b.as_buffer()) for b in messages["body"]]
     lists = [_hashes(b[0]) for b in bodies]
     words, place = np.unique(np.concatenate(lists), return_inverse=True)
     sums = [np.bincount(place, weights=np.concatenate([b[j] for b in bodies]), minlength=len(words)) for j in range(2, len(bodies[0]))]
@@ -350,6 +380,17 @@ def _parent_sweeps(words: np.ndarray, customers: np.ndarray, o: Options, seed: i
         yield t
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """written(df), after which the files of its exchanges go at once, not when the driver happens to collect its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return written(df)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def _if_any(f: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """f, but no rows for a key that the left side lacks."""
     return lambda key, left, right: f(key, left, right) if left.num_rows else _table([])
@@ -413,27 +454,43 @@ def fit(counts: DataFrame, parts: int, o: Options) -> DataFrame:
     sizes = first.groupBy("part").applyInArrow(counted, "customers long, words long").groupBy("customers").agg(F.sum("words").alias("words"))
     sizes = sizes.agg(F.collect_list(F.struct("customers", "words")).alias("sizes")).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "sizes")
     answers = first.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_if_any(answered), _MESSAGE)
-    return written(dealt.groupBy("part").cogroup(answers.repartition(parts, "part").groupBy("part")).applyInArrow(_if_any(sampled), _MESSAGE))
+    return _settled(dealt.groupBy("part").cogroup(answers.repartition(parts, "part").groupBy("part")).applyInArrow(_if_any(sampled), _MESSAGE))
 
 
-def _asks(rows: DataFrame, parts: int, chunk: int) -> DataFrame:
-    """Messages of the stretches: kind 0 (part -1) is the stretch's own, its rows' ids, folds and lengths, words and tokens; kind 3 asks words' parts."""
+def _owns(rows: DataFrame, chunk: int) -> DataFrame:
+    """A message of kind 0 for each stretch: its rows' ids, folds and lengths, its words and tokens."""
 
     def run(batches):
         for name, batch, words, word, owner in _stretches(batches, chunk):
-            named = np.append(words, START)
-            to = _part(named, parts)
-            order = np.argsort(to, kind="stable")
             about = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["id", "held"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, about.schema) as stream:
                 stream.write_batch(about)
-            own = _pack(np.frombuffer(sink.getvalue(), "|u1"), _narrow(np.bincount(owner, minlength=batch.num_rows)), _planes(words), _narrow(word))
-            yield _message([(-1, name, 0, 0, own), *((p, name, 3, 0, _pack(_planes(named[order[a:b]]))) for p, a, b in _segments(to[order]))])
+            # The tokens' numbers go like the words by first, second, third and fourth bytes.
+            numbers = word.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()
+            yield _message([(-1, name, 0, 0, _pack(np.frombuffer(sink.getvalue(), "|u1"), _narrow(np.bincount(owner, minlength=batch.num_rows)), _planes(words), numbers))])
 
     return rows.mapInArrow(run, _MESSAGE)
 
 
+def _asks(owns: DataFrame, parts: int) -> DataFrame:
+    """Messages of kind 3 from the stretches' own: their words, asked of the words' parts."""
+
+    def asked(sender: int, body: bytes) -> Iterator[tuple]:
+        named = np.append(_hashes(_unpack(body)[2]), START)
+        to = _part(named, parts)
+        order = np.argsort(to, kind="stable")
+        for p, a, b in _segments(to[order]):
+            yield p, sender, 3, 0, _pack(_planes(named[order[a:b]]))
+
+    def run(batches):
+        for batch in batches:
+            for sender, body in zip(batch.column(1).to_pylist(), batch.column(4), strict=True):
+                yield from _batches(asked(sender, body.as_buffer()))
+
+    return owns.mapInArrow(run, _MESSAGE)
+
+
 def lm_scoring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, options: Options | None = None, chunk: int = 8_000_000, parts: int | None = None) -> DataFrame:
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -449,13 +506,14 @@ def lm_scoring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     packed, to parts by a hash of both words, so a frequent word is spread over all parts, and words' parts get one sum
     from each of them; answers come back in the order asked. The texts are read twice, which must give the same rows in
     the same partitions (a table's scan, a checkpoint); a stretch whose answers don't fit raises an error. Words and pairs
-    are told apart by 64-bit hashes. A null text is empty (one token, the end), a null id counts as empty text, repeated
+    are told apart by 64-bit hashes. Stretches wait in an exchange while their words are asked for. A null text is empty (one token, the end), a null id counts as empty text, repeated
     rows count and are scored each, equal scores stay equal, a very long text is a stretch of its own, an empty table
     gives no row, other columns are left out, whatever their names.
     """
     o = options or Options()
     rows, kind = _keyed(docs, id_col, text_col, folds, held_fold), dict(docs.dtypes)[id_col]
-    parts = parts or max(1, -(-(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART_BYTES))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts, stretches = parts or max(1, -(-size // PART_BYTES)), max(1, -(-size // chunk))
     fitted = fit(_pair_counts(rows, parts, chunk), parts, o)
 
     def summed(key: tuple, messages: pa.Table) -> pa.Table:
@@ -465,7 +523,7 @@ def lm_scoring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         columns = [pa.array([key[0].as_py()], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in (_planes(words), _narrow(customers))), pa.array([values], pa.binary())]
         return pa.Table.from_arrays([*columns, pa.array([int(count.sum())]), each], names=["part", "planes", "customers", "body", "tokens", "sizes"])
 
-    words = written(fitted.filter("kind = 1").groupBy("part").applyInArrow(summed, "part int, planes binary, customers binary, body binary, tokens long, sizes array<struct<customers:long,words:long>>"))
+    words = _settled(fitted.filter("kind = 1").groupBy("part").applyInArrow(summed, "part int, planes binary, customers binary, body binary, tokens long, sizes array<struct<customers:long,words:long>>"))
     n = float(words.agg(F.sum("tokens")).first()[0] or 0)
     sizes = [tuple(r) for r in words.select(F.explode("sizes").alias("s")).groupBy("s.customers").agg(F.sum("s.words")).collect()]
     seed, totals = o.seed * 1_000_003 + 1_000, _totals(sizes, o)
@@ -497,16 +555,21 @@ def lm_scoring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 out.append((key[0].as_py(), sender, 1, 0, _pack(*values)))
         return _table(out)
 
-    asks = written(_asks(rows, parts, chunk))
-    answers = words.select("part", "planes", "customers", "body").mapInArrow(of_words, _MESSAGE).union(asks.filter("kind = 3")).groupBy("part").applyInArrow(looked_up, _MESSAGE)
-    every = asks.filter("kind = 0").union(answers).union(fitted.filter("kind = 2"))
+    # A stretch's own message waits in one exchange while its words are asked for from there.
+    owns = _owns(rows, chunk).repartition(stretches, "sender")
+    answers = words.select("part", "planes", "customers", "body").mapInArrow(of_words, _MESSAGE).union(_asks(owns, parts)).groupBy("part").applyInArrow(looked_up, _MESSAGE)
+    told = answers.union(fitted.filter("kind = 2")).repartition(stretches, "sender")
 
-    def scored(key: tuple, messages: pa.Table) -> pa.Table:
-        each = sorted(zip(*(messages[c].to_pylist() for c in ("kind", "part", "body")), strict=True), key=lambda m: m[:2])
-        got = {k: [_unpack(b) for x, _, b in each if x == k] for k in (0, 1, 2)}
-        about, tokens, names, word = got[0][0]
+    def scored(key: tuple, own: pa.Table, messages: pa.Table) -> pa.Table:
+        if own.num_rows != 1:
+            raise ValueError("the texts were read in another order than before; score a written table")
+        about, tokens, names, word = _unpack(own["body"][0].as_buffer())
+        order = sorted(range(messages.num_rows), key=messages["part"].to_pylist().__getitem__)
+        kinds = messages["kind"].to_pylist()
+        got = {k: [_unpack(messages["body"][i].as_buffer()) for i in order if kinds[i] == k] for k in (1, 2)}
         about = pa.ipc.open_stream(about.tobytes()).read_next_batch()
-        tokens, word, names = tokens.astype(np.int64), word.astype(np.int64), _hashes(names)
+        tokens, names = tokens.astype(np.int64), _hashes(names)
+        word = np.ascontiguousarray(word.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
         owner = np.repeat(np.arange(len(tokens)), tokens)
         s = Stretch.of(names, word, owner, parts)
         v = len(names)
@@ -527,7 +590,7 @@ def lm_scoring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         flat = [about.column(0), about.column(1), pa.array(tokens), pa.array(known.round().astype(np.int64)), pa.array(base), pa.array(lm)]
         return pa.Table.from_arrays(flat, names=["id", "held", "tokens", "known", "base", "lm"])
 
-    out = every.groupBy("sender").applyInArrow(scored, f"id {kind}, held boolean, tokens long, known long, base double, lm double")
+    out = owns.groupBy("sender").cogroup(told.groupBy("sender")).applyInArrow(scored, f"id {kind}, held boolean, tokens long, known long, base double, lm double")
     return out.select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), F.col("lm").alias("score"), F.pow(F.lit(10.0), -F.col("lm") / F.col("tokens")).alias("perplexity"),

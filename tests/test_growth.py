@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from notelake.llm import lm_scoring as scoring
 from notelake.llm.lm_scoring import _opener, seat
 from notelake.operators.aggregates import folder_stats
 from notelake.operators.blocks import all_pairs, best, block_pairs, cosines, in_blocks, nearest, past
@@ -167,3 +168,24 @@ def test_notes_are_read_once_and_texts_embedded_once(spark):
     assert len({r.entry_id for r in rows}) == len(rows)
     first = sorted((r.entry_type, r.chunk_start, r.tags_text, r.heading_path) for r in rows if r.path == "n0.md")
     assert first == [("content", 0, "a, b c, x, y, z", None), ("highlights", 0, None, None), ("summary", 0, "a, b c, x, y, z", None)]
+
+
+def test_scoring_sends_groups_in_small_batches():
+    rows = [(i % 2, i, 2, 0, bytes([i]) * (1 << 20)) for i in range(9)]
+    got = scoring._table(rows)
+    assert [tuple(r.values()) for r in got.to_pylist()] == rows
+    assert max(b.nbytes for b in got.to_batches()) <= scoring.BATCH_BYTES + (1 << 20) + 1000
+    assert scoring._table([]).num_rows == 0 and scoring._table([]).schema == got.schema
+    places = np.array([40_000, 3, 3, 70, 65_535, 0, 9])
+    assert scoring._sums(scoring._steps(places)).tolist() == places.tolist() and scoring._steps(places).itemsize == 2
+
+
+def test_scoring_stores_each_stretch_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} of w{i} and w{i % 7}") for i in range(60)], "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, scoring.lm_scoring(docs).collect()))
+    tables, written = [], scoring.written
+    monkeypatch.setattr(scoring, "written", lambda df: tables.append(written(df)) or tables[-1])
+    assert sorted(map(tuple, scoring.lm_scoring(docs, chunk=150, parts=4).collect())) == want
+    kinds = {r.kind for t in tables if "kind" in t.columns for r in t.select("kind").distinct().collect()}
+    assert kinds == {1, 2}  # neither the texts' words and tokens (0) nor what they ask (3)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
