@@ -189,3 +189,9 @@ def test_scoring_stores_each_stretch_once(spark, monkeypatch):
     kinds = {r.kind for t in tables if "kind" in t.columns for r in t.select("kind").distinct().collect()}
     assert kinds == {1, 2}  # neither the texts' words and tokens (0) nor what they ask (3)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_distinct_pairs():
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 50, 300), np.arange(9)[::-1], np.zeros(0, np.int64), np.array([7, 7])):
+        assert scoring._distinct(x).tolist() == np.unique(x).tolist()
