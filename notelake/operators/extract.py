@@ -134,16 +134,17 @@ def front_matter_entries(content: Column) -> Column:
     """The front matter's top-level entries in order: structs key, list (is it a list), values (as written, quotes included; none for a map), raw (what stands behind the key, null if nothing).
 
     The block is cut in front of each unindented key; what follows a key up to the next one is its own: a scalar, also folded, a literal block, a list in
-    brackets, or lines with a dash, indented or not. Carriage returns and comments are left out.
+    brackets, or lines with a dash, indented or not. Carriage returns at line ends and comments are left out; a scalar in quotes on one line stays as written.
     """
-    block = F.regexp_replace(F.regexp_extract(content, FRONT, 1), r"\r|(?m)^[ \t]*#.*$\n?", "")
+    block = F.regexp_replace(F.regexp_extract(content, FRONT, 1), r"\r(?=\n|\z)|(?dm)^[ \t]*#.*$\n?", "")
     sections = F.filter(F.split(block, r"\n(?=[^\s#\-][^\n:]*:(?:[ \t\n]|\z))"), lambda s: s.rlike(r"\A[^\s#\-][^\n:]*:(?:[ \t\n]|\z)"))
 
     def entry(s: Column) -> Column:
         key = F.regexp_replace(F.trim(F.regexp_extract(s, r"\A([^:\n]*):", 1)), r"^[\"']|[\"']$", "")
         first = F.trim(F.regexp_extract(s, r"\A[^:\n]*:([^\n]*)", 1))
         more = F.regexp_extract(s, r"\A[^\n]*\n([\s\S]*)", 1)
-        plain = _uncommented(F.trim(F.regexp_replace(F.concat(first, F.lit(" "), more), r"\s+", " ")))
+        whole = F.regexp_extract(first, r"""(?s)\A("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')\s*(?:#.*)?\z""", 1)
+        plain = F.when(whole != "", whole).otherwise(_uncommented(F.trim(F.regexp_replace(F.concat(first, F.lit(" "), more), r"\s+", " "))))
         flow = F.regexp_extract_all(F.regexp_extract(plain, r"\A\[(.*?)\]?\z", 1), F.lit(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,\s][^,]*)"""), F.lit(1))
         dashed = F.transform(F.regexp_extract_all(more, F.lit(r"(?m)^[ \t]*-[ \t]+(.+)$"), F.lit(1)), lambda x: _uncommented(F.trim(x)))
         literal = F.trim(F.regexp_replace(more, r"(?m)^[ \t]+", ""))
