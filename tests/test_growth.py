@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from notelake.llm import lm_scoring as scoring
 from notelake.llm.lm_scoring import _opener, seat
 from notelake.operators.aggregates import folder_stats
-from notelake.operators.blocks import all_pairs, best, block_pairs, cosines, in_blocks, nearest, past
+from notelake.functions.embed import hashed_words
+from notelake.operators.blocks import all_pairs, beside, best, block_pairs, cosines, in_blocks, nearest, past
 from notelake.operators.joins import similar_pairs
-from notelake.operators.tags import _Patterns, scored_tags, tag_score_sums
+from notelake.operators.tags import _Patterns, rank_tags, scored_tags, semantic_tags, tag_score_sums
 from notelake.operators.extract import headings
 from notelake.plans.index_build import build_index
 from notelake.plans.search import _closest, related_notes
@@ -195,3 +196,20 @@ def test_distinct_pairs():
     rng = np.random.default_rng(4)
     for x in (rng.integers(0, 50, 300), np.arange(9)[::-1], np.zeros(0, np.int64), np.array([7, 7])):
         assert scoring._distinct(x).tolist() == np.unique(x).tolist()
+
+
+def test_tags_in_blocks_rank_and_sum_alike(spark, monkeypatch):
+    """More tags than a block holds: notes meet each block, lists and sums are those of one block."""
+    notes = spark.createDataFrame([(f"n{i}", f"w{i % 7} and long words of {'a b ' * i} en/w{i % 5}") for i in range(30)] + [("none", None), ("empty", "")], "path string, content string")
+    tags = spark.createDataFrame([(f"{a}/w{i}_{b}", 3 * i + j) for i in range(40) for j, (a, b) in enumerate((("en", ""), ("de", "long"), ("é", "words_of_long_words_and_more")))] + [("en/words", -1)], "tag string, ord long")
+    model = hashed_words(16)
+    index = spark.createDataFrame([(t.tag, model([t.tag.replace("/", " ")])[0]) for t in tags.collect()], "tag string, embedding array<double>")
+    runs = []
+    for sent, block in ((16 << 20, 64 << 20), (0, 64 << 20), (0, 1000)):
+        monkeypatch.setattr("notelake.operators.tags.TAG_BYTES", sent)
+        monkeypatch.setattr("notelake.operators.tags.TAG_BLOCK", block)
+        runs.append([sorted(map(str, df.collect())) for df in (rank_tags(notes, tags, 4), tag_score_sums(notes, tags), semantic_tags(notes, index, model, 4).drop("score"))])
+    assert runs[0] == runs[1] == runs[2] and len(runs[0][0]) == 32 * 4
+    look = lambda own: lambda batch: iter([pa.RecordBatch.from_arrays([pa.array([len(own)])], names=["n"])])
+    sizes = {r.n for r in beside(notes, tags, {"path": F.col("l.path")}, look, "n long", 1000).collect()}
+    assert max(sizes) < 121 / 2
