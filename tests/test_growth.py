@@ -213,3 +213,22 @@ def test_tags_in_blocks_rank_and_sum_alike(spark, monkeypatch):
     look = lambda own: lambda batch: iter([pa.RecordBatch.from_arrays([pa.array([len(own)])], names=["n"])])
     sizes = {r.n for r in beside(notes, tags, {"path": F.col("l.path")}, look, "n long", 1000).collect()}
     assert max(sizes) < 121 / 2
+
+
+def test_scanned_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The same rows as Spark's reader, which holds all files' names in the driver, and those of files without bytes; at any depth of folders."""
+    for at, text in {"a.md": "one", "x/b.md": "zwei é", "x/y/c d.md": "3\n", "x/y/z/e.MD": "no", "_h/f.md": "no", ".g.md": "no", "x/h.txt": "no", "x/k=1/i.md": "4"}.items():
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(text)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for walked in (64, 2, 1):
+        monkeypatch.setattr("notelake.sources.notes.WALKED", walked)
+        got = rows(scan_notes(spark, str(tmp_path)))
+        assert got == rows(scan_notes(spark, f"file://{tmp_path}/")) == rows(scan_notes(spark, f"{tmp_path}/", batch_bytes=1))
+        assert [r.size for r in scan_notes(spark, str(tmp_path), with_text=False).orderBy("path").collect()] == [r.size for r in scan_notes(spark, str(tmp_path)).orderBy("path").collect()]
+    assert len(got) == 4 and not scan_notes(spark, str(tmp_path)).inputFiles()
+    monkeypatch.setattr("notelake.sources.notes._store", lambda *a: None)
+    assert rows(scan_notes(spark, str(tmp_path))) == got
+    monkeypatch.undo()
+    (tmp_path / "x/empty.md").write_text("")
+    assert [r.content for r in scan_notes(spark, str(tmp_path)).filter("size = 0").collect()] == [""]
