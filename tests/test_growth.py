@@ -12,6 +12,8 @@ from notelake.operators.blocks import all_pairs, beside, best, block_pairs, cosi
 from notelake.operators.joins import similar_pairs
 from notelake.operators.tags import _Patterns, rank_tags, scored_tags, semantic_tags, tag_score_sums
 from notelake.operators.extract import headings
+from notelake.operators.ranking import top_k
+from notelake.plans import base, search
 from notelake.plans.index_build import build_index
 from notelake.plans.search import _closest, related_notes
 from notelake.sources.notes import FOLDER_FILES, scan_notes, write_notes
@@ -232,3 +234,26 @@ def test_scanned_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     (tmp_path / "x/empty.md").write_text("")
     assert [r.content for r in scan_notes(spark, str(tmp_path)).filter("size = 0").collect()] == [""]
+
+
+def test_searches_give_out_the_best_of_a_share_not_of_each_block(spark, monkeypatch):
+    """Rows that leave the tasks are queries times shares; ties go to the least id. Entries don't send whole texts to be made."""
+    rng, k, out = np.random.default_rng(4), 5, []
+    e, q = rng.integers(-3, 4, (20_000, 6)).astype(float), rng.integers(-3, 4, (9, 6)).astype(float)
+    entries = spark.createDataFrame([(i, "content", v) for i, v in enumerate(e.tolist())], "entry_id long, entry_type string, embedding array<double>")
+    queries = spark.createDataFrame([(i, "", v, None) for i, v in enumerate(q.tolist())], "query_id long, text string, v1 array<double>, v2 array<double>")
+    monkeypatch.setattr(search, "top_k", lambda found, *a: (out.append(found), top_k(found, *a))[1])
+    got = sorted((r.query_id, r["rank"], r.entry_id) for r in search.search_vector(queries, entries, k).collect())
+    s = cosines(pa.array(q.tolist()), pa.array(e.tolist()))
+    rows, at = best(s, np.arange(len(e)), k, s > 0)
+    assert got == [(i, n % k + 1, j) for n, (i, j) in enumerate(zip(rows.tolist(), at.tolist(), strict=True))]
+    assert out[0].count() <= len(q) * k * spark.sparkContext.defaultParallelism
+    add, best_of = search._kept({"a": None}, len(q), k, 64)
+    for first in range(0, len(e), 1000):
+        add("a", 0, s[:, first : first + 1000], s[:, first : first + 1000] > 0, np.arange(first, first + 1000))
+    assert [x.tolist() for x in best_of("a")[:2]] == [rows.tolist(), at.tolist()]
+
+
+def test_entries_are_made_of_the_beginnings_of_texts(spark):
+    plan = base.entries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("text#" in line for line in plan[plan.index("Join") :].splitlines() if line.lstrip(" +-:").startswith("Join")) and "substring(text" in plan[plan.index("Join") :]
